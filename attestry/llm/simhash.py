@@ -172,6 +172,29 @@ def block_masks(radius: int, extra: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, extra)]
 
 
+def masked_first(codes: np.ndarray, mask: int) -> tuple[np.ndarray, np.uint64]:
+    """Codes with the bits of mask moved to the top, in order, and the mask moved alike.
+
+    Distances stay as they are, while codes that agree on the mask become neighbours in
+    Gray order and share upper nodes.
+    """
+    out, filled = np.zeros_like(codes), 64
+    for part in (mask, ~mask & ((1 << 64) - 1)):
+        at = 63
+        while at >= 0:
+            if part >> at & 1:
+                low = at
+                while low and part >> (low - 1) & 1:
+                    low -= 1
+                width = at - low + 1
+                filled -= width
+                out |= ((codes >> np.uint64(low)) & np.uint64((1 << width) - 1)) << np.uint64(filled)
+                at = low
+            at -= 1
+    top = mask.bit_count()
+    return out, np.uint64(((1 << top) - 1) << (64 - top))
+
+
 def link_fingerprints(codes: DataFrame, radius: int = 4, extra: int | None = None, buffer: int = 1 << 18) -> DataFrame:
     """Links (a, b) over distinct codes(fp long) that connect all pairs within radius.
 
@@ -196,7 +219,8 @@ def link_fingerprints(codes: DataFrame, radius: int = 4, extra: int | None = Non
         def flush(fp: np.ndarray, no: np.ndarray) -> Iterator[pd.DataFrame]:
             for k in np.unique(no):
                 own = fp[no == k].astype(np.int64).view(np.uint64)
-                a, b = GrayIndex(own).links(radius, np.uint64(masks[k]))
+                moved, fixed = masked_first(own, masks[k])
+                a, b = GrayIndex(moved).links(radius, fixed)
                 root = local_components(len(own), a, b)
                 member = np.flatnonzero(root != np.arange(len(own)))
                 if len(member):
