@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality_rules, sharding, simhash, toxicity
+from . import decontaminate, extraction, langid, mixing, quality_rules, sharding, simhash, toxicity, url_filter, weak_quality
 
 #: Production byte limit of a shard in the registered query.
 SHARD_LIMIT = 16 << 20
@@ -28,12 +28,34 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures fetched on day page_id mod 365 of 2024, against two dated lists made of the corpus' own hosts."""
+    own = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = own.withColumn("fetched", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(coalesce(page_id, 0) % 365 as int))"))
+    hosts = own.select(url_filter.host(F.col("url")).alias("host")).where("host is not null").distinct()
+    code = F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 6), 16, 10).cast("int")
+    listed = hosts.withColumn("code", code).where("code % 4 = 0")
+    day = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval({})"
+    steps = [("add", "(code div 4) % 120"), ("remove", "(code div 4) % 120 + 60 + code % 90"), ("add", "(code div 4) % 120 + 200")]
+    dated = F.array(*[F.struct(F.lit(a).alias("action"), F.expr(day.format(f"cast({d} as int)")).alias("at")) for a, d in steps])
+    hosted = listed.select(F.lit("hosts").alias("list"), F.concat(F.lit("d:"), "host").alias("pattern"), F.explode(dated).alias("e")).select("list", "pattern", "e.*")
+    parents = spark.sql(
+        "select 'zones' as list, 'd:example.net' as pattern, action, at from values ('add', timestamp_ntz'2024-03-01 00:00:00'), ('remove', timestamp_ntz'2024-05-01 00:00:00') as t(action, at)"
+    )
+    return url_filter.evaluate(captures, hosted.union(parents))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select(
@@ -46,6 +68,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return weak_quality.score_documents(docs, weak_quality.fit(docs)[1])
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -75,6 +102,34 @@ SELECT d.doc_id, d.bytes,
 FROM d JOIN leaf ON (d.h >> (60 - leaf.depth)) = leaf.prefix
 """
 
+OP5_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(coalesce(page_id, 0) % 365 AS INT)) AS fetched,
+         nullif(lower(rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '.')), '') AS host
+  FROM pages
+), h AS (
+  SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS code FROM (SELECT DISTINCT host FROM c WHERE host IS NOT NULL)
+), listed AS (SELECT host, code, (code // 4) % 120 AS d FROM h WHERE code % 4 = 0
+), e AS (
+  SELECT 'd:' || host AS pattern, 'add' AS action, d AS day FROM listed
+  UNION ALL SELECT 'd:' || host, 'remove', d + 60 + code % 90 FROM listed
+  UNION ALL SELECT 'd:' || host, 'add', d + 200 FROM listed
+  UNION ALL SELECT 'd:example.net', 'add', 60 UNION ALL SELECT 'd:example.net', 'remove', 121
+), v AS (
+  SELECT pattern, action, TIMESTAMP '2024-01-01' + to_days(CAST(day AS INT)) AS valid_from,
+         TIMESTAMP '2024-01-01' + to_days(CAST(lead(day) OVER (PARTITION BY pattern ORDER BY day, action) AS INT)) AS valid_to
+  FROM e
+), k AS (
+  SELECT DISTINCT url, fetched, 'd:' || array_to_string(string_split(host, '.')[i:], '.') AS pattern
+  FROM c, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(i) WHERE host IS NOT NULL
+), m AS (
+  SELECT url, fetched, count(*) AS n, min(k.pattern) AS p FROM k JOIN v USING (pattern)
+  WHERE action = 'add' AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to) GROUP BY ALL
+)
+SELECT page_id, c.url, c.fetched, coalesce(n, 0) AS n_active, p AS first_pattern, n IS NOT NULL AS blocked
+FROM c LEFT JOIN m ON c.url = m.url AND c.fetched = m.fetched
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
@@ -104,10 +159,10 @@ FROM p
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_sharding": op1_sharding, "op2_simhash": op2_simhash, "op4_quality_rules": op4_quality_rules, "op6_mixing": op6_mixing,
-        "op7_decontaminate": op7_decontaminate, "op9_language": op9_language, "op10_toxicity": op10_toxicity,
+        "op1_sharding": op1_sharding, "op2_simhash": op2_simhash, "op3_extraction": op3_extraction, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op6_mixing": op6_mixing,
+        "op7_decontaminate": op7_decontaminate, "op8_weak_quality": op8_weak_quality, "op9_language": op9_language, "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL}
