@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from attestry.plans import temporal
+from attestry.plans import knowledge, retrieval, temporal
 
-MODULES = [temporal]
+MODULES = [retrieval, temporal, knowledge]
 
 
 def queries() -> dict:
