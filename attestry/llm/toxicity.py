@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,31 +83,36 @@ def train(texts: list[str | None], labels: list[int], bits: int = 18, rounds: in
     """Fit on document labels alone: the gradient of the noisy-or likelihood shares a
     document's label among its sentences by how much each explains it. Same input, same model."""
     slots: dict[str, int] = {}
-    words, word_of, ends, bags = [], [], [], []
+    # packed arrays: lists of Python numbers would take many times the memory
+    word_of, ends, bags, flat, size = array("i"), array("q"), array("i"), array("i"), array("i")
     for text in texts:
         own = sentences(text)
         for s in own:
             for w in _TOKEN.findall(s):
                 w = w.lower()
-                if w not in slots:
-                    slots[w] = len(words)
-                    words.append(word_features(w, bits))
-                word_of.append(slots[w])
+                at = slots.setdefault(w, len(slots))
+                if at == len(size):
+                    found = word_features(w, bits)
+                    flat.extend(found)
+                    size.append(len(found))
+                word_of.append(at)
             ends.append(len(word_of))
         bags.append(len(own))
+    n_words = len(slots)
+    del slots
     y, bags = np.asarray(labels, dtype=float), np.asarray(bags)
     if not len(ends) or y.min(initial=1) == y.max(initial=0):  # one class only: its share is all there is to say
         rate = float(y.mean()) if len(y) else 0.0
         logit = np.log((rate + 1e-3) / (1 - rate + 1e-3))
         return ToxicityModel(np.zeros(1 << bits), -20.0, bits, scale=0.0, shift=logit)
-    token, ends = np.asarray(word_of), np.asarray(ends)
+    token, ends = np.asarray(word_of, dtype=np.intp), np.asarray(ends)
     instance = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
     bag = np.repeat(np.arange(len(bags)), bags)
-    size = np.asarray([len(f) for f in words])
-    flat, owner = np.concatenate([np.asarray(f) for f in words]), np.repeat(np.arange(len(words)), size)
+    flat, owner = np.asarray(flat, dtype=np.intp), np.repeat(np.arange(n_words), np.asarray(size))
     # slots that few documents have say nothing general, and keep weight 0
-    pairs = np.unique(bag[instance].astype(np.int64) * len(words) + token)
-    holders = np.bincount(pairs % len(words), minlength=len(words))
+    pairs = np.unique(bag[instance].astype(np.int64) * n_words + token)
+    holders = np.bincount(pairs % n_words, minlength=n_words)
+    del pairs
     seen = np.zeros(1 << bits)
     np.add.at(seen, flat, holders[owner])
     common = seen[flat] >= fewest
@@ -115,20 +121,20 @@ def train(texts: list[str | None], labels: list[int], bits: int = 18, rounds: in
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # classes count alike
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        score = np.bincount(owner, x[flat], len(words))
+        score = np.bincount(owner, x[flat], n_words)
         z = np.clip(x[-1] + np.bincount(instance, score[token], len(ends)), -30, 30)
         none = np.minimum(np.bincount(bag, -np.logaddexp(0, z), len(bags)), -1e-9)
         some = -np.expm1(none)
         value = -(weight * np.where(y > 0, np.log(some), none)).sum() + decay / 2 * (x[:-1] ** 2).sum()
         pull = weight * np.where(y > 0, np.exp(none) / some, -1.0)
         g = pull[bag] / (1 + np.exp(-z))
-        by_word = np.bincount(token, g[instance], len(words))
+        by_word = np.bincount(token, g[instance], n_words)
         grad = np.append(decay * x[:-1] - np.bincount(flat, by_word[owner], len(used)), -g.sum())
         return value, grad
 
     x = minimize(loss, np.append(np.zeros(len(used)), -4.0), rounds)
     weights, bias = x[:-1], x[-1]
-    z = np.clip(bias + np.bincount(instance, quiet(np.bincount(owner, weights[flat], len(words)))[token], len(ends)), -30, 30)
+    z = np.clip(bias + np.bincount(instance, quiet(np.bincount(owner, weights[flat], n_words))[token], len(ends)), -30, 30)
     full = np.zeros(1 << bits)
     full[used] = weights
     model = ToxicityModel(full, float(bias), bits)
@@ -188,7 +194,7 @@ def _calibrate(odds: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[floa
     return float(scale), float(shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] | None = (3, 1), bits: int = 18) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] | None = (3, 1), bits: int = 18) -> ToxicityModel:
     """Fit on at most each documents of either label (a documented bound), chosen by the md5
     of their ids; with held_out=(n, k), none of whose crc32(id) mod n is k. The label table
     is cut down to the sample before it meets the texts."""
