@@ -27,8 +27,6 @@ LABELLERS = (
     ("bars_per_word", 0.10, None, None),
     ("mark_share", 0.20, None, None),
 )
-#: What is expected of a labeller before any count: (no vote, bad, good) of bad and good documents.
-_PRIOR = np.array([[0.55, 0.40, 0.05], [0.50, 0.01, 0.49]])
 _BUCKETS = 8
 _BITS = 16
 _CACHE = 400_000
@@ -46,52 +44,64 @@ def votes(values: tuple[float, ...]) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """Chances of each vote given the true class (0 bad, 1 good), and the share of good documents."""
+    """Latent kinds of documents: good ones (kind 0) and one kind of junk a labeller.
 
-    chances: np.ndarray  # labeller, class, vote
-    good: float
+    Labellers that each know one sort of junk hardly overlap; with a single bad class,
+    those that agree would define it and outvote the rest.
+    """
+
+    shares: np.ndarray  # kind
+    chances: np.ndarray  # labeller, kind, vote
+
+    @property
+    def good(self) -> float:
+        return float(self.shares[0])
+
+    def kinds(self, cast: np.ndarray) -> np.ndarray:
+        """Chance of each kind for rows of votes."""
+        j = np.arange(cast.shape[1])
+        odds = np.log(self.shares) + np.log(self.chances[j, :, cast]).sum(axis=1)
+        odds -= odds.max(axis=1, keepdims=True)
+        p = np.exp(odds)
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, cast: np.ndarray) -> np.ndarray:
         """Chance of good quality for rows of votes."""
-        j = np.arange(cast.shape[1])
-        odds = np.log(self.good / (1 - self.good)) + (np.log(self.chances[j, 1, cast]) - np.log(self.chances[j, 0, cast])).sum(axis=1)
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return self.kinds(cast)[:, 0]
 
     def accuracies(self) -> np.ndarray:
         """Chance that a labeller is right where it votes."""
-        share = np.array([1 - self.good, self.good])
-        right = share[0] * self.chances[:, 0, 1] + share[1] * self.chances[:, 1, 2]
-        return right / np.maximum(right + share[0] * self.chances[:, 0, 2] + share[1] * self.chances[:, 1, 1], 1e-12)
+        at = self.shares[None, :, None] * self.chances
+        right = at[:, 0, 2] + at[:, 1:, 1].sum(axis=1)
+        return right / np.maximum(at[:, :, 1:].sum(axis=(1, 2)), 1e-12)
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, trust: float = 0.01, most_wrong: float = 0.01) -> LabelModel:
-    """Fit the label model to how often each row of votes occurs, starting from a vote that any bad mark decides.
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, most_wrong: float = 0.01) -> LabelModel:
+    """Fit the label model to how often each row of votes occurs.
 
-    trust is the weight of _PRIOR as a share of all documents: labellers that each know one
-    kind of junk hardly overlap, and nothing else would tell such a one from noise.
-    most_wrong bounds the chance of a bad mark on a good document.
+    Rows without a bad mark start as good, others among the kinds of the labellers that
+    mark them. most_wrong bounds the chance of a bad mark on a good document, which is
+    what ties kind 0 to quality.
     """
     n, j = patterns.shape
     one = np.eye(3)[patterns]  # pattern, labeller, vote
-    lead = 1.0 + (patterns == 2).sum(axis=1) - 8.0 * (patterns == 1).sum(axis=1)
-    good = 1 / (1 + np.exp(-lead))
-    model = LabelModel(np.full((j, 2, 3), 1 / 3), 0.5)
-    before = -np.inf
-    for _ in range(rounds):
-        w = np.stack([(1 - good) * counts, good * counts], axis=1)  # pattern, class
-        seen = np.einsum("pc,pjv->jcv", w, one) + 0.5 + trust * counts.sum() * _PRIOR
+    marks = (patterns == 1).astype(float)
+    part = np.concatenate([(marks.sum(axis=1, keepdims=True) == 0).astype(float), marks / np.maximum(marks.sum(axis=1, keepdims=True), 1)], axis=1)
+    model = LabelModel(np.full(j + 1, 1 / (j + 1)), np.full((j, j + 1, 3), 1 / 3))
+    for _ in range(rounds if n else 0):
+        w = part * counts[:, None]  # pattern, kind
+        seen = np.einsum("pk,pjv->jkv", w, one) + 0.05
         chances = seen / seen.sum(axis=2, keepdims=True)
-        wrong = np.minimum(chances[:, 1, 1], most_wrong)  # bad marks on good documents are rare by assumption
-        chances[:, 1, 0] += chances[:, 1, 1] - wrong
-        chances[:, 1, 1] = wrong
-        model = LabelModel(chances, float(np.clip(w[:, 1].sum() / max(w.sum(), 1e-9), 0.01, 0.99)))
-        good = model.posterior(patterns)
-        likely = np.log(model.good * np.prod(np.take_along_axis(model.chances[None, :, 1], patterns[:, :, None], 2)[..., 0], axis=1)
-                        + (1 - model.good) * np.prod(np.take_along_axis(model.chances[None, :, 0], patterns[:, :, None], 2)[..., 0], axis=1) + 1e-300)
-        now = float((likely * counts).sum() / max(counts.sum(), 1))
-        if now - before < 1e-9:
+        wrong = np.minimum(chances[:, 0, 1], most_wrong)
+        chances[:, 0, 0] += chances[:, 0, 1] - wrong
+        chances[:, 0, 1] = wrong
+        total = w.sum(axis=0) + 1e-3
+        model = LabelModel(total / total.sum(), chances)
+        new = model.kinds(patterns)
+        still = np.abs(new - part).max(initial=0) < 1e-9
+        part = new
+        if still:
             break
-        before = now
     return model
 
 
@@ -138,7 +148,7 @@ class QualityScorer:
 
 
 def train(texts: list[str | None], good: np.ndarray, decay: float = 1e-3, rounds: int = 60) -> QualityScorer:
-    """Logistic regression on posterior labels; either class weighs the same in all."""
+    """Logistic regression on posterior labels, each document weighing the same."""
     values = [document_statistics(t)[1] for t in texts]
     table = np.array(values).reshape(-1, len(FEATURES))
     edges = [np.unique(np.quantile(table[:, k], np.linspace(0, 1, _BUCKETS + 1)[1:-1])) if len(table) else np.zeros(0) for k in range(len(FEATURES))]
@@ -158,7 +168,7 @@ def train(texts: list[str | None], good: np.ndarray, decay: float = 1e-3, rounds
         rate = float(np.clip(good.mean() if len(texts) else 0.5, 0.01, 0.99))
         return QualityScorer(np.zeros(1 << _BITS), float(np.log(rate / (1 - rate))), edges)
     row, slot, amount = np.array(row), np.array(slot), np.array(amount)
-    up, down = 0.5 * good / good.sum(), 0.5 * (1 - good) / (1 - good).sum()
+    up, down = good / len(texts), (1 - good) / len(texts)
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.clip(x[-1] + np.bincount(row, amount * x[slot], len(texts)), -30, 30)
