@@ -63,9 +63,9 @@ def bm25(entries: DataFrame, memories: DataFrame, query: str, limit: int = 10, p
     """Keyword channel: BM25 over any of the query's terms (k1 1.2, b 0.75, IDF at least 1e-6).
 
     Statistics are those of the whole index; the best 4 x limit are cut before the profile
-    filter, so a profile may get fewer than limit. Term statistics come from one pass over
-    the texts: term counts of the query's own terms per entry by array functions, without
-    a posting row for other words. A limit of 0 or less gives nothing.
+    filter, so a profile may get fewer than limit. Nothing is shuffled but partial counts
+    and the best rows: the texts are read once for the statistics and once for the hits. A
+    limit of 0 or less gives nothing.
     """
     terms = [p for t in tx.match_terms(query) for p in t.split("_") if p]
     terms = list(dict.fromkeys(tx.stem(t) if stem else t for t in terms))
@@ -79,8 +79,12 @@ def bm25(entries: DataFrame, memories: DataFrame, query: str, limit: int = 10, p
         counted = own.where(F.col("term").isin(terms)).groupBy("entry_id", "source_profile").agg(*[F.sum(F.when(F.col("term") == t, F.col("tf")).otherwise(0)).alias(f"t{i}") for i, t in enumerate(terms)])
         docs = lengths.join(counted, "entry_id", "left").fillna(0, [f"t{i}" for i in range(len(terms))])
     else:
-        split = rows.select("entry_id", "source_profile", words(F.col("content")).alias("w"))
-        docs = split.select("entry_id", "source_profile", F.size("w").alias("dl"), *[times("w", t).alias(f"t{i}") for i, t in enumerate(terms)])
+        # one pass of a regular expression finds the query's words alone; no array of all words is built
+        low = F.lower("content")
+        found = F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(terms)})(?![\p{{L}}\p{{N}}])"), F.lit(1))
+        # the generator is a fence: a filter pushed below it would run the expressions once more for each term
+        split = rows.select("entry_id", "source_profile", F.explode(F.array(F.struct(F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+")).alias("dl"), found.alias("w")))).alias("x"))
+        docs = split.select("entry_id", "source_profile", "x.dl", *[times("x.w", t).alias(f"t{i}") for i, t in enumerate(terms)])
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hits = docs.where(" or ".join(f"t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
@@ -263,8 +267,9 @@ def hybrid(
 
     Keyword, semantic (where a vector is given and the script allows it) and graph (where
     edges are given) always take part; event date or recency by request. Candidates are
-    admitted in channel order, entity and temporal ones while room remains. An empty query
-    gives nothing; a recency search needs a reference time.
+    admitted in channel order, entity and temporal ones while room remains. The channels run
+    when this is called, once, and leave a few hundred rows. An empty query has no keyword
+    hits; a recency search needs a reference time.
     """
     from attestry.operators.graph import expand
 
@@ -284,6 +289,7 @@ def hybrid(
     if entity is not None:
         channels["entity"] = entity
     listed = union_channels(channels)
+    listed = listed.sparkSession.createDataFrame(listed.collect(), listed.schema)  # at most candidate_limit rows a channel, needed twice below
     universe = candidates(listed, candidate_limit, ("keyword", "semantic", "graph", "entity", "temporal"))
     fused = fuse(listed, universe, k, weights).where(F.col("fused_rank") <= limit)
     return temporal_context(fused, temporal)
