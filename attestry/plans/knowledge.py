@@ -546,3 +546,74 @@ def discovery_stream(spark, base):
     q = feeds.latest_clients(packets).writeStream.format("memory").queryName("attestry_discovery").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table("attestry_discovery")
+
+
+# ---- further reads --------------------------------------------------------------------
+
+
+@query("SELECT event_id AS request_id, event_id % 3 <> 0 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AS allowed FROM events")
+def capability_checks(spark, base):
+    from attestry.operators import governance as gv
+
+    i = F.col("event_id")
+    rows = _events(spark, base).select(
+        i.alias("request_id"), F.when(i % 3 != 0, True).alias("authenticated"), F.lit("p").alias("participant_id"), F.when(i % 5 == 0, "q").otherwise("p").alias("session_participant_id"), F.lit("read").alias("capability"),
+        F.when(i % 7 == 0, F.array(F.lit("write"))).otherwise(F.array(F.lit("read"), F.lit("write"))).alias("capabilities"),
+    )
+    return gv.capability_allowed(rows).select("request_id", "allowed")
+
+
+@query(ENTRIES + " SELECT e.event_id FROM (SELECT event_id, event_id % (SELECT count(*) FROM documents) + 1 AS entry_id FROM events WHERE event_id % 7 <> 0) e JOIN gov ON gov.id = entry_id WHERE validated_at IS NOT NULL")
+def strict_evidence(spark, base):
+    from attestry.operators import governance as gv
+
+    e = tables.entries(spark, base)
+    n = tables.table(spark, base, "documents").count()
+    ev_rows = _events(spark, base).select("event_id", (F.col("event_id") % n + 1).alias("entry_id"))
+    known = e.select(F.col("id").alias("entry_id"), "source_profile", F.col("origin_memory_id").alias("source_memory_id"))
+    rows = ev_rows.join(known, "entry_id").withColumn("source_profile", F.when(F.col("event_id") % 7 == 0, "wrong").otherwise(F.col("source_profile")))
+    return gv.strict_evidence(rows, e).select("event_id")
+
+
+@query(ENTRIES + " SELECT source_profile, origin_memory_id, min(id) AS id FROM entries GROUP BY 1, 2")
+def entries_by_source(spark, base):
+    from attestry.operators import governance as gv
+
+    return gv.first_by_source(tables.entries(spark, base))
+
+
+@query("SELECT user_id AS participant_id, list_sort(list_distinct(list_concat(['read'], CASE WHEN user_id % 2 = 0 THEN ['write'] ELSE [] END))) AS capabilities FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 <> 0 UNION ALL SELECT user_id, CASE WHEN user_id % 2 = 0 THEN ['write'] ELSE [] END FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 = 0")
+def capability_changes(spark, base):
+    none = F.array().cast("array<string>")
+    u = _events(spark, base).select(F.col("user_id").alias("participant_id")).distinct()
+    rows = u.select("participant_id", F.array(F.lit("read")).alias("capabilities"), F.when(F.col("participant_id") % 2 == 0, F.array(F.lit("write"))).otherwise(none).alias("add"), F.when(F.col("participant_id") % 3 == 0, F.array(F.lit("read"))).otherwise(none).alias("remove"))
+    return fd.change_capabilities(rows)
+
+
+@query("WITH e AS (SELECT user_id AS c, min(event_id) FILTER (WHERE event_type = 'view') AS a, max(event_id) FILTER (WHERE event_type = 'purchase') AS r FROM events GROUP BY 1) SELECT c AS conflict_id, CASE WHEN a IS NOT NULL AND r > a THEN 'resolved' WHEN a IS NOT NULL THEN 'acknowledged' ELSE 'open' END AS state FROM e")
+def conflict_states(spark, base):
+    rows = _events(spark, base).select(F.col("user_id").alias("conflict_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "acknowledge").when(F.col("event_type") == "purchase", "resolve").otherwise("note").alias("action"))
+    return fd.conflict_states(rows)
+
+
+@query("SELECT event_id AS exchange_id, 'tc-' || substr(sha256('p' || user_id % 5 || '|p' || event_id % 5 || '|k' || event_id), 1, 24) AS candidate_id, 'proposed' AS projection_state FROM events WHERE event_id % 4 <> 0 AND user_id % 5 <> event_id % 5")
+def federation_adoption_proposals(spark, base):
+    t = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    i = F.col("event_id")
+    return fd.propose_adoption(_events(spark, base).select(i.alias("exchange_id"), F.when(i % 4 != 0, "validated").otherwise("rejected").alias("state"), t("p", F.col("user_id") % 5).alias("source_profile"), t("p", i % 5).alias("destination_profile"), t("k", i).alias("knowledge_id")))
+
+
+@query("SELECT event_id AS exchange_id, 'revoked' AS status FROM events WHERE event_id % 6 = 0 AND event_id % 4 <> 0")
+def federation_revocations(spark, base):
+    i = F.col("event_id")
+    a = _events(spark, base).select(i.alias("exchange_id"), F.lit("p").alias("source_profile"), i.cast("string").alias("knowledge_id"), F.lit("adopted").alias("status"))
+    r = a.where("exchange_id % 6 = 0").withColumn("source_profile", F.when(F.col("exchange_id") % 4 == 0, "other").otherwise("p")).drop("status")
+    return fd.propagate_revocations(r, a).select("exchange_id", "status")
+
+
+@query("SELECT 'm' || user_id AS model_id, 'T' || user_id AS title FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 <> 0 AND user_id % 2 = 0")
+def current_models(spark, base):
+    u = _events(spark, base).select("user_id").distinct()
+    t = lambda p: F.concat(F.lit(p), F.col("user_id").cast("string"))
+    rows = u.select(t("m").alias("model_id"), t("T").alias("title"), F.lit(1).alias("version"), F.when(F.col("user_id") % 3 == 0, "stale").otherwise("active").alias("status"), F.array(F.when(F.col("user_id") % 2 == 0, "p").otherwise("q")).alias("source_profiles"))
+    return mm.current_models(rows, profile="p").select("model_id", "title")
