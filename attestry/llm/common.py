@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +13,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir; a local one only in local mode where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
             current = spark.sparkContext.getCheckpointDir()
         found = current
@@ -92,8 +93,3 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if np.array_equal(new, root):
             return root
         root = new
-
-
-def batches(chunks: Iterator, column: int = 0) -> Iterator:
-    for batch in chunks:
-        yield batch, batch.column(column).to_pylist()
