@@ -176,13 +176,13 @@ class BenchmarkIndex:
         A window without a hit shares nothing with any item, so windows are fingerprinted
         where one can hold a hit, and nowhere else.
         """
-        best: dict[int, tuple[float, int]] = {}
+        best = self._short(marks, hits, size)
         lengths = {self.lengths[i] for h in np.unique(marks[hits]).tolist() for i in self.holders[size][h]}
         weight = None
         for length in sorted(lengths):
             n = length[1]
             if len(marks) < n:
-                continue
+                continue  # compared whole by _short()
             first, last = np.maximum(hits - n + 1, 0), np.minimum(hits, len(marks) - n)  # starts of windows with that hit
             part = np.append(0, np.flatnonzero(first[1:] > last[:-1] + 1) + 1)
             for a, b in zip(first[part], np.append(last[part[1:] - 1], last[-1])):
@@ -196,6 +196,29 @@ class BenchmarkIndex:
                         best[i] = (s, int(a) + w)
         return best
 
+    def _short(self, marks: np.ndarray, hits: np.ndarray, size: int) -> dict[int, tuple[float, int]]:
+        """Items with more shingles than the text, which is then their one window as a whole.
+
+        The comparison is exact: an item in reach shares more weight than the shingles
+        left out hold, so it holds one of the others; those of fewest items are asked.
+        """
+        n = len(marks)
+        if max(k for s, k in self.blocks if s == size) <= n:
+            return {}
+        own, held = marks.tolist(), self.holders[size]
+        count = Counter(own)
+        load = {h: self.weight.get(h, self.other) * k for h, k in count.items()}
+        total = sum(load.values())
+        seen = sorted(set(marks[hits].tolist()), key=lambda h: (len(held[h]), h))
+        rest, asked = sum(load[h] for h in seen), set()
+        for h in seen:
+            if rest < self.threshold * total - 1e-9:
+                break
+            rest -= load[h]
+            asked.update(i for i in held[h] if self.lengths[i][1] > n and self.totals[i] * self.threshold <= total + 1e-9)
+        found = {i: self.similarity(own, i) for i in asked}
+        return {i: (s, 0) for i, s in found.items() if s >= self.threshold - 1e-9}  # sums in another order may fall short of a tie
+
 
 def leak_column(text: Column, index: BenchmarkIndex, kind: str = "bigint") -> Column:
     """Items that a text holds, as an array of (item_id, similarity, start)."""
@@ -231,7 +254,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     An item is found where a window of its own number of words has a weighted Jaccard
     similarity of five-word shingles of threshold (0.8) or more; an item of fewer words is one
-    shingle. Words are lower-cased (A-Z), parted by ASCII white space and marks. Null and
+    shingle, and a text of fewer words than the item is one window. Words are lower-cased (A-Z), parted by ASCII white space and marks. Null and
     empty texts or items match nothing; rows that repeat an id keep their own findings.
     """
     bound_batches(docs.sparkSession)
