@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, discard, materialize
 
 #: Bytes as words see them: A-Z lowered, ASCII white space and marks parting words (0).
 _MAP = np.arange(256, dtype=np.uint8)
@@ -55,6 +55,13 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return _mix(h)
 
 
+def item_shingles(text: bytes | None, size: int) -> tuple[np.ndarray, int]:
+    """Shingle hashes of an item and the words of each: size, or all words of a shorter item; 0 without words."""
+    words, _ = hashed_words(np.frombuffer(text or b"", np.uint8))
+    k = min(size, len(words))
+    return (shingles(words, k), k) if k else (words, 0)
+
+
 def window_fingerprints(marks: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
     """Weighted SimHash of every run of size shingles."""
     bits = np.unpackbits(marks.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -85,26 +92,26 @@ class BenchmarkIndex:
     blocks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]  # by length: items, [8, 256, items] near or not
 
     @classmethod
-    def build(cls, items: list[tuple], size: int = 5, threshold: float = 0.8, radius: int = 20) -> BenchmarkIndex:
+    def build(cls, items: list[tuple], size: int = 5, threshold: float = 0.8, radius: int = 20, whole: tuple[int, dict[int, int]] | None = None) -> BenchmarkIndex:
+        """whole: what shared_shingles() says of the benchmark that items are a part of; by default they are all of it."""
         ids, marks, lengths = [], [], []
         for item, text in items:
-            words, _ = hashed_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))
-            if len(words):
-                k = min(size, len(words))
+            found, k = item_shingles(text if isinstance(text, (bytes, bytearray)) else (text or "").encode("utf-8", "surrogatepass"), size)
+            if k:
                 ids.append(item)
-                marks.append(shingles(words, k))
-                lengths.append((k, len(words) - k + 1))
+                marks.append(found)
+                lengths.append((k, len(found)))
         counts = [Counter(m.tolist()) for m in marks]
-        spread = Counter(h for c in counts for h in c)
-        other = float(np.log(1 + len(ids)))
-        weight = {h: float(np.log(1 + len(ids) / n)) for h, n in spread.items()}  # shingles that many items share say less
-        totals = [sum(weight[h] * n for h, n in c.items()) for c in counts]
+        number, spread = whole or (len(ids), Counter(h for c in counts for h in c))
+        other = float(np.log(1 + number))  # also that of shingles which one item has
+        weight = {h: float(np.log(1 + number / n)) for h, n in spread.items() if n > 1}  # shingles that many items share say less
+        totals = [sum(weight.get(h, other) * n for h, n in c.items()) for c in counts]
         holders: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, c in enumerate(counts):
             for h in c:
                 holders[lengths[i][0]][h].append(i)
         keys = {k: np.sort(np.array(list(h), dtype=np.uint64)) for k, h in holders.items()}
-        prints = np.array([window_fingerprints(m, np.array([weight[h] for h in m.tolist()]), len(m))[0] for m in marks], dtype=np.uint64)
+        prints = np.array([window_fingerprints(m, np.array([weight.get(h, other) for h in m.tolist()]), len(m))[0] for m in marks], dtype=np.uint64)
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // 8
         blocks = {}
         for length in set(lengths):
@@ -231,21 +238,43 @@ def leak_column(text: Column, index: BenchmarkIndex, kind: str = "bigint") -> Co
     return leaks(text.cast("binary"))
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = 20_000, **policy):
-    """Indexes over the benchmark in blocks of at most block items, so what is sent to the executors is bounded."""
-    named = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    last = None
+def shingle_column(text: Column, size: int) -> Column:
+    """Distinct shingle hashes of an item."""
+
+    @F.arrow_udf("array<bigint>")
+    def marks(values: pa.Array) -> pa.Array:
+        return pa.array([np.unique(item_shingles(v, size)[0]).view(np.int64) for v in values.to_pylist()], pa.list_(pa.int64()))
+
+    return marks(text.cast("binary"))
+
+
+def shared_shingles(items: DataFrame) -> tuple[int, dict[int, int]]:
+    """Number of items(marks) with words, and how many hold each shingle that more than one holds."""
+    held = items.where(F.size("marks") > 0)
+    shared = held.select(F.explode("marks").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toPandas()
+    return held.count(), dict(zip(shared["h"].to_numpy(dtype=np.int64).view(np.uint64).tolist(), shared["n"].tolist()))
+
+
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = 20_000, size: int = 5, **policy):
+    """Indexes over the benchmark in blocks of at most block items, so what is sent to the executors is bounded.
+
+    Every block weighs shingles by their items in the whole benchmark, so a finding doesn't
+    depend on the items that share its block; only shingles of several items are sent along
+    (any other weighs as one that no item has). Rows are numbered once: those of a null or
+    a repeated id count like any other.
+    """
+    bound_batches(items.sparkSession)
+    text = F.col(text_col).cast("binary")
+    named = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), text.alias("t"), shingle_column(text, size).alias("marks"))
+    numbered = materialize(named.withColumn("row", F.monotonically_increasing_id()))
+    whole, last = shared_shingles(numbered), -1
     while True:
-        part = (named if last is None else named.where(F.col("i") > F.lit(last))).orderBy("i", "t").limit(block).collect()
-        if len(part) == block and part[0]["i"] != part[-1]["i"]:  # an id isn't cut in two
-            part = [r for r in part if r["i"] != part[-1]["i"]]
-            more = True
-        else:
-            more = len(part) == block
+        part = numbered.where(F.col("row") > last).orderBy("row").select("row", "i", "t").limit(block).collect()
         if part:
-            yield BenchmarkIndex.build([(r["i"], r["t"]) for r in part], **policy)
-            last = part[-1]["i"]
-        if not more:
+            yield BenchmarkIndex.build([(r["i"], r["t"]) for r in part], size=size, whole=whole, **policy)
+            last = part[-1]["row"]
+        if len(part) < block:
+            discard(numbered)
             return
 
 
@@ -255,7 +284,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     An item is found where a window of its own number of words has a weighted Jaccard
     similarity of five-word shingles of threshold (0.8) or more; an item of fewer words is one
     shingle, and a text of fewer words than the item is one window. Words are lower-cased (A-Z), parted by ASCII white space and marks. Null and
-    empty texts or items match nothing; rows that repeat an id keep their own findings.
+    empty texts or items match nothing; rows that repeat an id keep their own findings, and
+    an item with a null id is found under it.
     """
     bound_batches(docs.sparkSession)
     kind = "string" if dict(items.dtypes)["item_id"] == "string" else "bigint"

@@ -51,3 +51,28 @@ def test_a_trimmed_item_is_dropped(spark):
     bench = spark.createDataFrame([(9, passage)], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.find_leaks(docs, bench).collect()) == [(1, 9, 0), (2, 9, 0)]
     assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()) == [3, 4]
+
+
+def test_blocks_weigh_shingles_by_the_whole_benchmark(spark):
+    rng = random.Random(6)
+    common = "read the passage below and choose the answer that fits it best of all"
+    items = [(i, common + " " + " ".join(f"v{rng.randrange(900)}" for _ in range(12))) for i in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(t.split()[: len(t.split()) - cut] + ["end"] * cut) for _, t in items for cut in range(1, 6)] + [t.replace("choose", "pick") for _, t in items]
+    want = decontaminate.BenchmarkIndex.build(items).leaks([t.encode() for t in texts])
+    got = [[] for _ in texts]
+    for index in decontaminate.item_blocks(bench, block=2):
+        assert len(index.ids) <= 2
+        for found, more in zip(got, index.leaks([t.encode() for t in texts])):
+            found += more
+    flat = lambda rows: [{(f["item_id"], round(f["similarity"], 9), f["start"]) for f in r} for r in rows]
+    assert flat(got) == flat(want) and any(flat(want)) and not all(flat(want))
+
+
+def test_items_of_repeated_and_null_ids_all_count(spark):
+    passage = lambda k: " ".join(f"p{k}w{j}" for j in range(20))
+    bench = spark.createDataFrame([(7, passage(k)) for k in range(5)] + [(None, passage(5)), (8, None), (9, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, "so " + passage(k)) for k in range(7)], "doc_id long, text string")
+    assert sum(len(i.ids) for i in decontaminate.item_blocks(bench, block=2)) == 6
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, block=2).collect()) == [(0, 7), (1, 7), (2, 7), (3, 7), (4, 7), (5, None)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench, block=2).collect()] == [6]
