@@ -184,17 +184,19 @@ class BlockModel:
         near = (parent[1:] == parent[:-1]) & same
         link[:-1] = np.where(same, self.adjacent / (1 + np.abs(depth[1:] - depth[:-1])), 0) + np.where(near, self.sibling, 0)
         back = np.concatenate(([0.0], link[:-1]))
+        order = np.lexsort((parent, page))  # proximity in the tree: blocks of one parent that others part
+        one, two = order[:-1], order[1:]
+        apart = (page[one] == page[two]) & (parent[one] == parent[two]) & (two > one + 1)
+        one, two = one[apart], two[apart]
+        edge = np.searchsorted(page[one], np.arange(len(pages) + 1))
+        proximity = np.bincount(np.append(one, two), minlength=len(flat)) * (self.sibling / 2)
         content = cost > 0
-        sure = np.abs(cost) > link + back  # outweighs all its edges: the cut can't have it otherwise
+        sure = np.abs(cost) > link + back + proximity  # outweighs all its edges: the cut can't have it otherwise
         for p in np.unique(page[~sure]):
             a, b = first[p], first[p] + size[p]
             edges = [(i, i + 1, float(link[a + i])) for i in range(size[p] - 1) if link[a + i] > 0]
-            last: dict[int, int] = {}
-            for i in range(size[p]):  # proximity in the tree: blocks of one parent that others part
-                k = last.get(int(parent[a + i]))
-                if k is not None and k + 1 < i:
-                    edges.append((k, i, self.sibling / 2))
-                last[int(parent[a + i])] = i
+            own = slice(edge[p], edge[p + 1])
+            edges += [(i, k, self.sibling / 2) for i, k in zip((one[own] - a).tolist(), (two[own] - a).tolist())]
             content[a:b] = minimum_cut(cost[a:b], edges)
         return [content[a : a + n] for a, n in zip(first, size)]
 
