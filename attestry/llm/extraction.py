@@ -36,6 +36,12 @@ _CUE = re.compile(
     r"footer|foot|header|masthead|topbar|copyright|legal|login|signin|signup|search|form|pagination|pager|toolbar|contentinfo|complementary|dialog)(?![a-z])",
     re.I,
 )
+#: Words beside a cue that leave its sense, and first words that tell of the page and not of the element.
+_FORM = frozenset("list lists area item items link links box bar block section site page post posts text".split())
+_STATE = frozenset("has have no not with without show hide enable enabled disable disabled supports".split())
+#: Characters of prose that outweigh a cue word in part of a class name.
+_OUTWEIGHED = 200
+_LETTERS = re.compile(r"[a-z]+", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARKS = re.compile(r"[.,;:!?]")
 _KEEP = frozenset(("html", "body", "article", "main"))
@@ -52,6 +58,25 @@ class Block:
     tag: str
     inside: bool  # an article or main element holds it
     off: bool  # a menu, header, footer, ... holds it
+    doubt: float = 0.0  # how far a class name that is a cue in part tells against it: 0 not at all, 1 like off
+
+    @property
+    def prose(self) -> bool:
+        return len(self.text) >= 40 and 3 * self.links < len(self.text)
+
+
+def cue(names: str) -> int:
+    """What the names of a class, id or role say of an element: 2 one is a cue as a whole, 1 in part, 0 none is."""
+    found = 0
+    for name in names.split():
+        if _CUE.search(name):
+            words = _LETTERS.findall(name.lower())
+            if words[0] in _STATE:
+                continue
+            if all(w in _FORM or _CUE.fullmatch(w) for w in words):
+                return 2
+            found = 1
+    return found
 
 
 def blocks(html: str | None) -> list[Block]:
@@ -59,7 +84,8 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, number, inside, off, link
+    stack: list[tuple[str, int, bool, bool, bool, tuple]] = [("", 0, False, False, False, ())]  # tag, number, inside, off, link, holders that a cue in part names
+    held: list[tuple] = []
     number, pieces, linked, at = 0, [], 0, 0
 
     def close() -> None:
@@ -72,6 +98,7 @@ def blocks(html: str | None) -> list[Block]:
             holder = next((s for s in reversed(stack) if s[0] in _BLOCK or not s[0]), stack[0])
             up = next((s for s in reversed(stack[: stack.index(holder)]) if s[0] in _BLOCK or not s[0]), stack[0])
             out.append(Block(text, min(linked, len(text)), up[1], len(stack), holder[0], holder[2], holder[3]))
+            held.append(holder[5])
         pieces.clear()
         linked = 0
 
@@ -113,9 +140,9 @@ def blocks(html: str | None) -> list[Block]:
         if tag in _VOID:
             continue
         attributes = (m[4] if m[3] else m[7]) or ""
-        _, _, inside, off, link = stack[-1]
+        _, _, inside, off, link, doubted = stack[-1]
         if tag in ("article", "main"):
-            inside, off = True, off and inside
+            inside, off, doubted = True, off and inside, doubted if inside else ()
         elif tag in _OFF or (tag == "header" and not inside):
             off = True
         if attributes and not off:
@@ -123,17 +150,24 @@ def blocks(html: str | None) -> list[Block]:
                 name, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
                     off = True
-                elif name in ("class", "id", "role") and tag not in _KEEP and _CUE.search(value):
-                    off = True
+                elif name in ("class", "id", "role") and tag not in _KEEP and (said := cue(value)):
+                    off = off or said == 2
+                    doubted = (*doubted, number + 1)
         if attributes.endswith("/") and tag not in _BLOCK:
             continue
         number += 1
-        stack.append((tag, number, inside, off, link or tag == "a"))
+        stack.append((tag, number, inside, off, link or tag == "a", doubted))
     if at < len(html):
         pieces.append(html[at:])
         if stack[-1][4]:
             linked += len(html) - at
     close()
+    prose: dict[int, int] = {}
+    for b, holders in zip(out, held):
+        for h in set(holders) if b.prose and not b.off else ():
+            prose[h] = prose.get(h, 0) + len(b.text)
+    for b, holders in zip(out, held):
+        b.doubt = max(0.0, *(1 - prose.get(h, 0) / _OUTWEIGHED for h in holders)) if holders else 0.0
     return out
 
 
@@ -163,9 +197,9 @@ class BlockModel:
     def costs(self, x: np.ndarray, found: list[Block]) -> np.ndarray:
         """Log odds of content: the classifier's, within trust, and the evidence of the tree."""
         text = np.clip(x @ self.weights, -self.trust, self.trust)
-        prose = [len(b.text) >= 40 and 3 * b.links < len(b.text) for b in found]
-        place = np.array([-9.0 if b.off else 5.0 if b.inside else 2.5 if long else 1.0 if b.tag == "p" else 0.0 for b, long in zip(found, prose)])
-        return text + place
+        place = np.array([-9.0 if b.off else 5.0 if b.inside else 2.5 if b.prose else 1.0 if b.tag == "p" else 0.0 for b in found])
+        doubt = np.array([b.doubt for b in found])
+        return text + place + doubt * (-9.0 - place)
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Which blocks of each page are content: the minimum cut between the two labels."""
@@ -272,7 +306,7 @@ def train(pages: list[str | None], rounds: int = 30) -> BlockModel:
     """Logistic regression of block statistics on what the tree says plainly: blocks in an
     article or main element against blocks of menus, footers and the like."""
     found = [b for h in pages for b in blocks(h)]
-    sure = [b for b in found if b.off or b.inside]
+    sure = [b for b in found if b.off or (b.inside and not b.doubt)]
     y = np.array([0.0 if b.off else 1.0 for b in sure])
     weights = np.zeros(FEATURES)
     if 0 < y.sum() < len(y):

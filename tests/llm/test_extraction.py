@@ -1,6 +1,7 @@
 """Main text of pages without article or main: what decides is the minimum cut."""
 
 import numpy as np
+import pytest
 
 from attestry.llm import extraction
 
@@ -43,3 +44,19 @@ def test_proximity_keeps_a_short_paragraph_between_quotes():
     model.costs = lambda x, found: np.array([-1.0 if b.text == "Short" else 3.0 for b in found])  # 1.0 < 0.2 + 0.2 + 0.4 + 0.4
     assert "Short" in [b.text for b in found]
     assert model.label([found])[0].all()
+
+
+def test_cue_words_in_part_of_a_name_are_outweighed_by_prose():
+    body = "<h2>A heading</h2><p>A long paragraph of prose, that tells of one thing and then of another, as texts do.</p><p>Short one.</p><p>Another long paragraph of prose, with marks and words, which ends as the text does, at last.</p>"
+    menu = '<div class="sidebar"><ul><li><a href="/">Home</a></li><li><a href="/b">Other</a></li></ul></div><div class="comment-list"><p>' + "A comment of many words, as long as any other prose. " * 6 + "</p></div>"
+    model = extraction.train([f"<body><nav><a href='/'>Home</a></nav><main>{body}</main></body>"] * 3)
+    for name in ("has-sidebar", "no-sidebar", "with-comments", "content-sidebar-wrap", "post has-comments"):
+        text = model.extract([f'<body><div class="{name}">{body}{menu}</div></body>'])[0]
+        assert all(x in text for x in ("A long paragraph", "Short one.", "Another long")), name
+        assert "comment of" not in text and "Home" not in text
+    for name in ("sidebar", "comments", "site-footer", "cookie-notice", "content-sidebar-wrap", "promo-inline"):
+        assert model.extract([f'<body><div class="{name}"><p>Buy one now.</p></div></body>']) == [""], name
+    for attribute in ('class="comments"', "hidden", 'style="display:none"'):
+        assert model.extract([f"<body><div {attribute}>{body}</div></body>"]) == [""]
+    assert extraction.cue("nav_menu") == 2 and extraction.cue("x-nav") == 1 and extraction.cue("has-nav wide") == 0
+    assert pytest.approx(1 - 84 / 200, abs=0.1) == extraction.blocks('<div class="promo-inline"><p>A paragraph of prose, that tells of one thing and then of another, as texts do.</p>')[0].doubt
