@@ -23,7 +23,8 @@ SCRIPTS = (
 )
 _NAMES = sorted({name for name, _, _ in SCRIPTS})
 _BITS = 16
-_SPAN = 1 << 20  # characters handled at once
+_SPAN = 1 << 20  # characters handled at once with up to 8 languages, fewer with more
+_CELLS = 1 << 23  # scores of letters held at once
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -81,7 +82,14 @@ class LanguageModel:
             return start, length, np.zeros((0, len(self.languages)), dtype=np.float32)
         slot = _trigrams(chars)
         inside = np.flatnonzero(chars)  # letters only, so that each word's positions follow each other
-        score = np.add.reduceat(self.table[slot[inside]], np.cumsum(length) - length, axis=0)
+        upto = np.cumsum(length)
+        score = np.empty((len(start), len(self.languages)), dtype=np.float32)
+        most, a = max(1, _CELLS // max(1, len(self.languages))), 0
+        while a < len(start):  # whole words at a time
+            at = upto[a] - length[a]
+            b = max(a + 1, int(np.searchsorted(upto, at + most, side="right")))
+            score[a:b] = np.add.reduceat(self.table[slot[inside[at : upto[b - 1]]]], upto[a:b] - length[a:b] - at, axis=0)
+            a = b
         _, script = _lookup()
         kind = script[np.minimum(points[start], 0x1FFFF)]
         allowed = self.scripts[kind]
@@ -91,10 +99,10 @@ class LanguageModel:
     def labels(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(word starts, word lengths, language numbers) of each text, by Viterbi over its words."""
         out: list = []
-        at = 0
+        at, span = 0, _SPAN * 8 // max(8, len(self.languages))
         while at < len(texts):  # in spans, so that memory follows the longest text and not the batch
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto] or "") < _SPAN):
+            while upto < len(texts) and (upto == at or size + len(texts[upto] or "") < span):
                 size += len(texts[upto] or "")
                 upto += 1
             out += self._label(texts[at:upto])
@@ -148,7 +156,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: fl
         return path
     first, count = first[order], count[order]
     active = len(count) - np.searchsorted(count[::-1], np.arange(1, count[0] + 1))  # with t words or more, t from 1
-    came = np.zeros((n, kinds), dtype=np.int8)
+    came = np.zeros((n, kinds), dtype=np.min_scalar_type(-kinds))  # a type that holds every label
     value = score[first].astype(np.float64)
     own = np.arange(kinds)
     for t in range(1, int(count[0])):
@@ -227,37 +235,36 @@ def viterbi_blocks(score: np.ndarray, first: np.ndarray, count: np.ndarray, pena
 def train(texts: list[str | None], langs: list[str], penalty: float = 12.0) -> LanguageModel:
     """Smoothed trigram tables and written scripts of each language."""
     names = sorted(set(langs))
-    counts = np.zeros((1 << _BITS, len(names)))
+    table = np.zeros((1 << _BITS, len(names)), dtype=np.float32)
     used = np.zeros((len(_NAMES) + 1, len(names)))
+    own: dict[str, list[str]] = {name: [] for name in names}
+    for text, lang in zip(texts, langs):
+        if text:
+            own[lang].append(text)
     _, script = _lookup()
     for k, name in enumerate(names):
-        for text, lang in zip(texts, langs):
-            if lang != name or not text:
-                continue
+        share = np.full(1 << _BITS, 0.5)
+        for text in own[name]:
             points, _ = _letters([text])
             chars, start, length = _words(points)
-            counts[:, k] += np.bincount(_trigrams(chars)[chars > 0], minlength=1 << _BITS)
+            share += np.bincount(_trigrams(chars)[chars > 0], minlength=1 << _BITS)
             used[:, k] += np.bincount(script[np.minimum(points[start], 0x1FFFF)], minlength=len(_NAMES) + 1)
-    share = counts + 0.5
-    table = np.log(share / share.sum(axis=0)) if names else share
+        table[:, k] = np.log(share / share.sum())
     written = used / np.maximum(used.sum(axis=0), 1) >= 0.02
     written[0] = False
-    return LanguageModel(names, table.astype(np.float32), written, penalty)
+    return LanguageModel(names, table, written, penalty)
 
 
-def fit(docs: DataFrame, each: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (5, 0), most: int = 300, **options) -> LanguageModel:
+def fit(docs: DataFrame, each: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (5, 0), **options) -> LanguageModel:
     """Fit on at most each documents of a language (a documented bound), chosen by the md5
-    of their ids among rows whose crc32(id) mod n isn't k. Languages are counted first, and
-    more than most are refused."""
+    of their ids among rows whose crc32(id) mod n isn't k. Languages are counted first; any
+    number of them is taken, at 256 KB of the model each."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out:
         known = known.where(crc_mod(F.col(id_col), held_out[0]) != held_out[1])
-    counts = {r[lang_col]: r["n"] for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).limit(most + 1).collect()}
-    if len(counts) > most:
-        raise ValueError(f"more than {most} languages")
     part = F.conv(F.substring(F.md5(F.concat(F.lit("lang"), F.col(id_col).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])[F.col(lang_col)] if counts else F.lit(0.0)
-    rows = known.where(part < rate).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toPandas()
+    rates = known.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(each)) / F.count("*")).alias("__rate"))
+    rows = known.join(F.broadcast(rates), lang_col).where(part < F.col("__rate")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toPandas()
     rows = rows.sort_values(["lang", "id", "text"], kind="stable", na_position="last")
     return train([t if isinstance(t, str) else None for t in rows["text"]], rows["lang"].tolist(), **options)
 
