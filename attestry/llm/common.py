@@ -45,6 +45,28 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables of one call of an operator, deleted together when it is done with them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        self.tables.append(out)
+        return out
+
+    def keep(self, *wanted: DataFrame) -> None:
+        """Delete all tables but those wanted."""
+        self.tables = [t for t in self.tables if all(t is not w for w in wanted)]
+        self.clear()
+
+    def clear(self) -> None:
+        for table in self.tables:
+            discard(table)
+        self.tables.clear()
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Keep Arrow batches small, so that long texts don't fill a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

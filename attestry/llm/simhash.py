@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, byte_words, local_components, materialize
+from .common import Scratch, bound_batches, byte_words, checked_broadcast, local_components, materialize
 from .components import connected_components
 
 _DIGEST = xxhash.xxh64_digest
@@ -151,6 +151,27 @@ class GrayIndex:
         return self.order[np.concatenate(left)], self.order[np.concatenate(right)]
 
 
+    def pairs(self, radius: int, fixed: np.uint64, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs (positions in codes as given) within radius whose bits of fixed agree, step codes at a time."""
+        n = len(self.codes)
+        span = [self.fanout ** (len(self.levels) - 1 - d) for d in range(len(self.levels))]
+        for low in range(0, n, step):
+            query = np.arange(low, min(low + step, n))
+            node, acc = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
+            for d, (own, pattern, _) in enumerate(self.levels):
+                diff = (self.codes[query] ^ pattern[node]) & own[node]
+                acc = acc + np.bitwise_count(diff)
+                keep = (acc <= radius) & ((diff & fixed) == 0) & ((node + 1) * span[d] > query)
+                query, node, acc = query[keep], node[keep], acc[keep]
+                if d < len(self.levels) - 1:
+                    child = node[:, None] * self.fanout + np.arange(self.fanout)
+                    inside = child < len(self.levels[d + 1][1])
+                    count = inside.sum(axis=1)
+                    query, acc, node = np.repeat(query, count), np.repeat(acc, count), child[inside]
+            other = query < node
+            yield self.order[query[other]], self.order[node[other]]
+
+
 def own_all(levels: list, depth: int, node: np.ndarray, fanout: int) -> np.ndarray:
     """All bits that the members of a node share: its own and those held above it."""
     held, at = levels[depth][0][node], node
@@ -195,21 +216,47 @@ def masked_first(codes: np.ndarray, mask: int) -> tuple[np.ndarray, np.uint64]:
     return out, np.uint64(((1 << top) - 1) << (64 - top))
 
 
-def link_fingerprints(codes: DataFrame, radius: int = 4, extra: int | None = None, buffer: int = 1 << 18) -> DataFrame:
+def sent_codes(codes: DataFrame, radius: int, extra: int, crowded: int, scratch: Scratch) -> DataFrame:
+    """codes(fp) once for each block mask: fp, extra, mask_no, part (the bits of the mask).
+
+    Codes of a (mask, part) group of over crowded members go again with one agreeing block
+    more, where the groups are smaller, and so on while masks leave bits to differ in: a
+    pair of the group agrees there too.
+    """
+    out, live = None, codes
+    while True:
+        signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(radius, extra)]
+        each = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask_no", "part")
+        sent = live.select("fp", F.lit(extra).alias("extra"), each)
+        big = scratch(sent.groupBy("mask_no", "part").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("mask_no", "part"))
+        n = big.count() if extra < 8 else 0
+        if n:
+            side = checked_broadcast(big, n, 500_000)
+            live = scratch(sent.join(side, ["mask_no", "part"], "left_semi").select("fp").distinct())
+            sent = sent.join(side, ["mask_no", "part"], "left_anti")
+        sent = sent.select("fp", "extra", "mask_no", "part")
+        out = sent if out is None else out.union(sent)
+        if not n:
+            return out
+        extra += 1
+
+
+def link_fingerprints(codes: DataFrame, radius: int = 4, extra: int | None = None, buffer: int = 1 << 18, crowded: int = 1 << 17, scratch: Scratch | None = None) -> DataFrame:
     """Links (a, b) over distinct codes(fp long) that connect all pairs within radius.
 
     Every code is sent once for each block mask and a Gray-order index is built over the
     groups that arrive; only codes equal on the mask meet, which loses no pair. extra
     sets how many blocks must agree (1: 5 copies of 13 bits, 2: 15 copies of 21 bits,
     3: 35 copies of 27 bits at radius 4); by default it follows the number of codes, so
-    that groups stay small. Each group yields at most one link per member.
+    that groups stay small, and crowded groups are split by more blocks. Each group yields
+    at most one link per member.
     """
     if extra is None:
         n = codes.count()
         extra = 1 if n < 1 << 25 else 2 if n < 1 << 33 else 3
-    masks = block_masks(radius, extra)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    sent = codes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask_no", "part"))
+    sent = sent_codes(codes, radius, extra, crowded, scratch or Scratch())
+    masks = {e: block_masks(radius, e) for e in range(extra, 9)}
+    sent = sent.select("fp", (F.col("extra") * 1000 + F.col("mask_no")).alias("mask_no"), "part")
     sent = sent.repartition("mask_no", "part").sortWithinPartitions("mask_no", "part")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +266,7 @@ def link_fingerprints(codes: DataFrame, radius: int = 4, extra: int | None = Non
         def flush(fp: np.ndarray, no: np.ndarray) -> Iterator[pd.DataFrame]:
             for k in np.unique(no):
                 own = fp[no == k].astype(np.int64).view(np.uint64)
-                moved, fixed = masked_first(own, masks[k])
+                moved, fixed = masked_first(own, masks[k // 1000][k % 1000])
                 a, b = GrayIndex(moved).links(radius, fixed)
                 root = local_components(len(own), a, b)
                 member = np.flatnonzero(root != np.arange(len(own)))
@@ -246,20 +293,21 @@ def link_fingerprints(codes: DataFrame, radius: int = 4, extra: int | None = Non
 
 
 def group_fingerprints(found: DataFrame, key: str, radius: int = 4) -> DataFrame:
-    """Labels (fp, lead) of found(key, fp): lead is the smallest key of all codes linked to fp.
+    """Labels (fp, n, lead) of found(key, fp): lead is the smallest key of all codes linked to fp, n the rows of fp.
 
     Equal codes meet in one map-side combined aggregate, so copies cost a row each;
     links are searched over distinct codes only. A null key is never smallest unless a
     group has no other.
     """
-    own = materialize(found.groupBy("fp").agg(F.min(key).alias("own")))
-    links = materialize(link_fingerprints(own.select("fp"), radius))
-    parts = materialize(connected_components(links)).withColumnRenamed("node", "fp")
+    scratch = Scratch()
+    own = scratch(found.groupBy("fp").agg(F.min(key).alias("own"), F.count("*").alias("n")))
+    links = scratch(link_fingerprints(own.select("fp"), radius, scratch=scratch))
+    parts = scratch(connected_components(links)).withColumnRenamed("node", "fp")
     lead = parts.join(own, "fp").groupBy("component").agg(F.min("own").alias("lead"))
     linked = parts.join(lead, "component").select("fp", "lead")
-    return own.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("lead")).otherwise(F.col("own")).alias("lead")
-    )
+    labels = scratch(own.join(linked.withColumn("linked", F.lit(True)), "fp", "left").select("fp", "n", F.when(F.col("linked"), F.col("lead")).otherwise(F.col("own")).alias("lead")))
+    scratch.keep(labels)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, radius: int = 4) -> DataFrame:
@@ -267,26 +315,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint 0 and link like any other. Rows that repeat an
     id keep a row each. A group whose ids are all null has a null component. An empty
-    table gives an empty result. Other columns of docs are ignored.
+    table gives an empty result. Other columns of docs are ignored. Labels of fingerprints
+    that a large share of the rows have are broadcast, the others joined by fingerprint.
     """
     bound_batches(docs.sparkSession)
     found = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), n).alias("fp")))
     labels = group_fingerprints(found, "doc_id", radius)
-    return found.join(labels, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead").alias("component_id"), "fp"
-    )
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, radius: int = 4) -> DataFrame:
-    """Documents with one row left of each near-duplicate group, all columns kept.
-
-    The row with the smallest (id, fingerprint) stays; of rows equal in both, one. Ids are
-    compared with null last.
-    """
-    bound_batches(docs.sparkSession)
-    coded = docs.withColumn("__fp", fingerprint_column(F.col(text_col), n))
-    found = materialize(coded.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__fp").alias("code")).alias("row"), F.col("__fp").alias("fp")))
-    labels = group_fingerprints(found, "row", radius)
-    stay = materialize(labels.select("lead").distinct().select(F.col("lead.id").alias("__id"), F.col("lead.code").alias("__code")))
-    kept = coded.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__code")), "left_semi")
-    return kept.dropDuplicates([id_col, "__fp"]).select(*docs.columns)
+    many = F.col("n") > max(200, found.count() // 20_000)  # so at most 20,000 labels
+    heavy = labels.where(many).select("fp", "lead")
+    met = found.join(F.broadcast(heavy), "fp").union(found.join(F.broadcast(heavy), "fp", "left_anti").join(labels.where(~many).select("fp", "lead"), "fp"))
+    return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead").alias("component_id"), "fp")

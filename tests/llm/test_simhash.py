@@ -114,23 +114,28 @@ def test_links_over_partitions(spark, extra):
     assert (local_components(len(codes), a, b) == local_components(len(codes), i, j)).all()
 
 
-def test_keep_first_keeps_one_row_of_a_group(spark):
-    rows = corpus()
-    df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA + ", fp int, lead string")  # clashing names
-    kept = simhash.keep_first(df)
-    assert kept.columns == df.columns
-    got = kept.collect()
-    groups = slow_groups(rows)
-    label = {}
-    for (d, f), c in groups.items():
-        label.setdefault((c, f if c is None else None), []).append(d)
-    assert len(got) == len(label)
+def test_crowded_groups_are_split_by_more_blocks(spark):
+    rng = np.random.default_rng(9)
+    base = np.int64(0x5A5A5A5A5A5A5A5A)
+    codes = np.unique(np.concatenate([base ^ (rng.integers(0, 1 << 51, 300, dtype=np.int64)), base ^ (np.int64(1) << rng.integers(0, 20, 40))]))
+    links = simhash.link_fingerprints(spark.createDataFrame([(int(c),) for c in codes], "fp long"), 4, 1, crowded=20).collect()
+    at = {int(c): i for i, c in enumerate(codes)}
+    a, b = np.array([at[r["a"]] for r in links]), np.array([at[r["b"]] for r in links])
+    u = codes.view(np.uint64)
+    i, j = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4)
+    assert (local_components(len(codes), a, b) == local_components(len(codes), i, j)).all() and len(i) > len(codes)
+
+
+def test_a_heavy_fingerprint_keeps_its_rows(spark):
+    rows = [(i, "same words here") for i in range(1, 400)] + [(500 + i, f"other {i}") for i in range(30)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in rows)
+    assert {r["component_id"] for r in got if r["doc_id"] < 500} == {1}
 
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).count() == 0
-    assert simhash.keep_first(df).count() == 0
 
 
 def test_components_of_a_long_chain_and_a_hub(spark):
