@@ -7,7 +7,8 @@ import zlib
 
 import pytest
 
-from attestry.llm import decontaminate, mixing, queries, sharding, simhash, toxicity
+from attestry.llm import decontaminate, mixing, queries, sharding, toxicity
+from tests.llm.test_near_copies import slow_near_groups
 from tests.llm.test_simhash import slow_groups
 from tests.llm.test_texts import EN, PAGE, prose, slow_leaks
 
@@ -106,12 +107,10 @@ def test_pipeline_against_brute_force(spark, tables):
     model = toxicity.fit(frame, spark.read.parquet(f"{base}/labels.parquet"))
     left = [d for d in docs if model.score(d[1]) < 0.7]
     assert {3, 13, 23} & {d[0] for d in docs} - {d[0] for d in left}
-    groups = slow_groups([(d[0], d[1]) for d in left])
-    prints = lambda d: f"{simhash.fingerprint(d[1].encode() if d[1] else None):016x}"
+    left = sorted(left, key=lambda d: (d[0] is None, d[0] or 0))
     first = {}
-    for d in sorted(left, key=lambda d: (d[0] is None, d[0] or 0, int(prints(d), 16))):
-        c = groups[d[0], prints(d)]
-        first.setdefault((c, prints(d) if c is None else None), d)
+    for d, group in zip(left, slow_near_groups([d[1] for d in left])):
+        first.setdefault(group, d)
     left = [d for d in first.values() if not slow_leaks(d[1], bench)]
     planned = mixing.plan_mix(spark.createDataFrame(left, frame.schema)).select("doc_id", "__copies").collect()
     want = sorted((r["doc_id"] for r in planned for _ in range(r["__copies"])), key=str)
