@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,14 +71,60 @@ def window_fingerprints(marks: np.ndarray, weights: np.ndarray, size: int) -> np
     return np.packbits(total[size:] - total[:-size] > 1e-6, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
+@cache
+def _near_values(bits: int) -> np.ndarray:
+    """The bytes within so many bits of each byte, as many for every one."""
+    byte = np.arange(256, dtype=np.uint8)
+    return np.array([np.flatnonzero(np.bitwise_count(byte ^ v) <= bits) for v in byte], dtype=np.uint8)
+
+
 @dataclass
-class BenchmarkIndex:
-    """Items by number of shingles with their fingerprints in Hamming blocks.
+class BlockLookup:
+    """Fingerprints by the values of their 8 blocks of 8 bits.
 
-    64 bits are cut into 8 blocks; two fingerprints within radius differ in at most
-    radius // 8 bits of some block, so looking up each block's near values finds all.
+    Two fingerprints within radius differ in at most radius // 8 bits of some block, so
+    each is filed in every block under all values so near, and a look-up of the 8 values
+    of another finds it.
     """
 
+    items: np.ndarray
+    prints: np.ndarray
+    starts: list[np.ndarray]
+    filed: list[np.ndarray]
+    radius: int
+
+    @classmethod
+    def build(cls, items: np.ndarray, prints: np.ndarray, radius: int) -> BlockLookup:
+        near = _near_values(radius // 8)
+        starts, filed = [], []
+        for value in prints.astype(">u8").view(np.uint8).reshape(-1, 8).T:
+            under = near[value].reshape(-1)
+            order = np.argsort(under, kind="stable")
+            starts.append(np.searchsorted(under[order], np.arange(257)))
+            filed.append((order // near.shape[1]).astype(np.int32))
+        return cls(items, prints, starts, filed, radius)
+
+    def near(self, prints: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+        """(position, item) of all within the radius, some prints at a time so that at most about most look-ups are held."""
+        step, left, right = max(1, most // max(1, 8 * len(self.items))), [], []
+        for at in range(0, len(prints), step):
+            own = prints[at : at + step]
+            keys = []
+            for b, value in enumerate(own.astype(">u8").view(np.uint8).reshape(-1, 8).T):
+                low, count = self.starts[b][value], self.starts[b][value.astype(np.int64) + 1] - self.starts[b][value]
+                place = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                keys.append(np.repeat(np.arange(len(own)), count) * len(self.items) + self.filed[b][place])
+            window, k = np.divmod(np.unique(np.concatenate(keys)), max(1, len(self.items)))
+            close = np.bitwise_count(own[window] ^ self.prints[k]) <= self.radius
+            left.append(window[close] + at)
+            right.append(self.items[k[close]])
+        return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
+
+
+@dataclass
+class BenchmarkIndex:
+    """Items by number of shingles with their fingerprints in Hamming blocks."""
+
     ids: list
     counts: list[Counter]
     weight: dict[int, float]
@@ -89,7 +136,7 @@ class BenchmarkIndex:
     holders: dict[int, dict[int, list[int]]]  # items by shingle hash, by shingle size
     lengths: list[tuple[int, int]]  # words of a shingle, shingles of an item
     prints: np.ndarray
-    blocks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]  # by length: items, [8, 256, items] near or not
+    blocks: dict[tuple[int, int], BlockLookup]  # by length
 
     @classmethod
     def build(cls, items: list[tuple], size: int = 5, threshold: float = 0.8, radius: int = 20, whole: tuple[int, dict[int, int]] | None = None) -> BenchmarkIndex:
@@ -112,24 +159,20 @@ class BenchmarkIndex:
                 holders[lengths[i][0]][h].append(i)
         keys = {k: np.sort(np.array(list(h), dtype=np.uint64)) for k, h in holders.items()}
         prints = np.array([window_fingerprints(m, np.array([weight.get(h, other) for h in m.tolist()]), len(m))[0] for m in marks], dtype=np.uint64)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // 8
         blocks = {}
         for length in set(lengths):
             own = np.array([i for i, x in enumerate(lengths) if x == length])
-            value = prints[own].astype(">u8").view(np.uint8).reshape(-1, 8)
-            blocks[length] = (own, np.stack([near[value[:, b]].T for b in range(8)]))
+            blocks[length] = BlockLookup.build(own, prints[own], radius)
         return cls(ids, counts, weight, other, totals, radius, threshold, keys, {k: dict(h) for k, h in holders.items()}, lengths, prints, blocks)
 
-    def candidates(self, prints: np.ndarray, length: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within the radius among items of a length."""
-        own, near = self.blocks[length]
-        value = prints.astype(">u8").view(np.uint8).reshape(-1, 8)
-        met = near[0, value[:, 0]]
-        for b in range(1, 8):
-            met = met | near[b, value[:, b]]
-        window, k = np.nonzero(met)
-        close = np.bitwise_count(prints[window] ^ self.prints[own[k]]) <= self.radius
-        return window[close], own[k[close]]
+    def candidates(self, prints: np.ndarray, length: tuple[int, int], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within the radius among items of a length; among (sorted) names those that can be similar."""
+        index = self.blocks[length]
+        if among is not None:
+            own = np.intersect1d(index.items, among, assume_unique=True)
+            if 4 * len(own) < len(index.items):
+                index = BlockLookup.build(own, self.prints[own], self.radius)
+        return index.near(prints)
 
     def similarity(self, window: list[int], item: int) -> float:
         """Weighted Jaccard of two shingle multisets."""
@@ -181,11 +224,11 @@ class BenchmarkIndex:
         """Best window of each item in one text; hits are its shingles that some item has.
 
         A window without a hit shares nothing with any item, so windows are fingerprinted
-        where one can hold a hit, and nowhere else.
+        where one can hold a hit, and nowhere else; an item of which a stretch of windows
+        holds no shingle is not looked up there.
         """
-        best = self._short(marks, hits, size)
-        lengths = {self.lengths[i] for h in np.unique(marks[hits]).tolist() for i in self.holders[size][h]}
-        weight = None
+        best, held = self._short(marks, hits, size), self.holders[size]
+        lengths = {self.lengths[i] for h in np.unique(marks[hits]).tolist() for i in held[h]}
         for length in sorted(lengths):
             n = length[1]
             if len(marks) < n:
@@ -195,7 +238,9 @@ class BenchmarkIndex:
             for a, b in zip(first[part], np.append(last[part[1:] - 1], last[-1])):
                 region = marks[a : b + n]
                 weight = np.array([self.weight.get(h, self.other) for h in region.tolist()])
-                window, item = self.candidates(window_fingerprints(region, weight, n), length)
+                inside = hits[np.searchsorted(hits, a) : np.searchsorted(hits, b + n)]
+                among = np.unique(np.concatenate([held[h] for h in np.unique(marks[inside]).tolist()]))
+                window, item = self.candidates(window_fingerprints(region, weight, n), length, among)
                 own = region.tolist()
                 for w, i in zip(window.tolist(), item.tolist()):
                     s = self.similarity(own[w : w + n], i)
