@@ -16,7 +16,7 @@ from .common import bound_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|iframe|select|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</\1\s*[^>]*>|\Z)|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</\1\s*[^>]*>|\Z)|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -28,7 +28,7 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OFF = frozenset("nav footer aside form button menu dialog head label fieldset".split())
+_OFF = frozenset("nav footer aside button menu dialog head label fieldset".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CUE = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|adslot|adbox|banner|promo|promotions?|sponsor(?:ed)?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
@@ -41,6 +41,9 @@ _FORM = frozenset("list lists area item items link links box bar block section s
 _STATE = frozenset("has have no not with without show hide enable enabled disable disabled supports".split())
 #: Characters of prose that outweigh a cue word in part of a class name.
 _OUTWEIGHED = 200
+#: Cue words that prose elements carry for what they say and not for what they are.
+_MILD = frozenset("legal copyright side share sharing related search alert alerts foot header form".split())
+_PROSE = frozenset("p li dd dt td blockquote pre figcaption h2 h3 h4 h5 h6".split())
 _LETTERS = re.compile(r"[a-z]+", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARKS = re.compile(r"[.,;:!?]")
@@ -57,8 +60,8 @@ class Block:
     depth: int
     tag: str
     inside: bool  # an article or main element holds it
-    off: bool  # a menu, header, footer, ... holds it
-    doubt: float = 0.0  # how far a class name that is a cue in part tells against it: 0 not at all, 1 like off
+    off: int  # what holds it: 0 none of these, 1 a form, 2 an element whose class is a cue, 3 a menu, header, footer, hidden element, ...
+    doubt: float = 0.0  # how far a class name that is a cue in part tells against it: 0 not at all, 1 most
 
     @property
     def prose(self) -> bool:
@@ -84,7 +87,7 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, int, bool, bool, bool, tuple]] = [("", 0, False, False, False, ())]  # tag, number, inside, off, link, holders that a cue in part names
+    stack: list[tuple[str, int, bool, int, bool, tuple]] = [("", 0, False, 0, False, ())]  # tag, number, inside, off, link, holders that a cue in part names
     held: list[tuple] = []
     number, pieces, linked, at = 0, [], 0, 0
 
@@ -142,16 +145,23 @@ def blocks(html: str | None) -> list[Block]:
         attributes = (m[4] if m[3] else m[7]) or ""
         _, _, inside, off, link, doubted = stack[-1]
         if tag in ("article", "main"):
-            inside, off, doubted = True, off and inside, doubted if inside else ()
+            if not inside:  # a form or a class may be that of a wrapper around the page; an article in a sidebar is a teaser
+                off = 0 if off <= (2 if tag == "main" else 1) else off
+                doubted = ()
+            inside = True
         elif tag in _OFF or (tag == "header" and not inside):
-            off = True
-        if attributes and not off:
+            off = 3
+        elif tag == "form":
+            off = max(off, 2 if inside else 1)
+        if attributes and off < 3:
             for a in _ATTRIBUTE.finditer(attributes):
                 name, value = a[1].lower(), (a[2] or "").strip("\"'")
                 if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-                    off = True
+                    off = 3
                 elif name in ("class", "id", "role") and tag not in _KEEP and (said := cue(value)):
-                    off = off or said == 2
+                    mild = inside and tag in _PROSE and all(w in _MILD or not _CUE.fullmatch(w) for w in _LETTERS.findall(value.lower()))
+                    if said == 2 and not mild:
+                        off = max(off, 2)
                     doubted = (*doubted, number + 1)
         if attributes.endswith("/") and tag not in _BLOCK:
             continue
@@ -187,19 +197,29 @@ def features(found: list[Block]) -> list[list[float]]:
 
 @dataclass
 class BlockModel:
-    """A trained classifier of block text; where a block lies adds fixed evidence."""
+    """A trained classifier of block text, the evidence of a block's place, and the strength of edges.
+
+    Place and text weigh about as much as the edges of a block, so that its neighbours
+    decide where the two disagree; only elements that are never part of an article weigh more.
+    """
 
     weights: np.ndarray
     trust: float = 2.0
+    inside: float = 1.5
+    prose: float = 1.0
+    form: float = -2.5
+    cue: float = -6.0
+    never: float = -9.0
+    doubt: float = -3.0
     adjacent: float = 0.6
     sibling: float = 0.8
 
     def costs(self, x: np.ndarray, found: list[Block]) -> np.ndarray:
         """Log odds of content: the classifier's, within trust, and the evidence of the tree."""
         text = np.clip(x @ self.weights, -self.trust, self.trust)
-        place = np.array([-9.0 if b.off else 5.0 if b.inside else 2.5 if b.prose else 1.0 if b.tag == "p" else 0.0 for b in found])
-        doubt = np.array([b.doubt for b in found])
-        return text + place + doubt * (-9.0 - place)
+        off = np.array([b.off for b in found], dtype=int)
+        place = np.array([self.inside * b.inside + self.prose * b.prose for b in found])
+        return text + np.where(off, np.array([0.0, self.form, self.cue, self.never])[off], place + self.doubt * np.array([b.doubt for b in found]))
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Which blocks of each page are content: the minimum cut between the two labels."""

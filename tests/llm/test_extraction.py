@@ -1,9 +1,13 @@
 """Main text of pages without article or main: what decides is the minimum cut."""
 
+import itertools
+import random
+
 import numpy as np
 import pytest
 
 from attestry.llm import extraction
+from tests.llm.test_texts import PAGE
 
 
 def slow_label(model, page):
@@ -60,3 +64,63 @@ def test_cue_words_in_part_of_a_name_are_outweighed_by_prose():
         assert model.extract([f"<body><div {attribute}>{body}</div></body>"]) == [""]
     assert extraction.cue("nav_menu") == 2 and extraction.cue("x-nav") == 1 and extraction.cue("has-nav wide") == 0
     assert pytest.approx(1 - 84 / 200, abs=0.1) == extraction.blocks('<div class="promo-inline"><p>A paragraph of prose, that tells of one thing and then of another, as texts do.</p>')[0].doubt
+
+
+LONG = "The river runs past the old mill, and in spring its water reaches the garden wall. "
+
+
+def whole(body):
+    return f"<html><body><header><h1>Site</h1></header><nav><a href='/'>Home</a></nav>{body}<footer><p>Imprint, and so on.</p></footer></body></html>"
+
+
+@pytest.mark.parametrize(("body", "want"), [
+    (f"<main><article><p>{LONG}</p></article><section class='comments'><article><p>I think so too, and I say it at length.</p></article></section></main>", LONG.strip()),
+    (f"<article><p>{LONG}</p></article><aside><article><p>Read next: a teaser of some other page, long as a paragraph.</p></article></aside>", LONG.strip()),
+    (f"<article><p>{LONG}</p><p class='legal'>The court held, in its first reading, that the mill belongs to the town.</p></article>", LONG.strip() + "\nThe court held, in its first reading, that the mill belongs to the town."),
+    (f"<article><p>{LONG}</p><div class='article-share-price'><p>The share price rose by a tenth, to 41 marks, on that day.</p></div></article>", LONG.strip() + "\nThe share price rose by a tenth, to 41 marks, on that day."),
+    (f"<article><p>{LONG}</p><p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, as was shown.</p></article>", LONG.strip() + "\nHere x=2 holds, as was shown."),
+    (f"<article><p>{LONG}</p><p class='advert'>Buy the new mill today.</p><div class='share'><a href='x'>Share</a></div></article>", LONG.strip()),
+    (f"<form id='page'><main><p>{LONG}</p><form><p>Your mail, please, for our letter.</p></form></main></form>", LONG.strip()),
+])
+def test_pages_with_comments_teasers_and_cue_words(body, want):
+    page = whole(body)
+    assert extraction.train([PAGE, page] * 3).extract([page]) == [want]
+
+
+def test_neighbours_decide_where_place_and_text_disagree():
+    """The cut keeps a block whose own cost is against it, and drops one whose cost is for it; without edges neither flips."""
+    model = extraction.BlockModel(np.zeros(extraction.FEATURES))
+    page = "<body>" + f"<p>{LONG}</p>" * 2 + "<p class='post-promo'>Short.</p>" + f"<p>{LONG}</p>" * 2 + "</body>"
+    found = extraction.blocks(page)
+    cost = model.costs(np.array(extraction.features(found)), found)
+    assert cost[2] < 0 < cost[1]
+    edges = [(i, i + 1, 1.4) for i in range(4)]
+    assert extraction.minimum_cut(np.array([3.0, 3.0, -2.0, 3.0, 3.0]), edges).tolist() == [True] * 5
+    weak = np.array([-3.0, -3.0, 1.0, -3.0, -3.0])
+    assert not extraction.minimum_cut(weak, edges).any() and extraction.minimum_cut(weak, []).tolist() == [False, False, True, False, False]
+
+
+def test_labels_of_small_pages_are_the_cheapest_of_all_labellings():
+    """The query's labels against every labelling, by the definition of the cut."""
+    rng = random.Random(3)
+    flipped = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "section", "article", "ul"])
+            inner = "".join(rng.choice([f"<p>{LONG[: rng.randint(5, 80)]}</p>", "<p class='x-promo'>Now.</p>", "<li><a href='x'>Go on</a></li>", "<h2>Head</h2>", "<td>cell</td>"]) for _ in range(rng.randint(1, 3)))
+            parts.append(f"<{tag}>{inner}</{tag}>")
+        found = extraction.blocks("".join(parts))
+        if not 0 < len(found) <= 11:
+            continue
+        weights = np.array([rng.uniform(-1.5, 1.5) for _ in range(extraction.FEATURES)])
+        model = extraction.BlockModel(weights)
+        cost = model.costs(np.array(extraction.features(found)), found)
+        edges = [(i, j, (model.adjacent / (1 + abs(found[i].depth - found[j].depth)) if j == i + 1 else 0.0) + (0.0 if found[i].parent != found[j].parent else model.sibling if j == i + 1 else model.sibling / 2 if not any(found[k].parent == found[i].parent for k in range(i + 1, j)) else 0.0))
+                 for i in range(len(found)) for j in range(i + 1, len(found))]
+        energy = lambda x: sum(-c for c, v in zip(cost, x) if v) + sum(w for i, j, w in edges if x[i] != x[j])  # noqa: E731, B023
+        best = min(energy(x) for x in itertools.product((False, True), repeat=len(found)))
+        got = model.label([found])[0]
+        assert energy(got.tolist()) == pytest.approx(best)
+        flipped += int((got != (cost > 0)).sum())
+    assert flipped > 20
