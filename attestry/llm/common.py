@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,65 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+class Positional:
+    """A table under names that no added column can clash with, and the way back."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.columns = docs.columns
+        self.names = [f"__c{k}" for k in range(len(self.columns))]
+        self.frame = docs.toDF(*self.names)
+
+    def __call__(self, name: str) -> str:
+        """The present name of a column."""
+        return self.names[self.columns.index(name)]
+
+    def back(self, df: DataFrame, *added: str) -> DataFrame:
+        """df with the old columns under their old names, and the added ones, which replace old ones of the same name."""
+        kept = [(n, c) for n, c in zip(self.names, self.columns) if c not in added]
+        return df.select(*[n for n, _ in kept], *added).toDF(*[c for _, c in kept], *added)
+
+
+def row_hash(docs: DataFrame, seed: int = 1) -> Column:
+    """A 64-bit hash of all columns of a row."""
+    return F.xxhash64(F.lit(seed), *[F.to_json(f"`{c}`") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes])
+
+
+def sample_rows(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, most_bytes: int = 96 << 20) -> pd.DataFrame:
+    """Rows (__id, columns of picked, __text) of a bounded sample picked(__id, ...), one an id, sorted by id.
+
+    Of rows that repeat an id the one with the smallest hash of its text counts. Ids come in
+    the order of their md5 until their texts pass most_bytes, so repeated ids and long
+    texts can't fill the driver.
+    """
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    met = own.join(F.broadcast(picked), "__id")
+    size = F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long")
+    others = [c for c in picked.columns if c != "__id"]
+    first = met.groupBy("__id", *others).agg(F.min(F.struct(F.xxhash64("__text").alias("h"), size.alias("n"))).alias("f"))
+    sizes = first.select("__id", *others, "f.h", "f.n", F.md5(F.col("__id").cast("string").cast("binary")).alias("m")).toPandas().sort_values(["m", "__id"], kind="stable")
+    sizes = sizes[sizes["n"].cumsum() <= most_bytes]
+    if not len(sizes):
+        return pd.DataFrame(columns=["__id", *others, "__text"])
+    kinds = dict(picked.dtypes)
+    chosen = docs.sparkSession.createDataFrame(sizes[["__id", *others, "h"]].itertuples(index=False, name=None), ", ".join(f"`{c}` {kinds[c]}" for c in ("__id", *others)) + ", h long")
+    rows = own.join(F.broadcast(chosen), (own["__id"] == chosen["__id"]) & (F.xxhash64("__text") == F.col("h"))).select(chosen["__id"], *others, "__text")
+    out = rows.dropDuplicates(["__id"]).toPandas().sort_values("__id", kind="stable")
+    out["__text"] = [t if isinstance(t, str) else None for t in out["__text"]]
+    return out
+
+
+def join_weighed(left: DataFrame, right: DataFrame, key: list[str], total: int) -> DataFrame:
+    """left joined with right(key, n, ...) of unique keys, n the rows of left that have the key.
+
+    Keys of a large share of the rows are broadcast, at most 20,000 of them, so no task
+    gets all rows of one; the others meet by shuffle.
+    """
+    many = F.col("n") > max(200, total // 20_000)
+    heavy, light = F.broadcast(right.where(many).drop("n")), right.where(~many).drop("n")
+    columns = [*left.columns, *[c for c in right.columns if c not in (*key, "n")]]
+    return left.join(heavy, key).select(*columns).union(left.join(heavy.select(*key), key, "left_anti").join(light, key).select(*columns))
+
+
 def checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast df when its counted rows stay within most; else leave the join to shuffle."""
     return F.broadcast(df) if rows <= most else df

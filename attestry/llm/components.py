@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_weighed, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -31,11 +31,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # large star: neighbours above u go to the smallest of u and its neighbours
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", "n", F.least("u", "m").alias("m"))
+        large = join_weighed(both, low, ["u"], 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below u go to the smallest of them, and so does u
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = materialize(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = join_weighed(large, least, ["u"], 2 * before[0])
         small = (
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).distinct()
@@ -43,6 +44,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         new = materialize(small)
         after = _fingerprint(new)
         discard(current)
+        discard(large)
         current = new
         if after == before:
             break

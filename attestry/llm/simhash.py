@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, byte_words, checked_broadcast, local_components, materialize
+from .common import Scratch, bound_batches, byte_words, checked_broadcast, join_weighed, local_components, materialize
 from .components import connected_components
 
 _DIGEST = xxhash.xxh64_digest
@@ -321,7 +321,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     found = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), n).alias("fp")))
     labels = group_fingerprints(found, "doc_id", radius)
-    many = F.col("n") > max(200, found.count() // 20_000)  # so at most 20,000 labels
-    heavy = labels.where(many).select("fp", "lead")
-    met = found.join(F.broadcast(heavy), "fp").union(found.join(F.broadcast(heavy), "fp", "left_anti").join(labels.where(~many).select("fp", "lead"), "fp"))
+    met = join_weighed(found, labels, ["fp"], found.count())
     return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("lead").alias("component_id"), "fp")
