@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, extraction, langid, mixing, quality_rules, sharding, simhash, toxicity, url_filter, weak_quality
 
-#: Production byte limit of a shard in the registered query.
-SHARD_LIMIT = 16 << 20
+#: Byte limits of a shard in the registered query: a 64th of all bytes, within these.
+LEAST_SHARD, MOST_SHARD = 64 << 10, 128 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.assign_shards(docs, limit=SHARD_LIMIT).select(
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    return sharding.assign_shards(docs, limit=min(MOST_SHARD, max(LEAST_SHARD, -(-total // 64)))).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "shard", "shard_bytes", "shard_documents"
     )
 
@@ -57,11 +58,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return planned.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
-    )
+    planned = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +86,16 @@ WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
   FROM documents
+), cap AS (
+  SELECT least({MOST_SHARD}, greatest({LEAST_SHARD}, (coalesce(sum(bytes), 0) + 63) // 64)) AS most FROM d
 ), node AS (
   SELECT 0 AS depth, CAST(0 AS BIGINT) AS prefix, sum(bytes) AS bytes, count(*) AS documents FROM d HAVING count(*) > 0
   UNION ALL
   SELECT n.depth + 1, d.h >> (60 - n.depth - 1), sum(d.bytes) , count(*)
   FROM node n JOIN d ON (d.h >> (60 - n.depth)) = n.prefix
-  WHERE n.bytes > {SHARD_LIMIT} AND n.documents > 1 AND n.depth < 60
+  WHERE n.bytes > (SELECT most FROM cap) AND n.documents > 1 AND n.depth < 60
   GROUP BY n.depth, d.h >> (60 - n.depth - 1)
-), leaf AS (SELECT * FROM node WHERE bytes <= {SHARD_LIMIT} OR documents = 1)
+), leaf AS (SELECT * FROM node WHERE bytes <= (SELECT most FROM cap) OR documents = 1)
 SELECT d.doc_id, d.bytes,
        CASE WHEN leaf.depth = 0 THEN '' ELSE lpad(bin(leaf.prefix), leaf.depth, '0') END AS shard,
        CAST(leaf.bytes AS BIGINT) AS shard_bytes, CAST(leaf.documents AS BIGINT) AS shard_documents
@@ -132,7 +132,7 @@ FROM c LEFT JOIN m ON c.url = m.url AND c.fetched = m.fetched
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+  SELECT doc_id, source, md5(text) AS digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(2 * sum(size) AS BIGINT) AS cap FROM d GROUP BY source
 ), w AS (
@@ -148,7 +148,7 @@ WITH d AS (
   SELECT source, l.source_size, CASE WHEN met IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), weight * met) END AS target FROM l, m
 ), p AS (
   SELECT d.doc_id, d.size, f.source_size, f.target, CASE WHEN f.source_size > 0 THEN f.target / f.source_size ELSE 0.0 END AS rate,
-         CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+         CAST('0x' || substr(md5('mix|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || coalesce(d.digest, '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,

@@ -112,8 +112,8 @@ def test_pipeline_against_brute_force(spark, tables):
     for d, group in zip(left, slow_near_groups([d[1] for d in left])):
         first.setdefault(group, d)
     left = [d for d in first.values() if not slow_leaks(d[1], bench)]
-    planned = mixing.plan_mix(spark.createDataFrame(left, frame.schema)).select("doc_id", "__copies").collect()
-    want = sorted((r["doc_id"] for r in planned for _ in range(r["__copies"])), key=str)
+    planned = mixing.plan_mix(spark.createDataFrame(left, frame.schema)).select("doc_id", "copies").collect()
+    want = sorted((r["doc_id"] for r in planned for _ in range(r["copies"])), key=str)
     got = pipeline.run(spark, base)
     assert set(frame.columns) <= set(got.columns) and "shard" in got.columns
     rows = got.collect()

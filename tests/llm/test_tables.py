@@ -32,11 +32,12 @@ def slow_shards(rows, limit):
     return out
 
 
-@pytest.mark.parametrize("limit", [10_000_000, 4000, 700])
-def test_shards_split_only_where_too_large(spark, limit):
+@pytest.mark.parametrize(("limit", "most"), [(10_000_000, 100), (4000, 100), (700, 100), (4000, 3), (700, 1)])
+def test_shards_split_only_where_too_large(spark, limit, most):
+    """Also with the directory broadcast in parts."""
     rows = [(i, "x" * (i * 37 % 500)) for i in range(300)] + [(1000, "y" * 5000), (1001, None), (None, "z"), (1002, "")]
     df = spark.createDataFrame([(d, t, "s", "clash") for d, t in rows], "doc_id long, text string, source string, shard string")
-    got = sharding.assign_shards(df, limit=limit).collect()
+    got = sharding.assign_shards(df, limit=limit, most_broadcast=most).collect()
     assert len(got) == len(rows)
     want = slow_shards(rows, limit)
     assert {r["doc_id"]: r["shard"] for r in got} == want
@@ -96,16 +97,16 @@ def test_targets_stop_at_twice_the_source(spark):
     want = slow_targets(sizes)
     assert len(planned) == len(rows)
     for r in planned:
-        assert r["__target"] == pytest.approx(want[r["source"]])
-        assert r["__source_size"] == sizes[r["source"]]
-        assert 0 <= r["__copies"] <= 2
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert r["source_size"] == sizes[r["source"]]
+        assert 0 <= r["copies"] <= 2
 
 
 def test_taken_words_come_near_targets_and_reruns_agree(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 9)), "s%d" % (i % 4)) for i in range(8000)]
     df = spark.createDataFrame(rows, DOCS)
     planned = mixing.plan_mix(df)
-    got = planned.groupBy("source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("taken"), F.first("__target").alias("target")).collect()
+    got = planned.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
     for r in got:
         assert r["taken"] == pytest.approx(r["target"], rel=0.06)
     once = sorted((r["doc_id"] for r in mixing.mix(df).collect()))
@@ -128,3 +129,20 @@ def test_url_patterns_and_intervals(spark):
         got = url_filter.evaluate(c, e, most_broadcast=most).collect()
         assert sorted((r["page_id"], r["blocked"]) for r in got) == [(1, True), (1, True), (2, False), (3, True), (4, False), (5, True), (6, False), (7, False), (8, False), (9, False), (10, False)]
     assert url_filter.evaluate(c, e.where("false")).where("blocked").count() == 0
+
+
+def test_copies_of_one_id_are_decided_by_their_text_too(spark):
+    rows = [(7 if i % 2 else None, f"word {i}", "s%d" % (i % 2)) for i in range(4000)]
+    got = mixing.plan_mix(spark.createDataFrame(rows, DOCS)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    for r in got:
+        assert r["taken"] == pytest.approx(r["target"], rel=0.1)
+
+
+def test_a_host_with_most_captures_meets_the_list(spark):
+    rows = [(i, "http://big.com/a", datetime(2024, 1, 1 + i % 2)) for i in range(600)] + [(1000 + i, f"http://big.com/{i}", datetime(2024, 1, 1 + i % 3)) for i in range(600)] + [(5000 + i, None, None) for i in range(300)]
+    c = spark.createDataFrame(rows, "page_id long, url string, fetched timestamp")
+    e = spark.createDataFrame([("l", "d:big.com", "add", datetime(2024, 1, 2)), ("l", "p:big.com/7", "add", datetime(2024, 1, 1))], "list string, pattern string, action string, at timestamp")
+    want = {i: f.day >= 2 or u == "http://big.com/7" if u else False for i, u, f in rows}
+    for most in (0, 100):
+        got = url_filter.evaluate(c, e, most_broadcast=most).collect()
+        assert len(got) == len(rows) and {r["page_id"]: r["blocked"] for r in got} == want
