@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import discard, join_weighed, materialize
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -51,16 +51,32 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
 
     n_active counts the entries active at fetch time that list the url by domain or path.
     Verdicts are found once per distinct (url, fetched) and joined back, so repeated
-    captures keep a row each and meet the lists once. Intervals are broadcast up to
-    most_broadcast rows (counted), and joined by key beyond. A url without host, or a null
-    fetch time, meets no entry. Empty lists block nothing.
+    captures keep a row each and meet the lists once; those of a large share of all captures
+    get theirs by broadcast. Intervals are broadcast up to most_broadcast rows (counted); beyond,
+    patterns that list something are joined by key, frequent ones by broadcast. A url without
+    host, a null url or fetch time meets no entry. Empty lists block nothing, an empty table
+    gives an empty result, and other columns of captures are ignored.
     """
     valid = materialize(intervals(entries))
-    side = checked_broadcast(valid, valid.count(), most_broadcast)
+    n = valid.count()
     own = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(at_col).alias("fetched"))
-    asked = own.select("url", "fetched").where("url is not null and fetched is not null").distinct().withColumn("pattern", F.explode(patterns(F.col("url"))))
-    active = asked.join(side, "pattern").where("valid_from <= fetched and (valid_to is null or fetched < valid_to)")
+    dated = own.where("url is not null and fetched is not null")
+    times = materialize(dated.groupBy("url", "fetched").agg(F.count("*").alias("n")))
+    asked = times.select("url", "fetched", F.explode(patterns(F.col("url"))).alias("pattern"))
+    holds = F.expr("valid_from <= fetched and (valid_to is null or fetched < valid_to)")
+    if n <= most_broadcast:
+        active = asked.join(F.broadcast(valid), "pattern").where(holds)
+    else:
+        # patterns of a large share of the urls are few, and the history of each is short: they are broadcast
+        counts = asked.groupBy("pattern").agg(F.count("*").alias("n"))
+        listed = materialize(valid.groupBy("pattern").agg(F.collect_list(F.struct("valid_from", "valid_to")).alias("spans")).join(counts, "pattern"))
+        each = join_weighed(asked, listed, ["pattern"], times.count())
+        active = each.select("url", "fetched", "pattern", F.explode("spans").alias("s")).select("url", "fetched", "pattern", "s.*").where(holds)
     found = active.groupBy("url", "fetched").agg(F.count("*").alias("n_active"), F.min("pattern").alias("first_pattern"))
-    return own.join(found, ["url", "fetched"], "left").select(
+    verdicts = materialize(times.join(found, ["url", "fetched"], "left"))
+    met = join_weighed(dated, verdicts, ["url", "fetched"], own.count()).select("page_id", "url", "fetched", "n_active", "first_pattern")
+    rest = own.where("url is null or fetched is null").withColumns({"n_active": F.lit(None).cast("long"), "first_pattern": F.lit(None).cast("string")})
+    discard(times)
+    return met.union(rest).select(
         "page_id", "url", "fetched", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "first_pattern", F.col("n_active").isNotNull().alias("blocked")
     )
