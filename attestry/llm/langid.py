@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_mod
+from .common import bound_batches, crc_mod, sample_rows
 
 #: Code-point ranges of scripts (fixed values).
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F),
     ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F),
     ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF),
-    ("hangul", 0x1100, 0x11FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
+    ("hangul", 0x1100, 0x11FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0x20000, 0x3FFFF),
 )
 _NAMES = sorted({name for name, _, _ in SCRIPTS})
 _BITS = 16
@@ -29,10 +29,10 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _lookup() -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased letter of each code point below U+20000 (0: no letter), and its script (0: none known)."""
+    """Lower-cased letter of each code point (0: no letter), and its script (0: none known)."""
     if not _tables:
-        low, script = np.zeros(0x20000, dtype=np.uint32), np.zeros(0x20000, dtype=np.int8)
-        for c in range(0x20000):
+        low, script = np.zeros(0x110000, dtype=np.uint32), np.zeros(0x110000, dtype=np.int8)
+        for c in (*range(0x40000), *range(0xE0000, 0xE1000)):  # planes between and beyond hold no letters
             if unicodedata.category(chr(c))[0] == "L":
                 low[c] = ord(chr(c).lower()[0])
         for name, first, last in SCRIPTS:
@@ -52,7 +52,7 @@ def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def _words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased letters (0 elsewhere), first positions and lengths of runs of letters."""
     low, _ = _lookup()
-    chars = low[np.minimum(points, 0x1FFFF)]
+    chars = low[points]
     letter = chars > 0
     edge = np.diff(letter.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -91,7 +91,7 @@ class LanguageModel:
             score[a:b] = np.add.reduceat(self.table[slot[inside[at : upto[b - 1]]]], upto[a:b] - length[a:b] - at, axis=0)
             a = b
         _, script = _lookup()
-        kind = script[np.minimum(points[start], 0x1FFFF)]
+        kind = script[points[start]]
         allowed = self.scripts[kind]
         narrowed = allowed.any(axis=1, keepdims=True) & ~allowed
         return start, length, np.where(narrowed, score - 50.0, score).astype(np.float32)
@@ -248,25 +248,27 @@ def train(texts: list[str | None], langs: list[str], penalty: float = 12.0) -> L
             points, _ = _letters([text])
             chars, start, length = _words(points)
             share += np.bincount(_trigrams(chars)[chars > 0], minlength=1 << _BITS)
-            used[:, k] += np.bincount(script[np.minimum(points[start], 0x1FFFF)], minlength=len(_NAMES) + 1)
+            used[:, k] += np.bincount(script[points[start]], minlength=len(_NAMES) + 1)
         table[:, k] = np.log(share / share.sum())
     written = used / np.maximum(used.sum(axis=0), 1) >= 0.02
     written[0] = False
     return LanguageModel(names, table, written, penalty)
 
 
-def fit(docs: DataFrame, each: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (5, 0), **options) -> LanguageModel:
-    """Fit on at most each documents of a language (a documented bound), chosen by the md5
-    of their ids among rows whose crc32(id) mod n isn't k. Languages are counted first; any
-    number of them is taken, at 256 KB of the model each."""
+def fit(docs: DataFrame, each: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (5, 0), most_bytes: int = 96 << 20, **options) -> LanguageModel:
+    """Fit on about each documents of a language (a documented bound), chosen by the md5
+    of their ids among rows whose crc32(id) mod n isn't k, and on most_bytes of text. An id of
+    several languages counts as the first, one of several texts by one of them. Languages are
+    counted first; any number of them is taken, at 256 KB of the model each."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out:
         known = known.where(crc_mod(F.col(id_col), held_out[0]) != held_out[1])
     part = F.conv(F.substring(F.md5(F.concat(F.lit("lang"), F.col(id_col).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    rates = known.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(each)) / F.count("*")).alias("__rate"))
-    rows = known.join(F.broadcast(rates), lang_col).where(part < F.col("__rate")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).toPandas()
-    rows = rows.sort_values(["lang", "id", "text"], kind="stable", na_position="last")
-    return train([t if isinstance(t, str) else None for t in rows["text"]], rows["lang"].tolist(), **options)
+    ids = known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), part.alias("__part"))
+    rates = ids.groupBy("__lang").agg(F.least(F.lit(1.0), F.lit(float(each)) / F.count("*")).alias("__rate"))
+    picked = ids.join(F.broadcast(rates), "__lang").where("__part < __rate").groupBy("__id").agg(F.min("__lang").alias("__lang"))
+    rows = sample_rows(docs, picked, id_col, text_col, most_bytes)
+    return train(rows["__text"].tolist(), rows["__lang"].tolist(), **options)
 
 
 def predict_column(text: Column, model: LanguageModel) -> Column:
@@ -295,7 +297,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Whole texts are labelled. A null text or one without letters, or a model without
-    languages, gives und and 0. A null id isn't held out; rows that repeat an id keep a row each.
+    languages, gives und and 0; ties go to the first language by name. A null id isn't held
+    out; rows that repeat an id keep a row each. An empty table gives an empty result; other
+    columns of docs are ignored.
     """
     bound_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(crc_mod(F.col(id_col), 5) == 0, F.lit(False)).alias("held_out"), predict_column(F.col(text_col), model).alias("p"))

@@ -38,3 +38,9 @@ def test_no_number_of_languages_is_refused(spark):
     for _, text, lang in rows:
         same.setdefault(text, []).append(lang)
     assert sum(got[i] in same[text] for i, text, _ in rows) > 0.97 * len(rows)
+
+
+def test_letters_of_supplementary_planes_are_letters():
+    model = langid.train(["plain words of one language here", "漢字 文字 漢文"], ["en", "zh"])
+    names, scores = model.predict([chr(0x20000) * 4, chr(0x31350) + " ", "\U0001F600 12", None])
+    assert names == ["zh", "zh", "und", "und"] and scores[0] == scores[1] == 1.0 and scores[2] == 0.0
