@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, sample_rows
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -343,11 +343,10 @@ def train(pages: list[str | None], rounds: int = 30) -> BlockModel:
 
 
 def fit(pages: DataFrame, most: int = 300, id_col: str = "page_id", html_col: str = "html") -> BlockModel:
-    """Fit on most pages (a documented bound), those with the smallest md5 of their ids."""
-    picked = pages.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.md5(F.col(id_col).cast("string").cast("binary")), id_col).limit(most).distinct()
-    rows = pages.join(F.broadcast(picked), id_col).select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).toPandas()
-    rows = rows.sort_values(["id", "html"], kind="stable", na_position="last")
-    return train([h if isinstance(h, str) else None for h in rows["html"]])
+    """Fit on most pages and 96 MB (documented bounds), those with the smallest md5 of their ids; an id with several pages counts by one of them."""
+    ids = pages.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
+    picked = ids.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(most)
+    return train(sample_rows(pages, picked, id_col, html_col)["__text"].tolist())
 
 
 def text_column(html: Column, model: BlockModel) -> Column:
@@ -362,7 +361,7 @@ def extract(pages: DataFrame, model: BlockModel, id_col: str = "page_id", url_co
     """One row per page: page_id, url, text, n_chars (code points).
 
     A null or empty page, or one without content blocks, has an empty text. Rows that
-    repeat an id keep a row each.
+    repeat an id keep a row each. An empty table gives an empty result; other columns are ignored.
     """
     bound_batches(pages.sparkSession)
     out = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_column(F.col(html_col), model).alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, sample_rows
 
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = "#*$%&|<>"
@@ -182,30 +182,24 @@ def statistics_column(text: Column, model: FlatTrees) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> FlatTrees:
-    """Fit on at most each labelled documents of either class (a documented bound), chosen by the md5 of their ids."""
+    """Fit on at most each labelled documents of either class and 96 MB of text (documented bounds),
+    chosen by the md5 of their ids. An id with both labels counts as bad, one with several texts by
+    one of them. Without labels or documents all that passes the base rules is kept."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
+    known = known.groupBy("__id").agg(F.min("__y").alias("__y"))  # an id labelled both ways is bad
     order = [F.md5(F.col("__id").cast("string").cast("binary")), F.col("__id")]
     parts = [known.where(F.col("__y") == y).orderBy(*order).limit(each) for y in (0, 1)]
-    picked = parts[0].union(parts[1]).dropDuplicates(["__id"])
-
-    @F.arrow_udf("array<double>")
-    def features(values: pa.Array) -> pa.Array:
-        return pa.array([list(document_statistics(t)[1]) for t in values.to_pylist()], pa.list_(pa.float64()))
-
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
-    data = rows.select("__id", "__y", features("__text").alias("x")).toPandas()
-    data["k"] = data["x"].map(tuple)
-    data = data.sort_values(["__id", "k"], kind="stable")
-    x = np.array(data["k"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    return fit_trees(x, data["__y"].to_numpy(dtype=float), tuple(w for _, w in FEATURES), **options)
+    rows = sample_rows(docs, parts[0].union(parts[1]), id_col, text_col)
+    x = np.array([document_statistics(t)[1] for t in rows["__text"]], dtype=float).reshape(-1, len(FEATURES))
+    return fit_trees(x, rows["__y"].to_numpy(dtype=float), tuple(w for _, w in FEATURES), **options)
 
 
 def judge(docs: DataFrame, model: FlatTrees, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """One row per document: base statistics, base_failed, quality and kept.
 
     Statistics cover whole texts. A null or empty text has no words: all statistics are 0
-    and it fails the base rules. Rows that repeat an id keep a row each.
+    and it fails the base rules. Rows that repeat an id keep a row each. An empty table
+    gives an empty result; other columns of docs are ignored.
     """
     bound_batches(docs.sparkSession)
     out = docs.select(F.col(id_col).alias("doc_id"), statistics_column(F.col(text_col), model).alias("s")).select("doc_id", "s.*")

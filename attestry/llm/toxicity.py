@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, crc_mod
+from .common import bound_batches, crc_mod, sample_rows
 
 #: Sentences end at one of these or at a line break.
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -195,18 +195,19 @@ def _calibrate(odds: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] | None = (3, 1), bits: int = 18) -> ToxicityModel:
-    """Fit on at most each documents of either label (a documented bound), chosen by the md5
-    of their ids; with held_out=(n, k), none of whose crc32(id) mod n is k. The label table
-    is cut down to the sample before it meets the texts."""
+    """Fit on at most each documents of either label and 96 MB of text (documented bounds),
+    chosen by the md5 of their ids; with held_out=(n, k), none of whose crc32(id) mod n is k.
+    An id with both labels counts as toxic, one with several texts by one of them. The label
+    table is cut down to the sample before it meets the texts. Without labels or documents
+    the model knows no word."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
+    known = known.groupBy("__id").agg(F.max("__y").alias("__y"))  # an id labelled both ways is toxic
     if held_out:
         known = known.where(crc_mod(F.col("__id"), held_out[0]) != held_out[1])
     order = [F.md5(F.col("__id").cast("string").cast("binary")), F.col("__id")]
     sample = [known.where(F.col("__y") == y).orderBy(*order).limit(each) for y in (0, 1)]
-    picked = sample[0].union(sample[1]).dropDuplicates(["__id"])
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").select("__id", "__y", "__text").toPandas()
-    rows = rows.sort_values(["__id", "__text"], kind="stable", na_position="last")
-    return train([t if isinstance(t, str) else None for t in rows["__text"]], rows["__y"].tolist(), bits=bits)
+    rows = sample_rows(docs, sample[0].union(sample[1]), id_col, text_col)
+    return train(rows["__text"].tolist(), rows["__y"].tolist(), bits=bits)
 
 
 def score_column(text: Column, model: ToxicityModel) -> Column:
@@ -232,7 +233,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     """One row per document: doc_id, held_out, score in [0, 1], predicted.
 
     Texts are scored whole. Null and empty texts have no sentences and score as such; a
-    null id is not held out; rows that repeat an id keep a row each.
+    null id is not held out; rows that repeat an id keep a row each. An empty table gives an
+    empty result; other columns of docs are ignored.
     """
     bound_batches(docs.sparkSession)
     return docs.select(
@@ -241,6 +243,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs without those that score threshold or more; columns unchanged."""
+    """docs without those that score threshold or more; columns unchanged, whatever their names. Null and empty texts stay."""
     bound_batches(docs.sparkSession)
     return docs.where(score_column(F.col(text_col), model) < threshold)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, discard, materialize, sample_rows
 from .quality_rules import FEATURES, document_statistics
 from .toxicity import minimize
 
@@ -46,8 +46,10 @@ def votes(values: tuple[float, ...]) -> list[int]:
 class LabelModel:
     """Latent kinds of documents: good ones (kind 0) and one kind of junk a labeller.
 
-    Labellers that each know one sort of junk hardly overlap; with a single bad class,
-    those that agree would define it and outvote the rest.
+    Labellers overlap unevenly: those of symbols and bars mark the same documents, others
+    mark sorts of junk that no other knows. With a single bad class the former would define
+    it and the latter count as errors (tried: EM with two classes kept 55 % of the bad
+    documents of sf0.1), so each labeller starts with a kind of its own.
     """
 
     shares: np.ndarray  # kind
@@ -80,8 +82,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     """Fit the label model to how often each row of votes occurs.
 
     Rows without a bad mark start as good, others among the kinds of the labellers that
-    mark them. most_wrong bounds the chance of a bad mark on a good document, which is
-    what ties kind 0 to quality.
+    mark them. most_wrong is a prior: no labeller marks more than this share of the good
+    documents, which is what ties kind 0 to quality. Below it the rate is estimated.
     """
     n, j = patterns.shape
     one = np.eye(3)[patterns]  # pattern, labeller, vote
@@ -196,7 +198,8 @@ def fit(docs: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str
 
     Votes are counted over all documents; only the counts of vote patterns, at most
     3 ** labellers rows, come to the driver. The scorer learns from most documents (a
-    documented bound), those with the smallest md5 of their ids.
+    documented bound, as are 96 MB of text), those with the smallest md5 of their ids; an id with
+    several texts counts by one of them.
     """
     bound_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -204,9 +207,10 @@ def fit(docs: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str
     found = sorted((r["votes"], r["n"]) for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect())
     patterns = np.array([[int(c) for c in v] for v, _ in found], dtype=int).reshape(-1, len(LABELLERS))
     model = expectation_maximisation(patterns, np.array([n for _, n in found], dtype=float))
-    picked = cast.where("id is not null").select("id").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(most).distinct()
-    rows = own.join(F.broadcast(picked), "id").toPandas().sort_values(["id", "text"], kind="stable", na_position="last")
-    texts = [t if isinstance(t, str) else None for t in rows["text"]]
+    picked = cast.where("id is not null").select(F.col("id").alias("__id")).distinct().orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(most)
+    rows = sample_rows(docs, picked, id_col, text_col)
+    discard(cast)
+    texts = rows["__text"].tolist()
     posterior = model.posterior(np.array([votes(document_statistics(t)[1]) for t in texts], dtype=int).reshape(-1, len(LABELLERS)))
     return model, train(texts, posterior)
 
@@ -215,7 +219,8 @@ def score_documents(docs: DataFrame, scorer: QualityScorer, id_col: str = "doc_i
     """One row per document: doc_id, score in [0, 1] and kept.
 
     Whole texts are scored. Null and empty texts score by their statistics, all 0; rows
-    that repeat an id keep a row each; an empty corpus gives an empty result.
+    that repeat an id keep a row each; an empty corpus gives an empty result; other columns
+    of docs are ignored.
     """
     bound_batches(docs.sparkSession)
 
