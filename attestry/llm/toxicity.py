@@ -120,19 +120,22 @@ def train(texts: list[str | None], labels: list[int], bits: int = 18, rounds: in
     owner = owner[common]
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # classes count alike
 
-    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        score = np.bincount(owner, x[flat], n_words)
+    def loss(x: np.ndarray, least: float = 1.0) -> tuple[float, np.ndarray]:
+        raw = np.bincount(owner, x[flat], n_words)
+        score = quiet(raw, least)
         z = np.clip(x[-1] + np.bincount(instance, score[token], len(ends)), -30, 30)
         none = np.minimum(np.bincount(bag, -np.logaddexp(0, z), len(bags)), -1e-9)
         some = -np.expm1(none)
         value = -(weight * np.where(y > 0, np.log(some), none)).sum() + decay / 2 * (x[:-1] ** 2).sum()
         pull = weight * np.where(y > 0, np.exp(none) / some, -1.0)
         g = pull[bag] / (1 + np.exp(-z))
-        by_word = np.bincount(token, g[instance], n_words)
+        by_word = np.bincount(token, g[instance], n_words) * (np.abs(raw) >= least)
         grad = np.append(decay * x[:-1] - np.bincount(flat, by_word[owner], len(used)), -g.sum())
         return value, grad
 
-    x = minimize(loss, np.append(np.zeros(len(used)), -4.0), rounds)
+    # a start from plain scores, as quiet ones have no slope at 0; then the likelihood of what is scored
+    x = minimize(lambda x: loss(x, 0.0), np.append(np.zeros(len(used)), -4.0), rounds)
+    x = minimize(loss, x, rounds // 2)
     weights, bias = x[:-1], x[-1]
     z = np.clip(bias + np.bincount(instance, quiet(np.bincount(owner, weights[flat], n_words))[token], len(ends)), -30, 30)
     full = np.zeros(1 << bits)
