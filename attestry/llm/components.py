@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_weighed, materialize
+from .common import discard, join_weighed, local_components, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -13,10 +17,19 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Label every node of edges(a, b) with the smallest node it reaches.
+def _in_one_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    whole = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype=np.int64), *frames])
+    nodes, at = np.unique(whole[["u", "v"]].to_numpy(), return_inverse=True)
+    at = at.reshape(-1, 2)
+    yield pd.DataFrame({"node": nodes, "component": nodes[local_components(len(nodes), at[:, 0], at[:, 1])]})
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, most_local: int = 1 << 20) -> DataFrame:
+    """Label every node of edges(a, b) (long) with the smallest node it reaches.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014): every step keeps
+    Up to most_local links (counted; 16 MB) are joined in one task. Beyond, rounds of joins:
+
+    alternates large-star and small-star steps (Kiveris et al., 2014): every step keeps
     at most one link per old link, so hubs never expand into pairs, and each round is
     written to the shared folder. Self links and repeated links are harmless. Returns
     (node, component) for nodes that have a link to another node; empty for no edges.
@@ -26,6 +39,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     before = _fingerprint(current)
+    if before[0] <= most_local:
+        out = materialize(current.coalesce(1).mapInPandas(_in_one_task, "node long, component long"))
+        discard(current)
+        return out
     for _ in range(max_rounds):
         if before[0] == 0:
             break

@@ -108,6 +108,7 @@ def train(texts: list[str | None], labels: list[int], bits: int = 18, rounds: in
     token, ends = np.asarray(word_of, dtype=np.intp), np.asarray(ends)
     instance = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
     bag = np.repeat(np.arange(len(bags)), bags)
+    del word_of
     flat, owner = np.asarray(flat, dtype=np.intp), np.repeat(np.arange(n_words), np.asarray(size))
     # slots that few documents have say nothing general, and keep weight 0
     pairs = np.unique(bag[instance].astype(np.int64) * n_words + token)

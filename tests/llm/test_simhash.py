@@ -138,7 +138,9 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(df).count() == 0
 
 
-def test_components_of_a_long_chain_and_a_hub(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components_of_a_long_chain_and_a_hub(spark, most):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), most_local=most).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 0 for i in range(50))
+    assert connected_components(spark.createDataFrame([], "a long, b long"), most_local=most).count() == 0
