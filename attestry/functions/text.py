@@ -55,16 +55,25 @@ def normalize_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(casefold(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def name_key(text: str) -> str:
+    """Entity key of one name: letters and digits of its NFKC form, case-folded, single blanks between."""
+    return " ".join("".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFKC", text).casefold()).split())
+
+
 @F.arrow_udf(StringType())
 def normalize_name_nfkc(values: pa.Array) -> pa.Array:
-    """Entity key after NFKC, for any input."""
-    def key(text: str | None) -> str | None:
-        if text is None:
-            return None
-        folded = unicodedata.normalize("NFKC", text).casefold()
-        return " ".join("".join(c if c.isalnum() else " " for c in folded).split())
-
-    return pa.array([key(t) for t in values.to_pylist()], pa.string())
+    """name_key() of a column."""
+    return pa.array([None if t is None else name_key(t) for t in values.to_pylist()], pa.string())
+
+
+def entity_key(text: Column) -> Column:
+    """name_key() of a column: ASCII names, whose NFKC form is their own, stay in the JVM."""
+    return F.coalesce(normalize_name_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), normalize_name(text))
+
+
+def canonical_json(metadata: Column) -> Column:
+    """A map of strings as compact JSON with its keys in order; null for null."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(metadata))))
 
 
 def tokens(text: Column) -> Column:

@@ -14,12 +14,17 @@ from attestry.operators.governance import governed_entries
 
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 METHOD = "deterministic-v1"
-#: Default technology names; a caller passes its own.
-TECHNOLOGIES = ("Python", "SQLite", "FastAPI", "Linux", "Ubuntu", "Git", "BM25", "RRF", "NLP", "API", "HTTP", "JSON", "SQL", "Spark", "Parquet", "Arrow")
+#: Technologies by pattern; a caller passes its own (fixed values).
+TECHNOLOGIES = (
+    "Python", "SQLite", "FastAPI", "Uvicorn", "OpenCV", "Linux", "Ubuntu", "Git", "Forgejo",
+    "BM25", "RRF", "FTS5", "NLP", "API", "HTTP", "JSON", "SQL",
+    r"GPT-\d+(?:\.\d+)?", r"Qwen\d*", "Devstral",
+)
 #: Words that a project's name doesn't hold (fixed values).
 NOISE = frozenset(("all", "current", "local", "location", "repository", "state", "the"))
-_MARKER = "(?:project|repository|application|codebase)"
-_NAME = r"[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*){1,5}"
+#: A project's name after and before a word that marks it (fixed values).
+PROJECT_AFTER = re.compile(r"\b(?:project|repository|application|codebase)\s+(?:named\s+|called\s+)?([A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*){1,5})")
+PROJECT_BEFORE = re.compile(r"\b([A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*){1,5})\s+(?:project|repository|application|codebase)\b")
 #: Predicates with their patterns and confidence (fixed values).
 PREDICATES = (
     ("uses", r"\b(?:uses|use|using|utilizes|utilises)\b", 0.95), ("contains", r"\b(?:contains|contain)\b", 0.95), ("part_of", r"\b(?:is\s+)?(?:a\s+)?part\s+of\b", 0.95),
@@ -27,7 +32,12 @@ PREDICATES = (
     ("associated_with", r"\b(?:is\s+)?associated\s+with\b", 0.90), ("related_to", r"\b(?:is\s+)?related\s+to\b", 0.90), ("derived_from", r"\b(?:is\s+)?derived\s+from\b", 0.90),
     ("has_profile", r"\b(?:has|have)\s+(?:a\s+)?profile\b", 0.90), ("mentions", r"\b(?:mentions|mention)\b", 0.85),
 )
-_CUES = re.compile(r"\b(?:may|might|could|suggests?|possibly|probably|perhaps|likely|seems?|appears?)\b", re.I)
+#: Words of conjecture (fixed values).
+CUES = (
+    r"suggests?", "suggesting", r"implies?", "implying", r"indicates?", "indicating", r"appears?\s+to", r"seems?\s+to",
+    "probably", "possibly", "perhaps", "likely", "may", "might", "could",
+)
+_CUES = re.compile(rf"\b(?:{'|'.join(CUES)})\b", re.I)
 _MENTION = "array<struct<mention_text:string,entity_type:string,confidence:double>>"
 _RELATION = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
 
@@ -44,11 +54,9 @@ def find_mentions(text: str | None, technologies: tuple[str, ...] = TECHNOLOGIES
             found.setdefault((name.casefold(), kind), (name, kind, confidence))
 
     if technologies:
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, technologies)) + r")\b", text, re.I):
+        for m in re.finditer(rf"\b(?:{'|'.join(technologies)})\b", text, re.I):
             add(m[0], "technology", 0.95)
-    names = [m[1] for m in re.finditer(rf"\b{_MARKER}\s+(?:named\s+|called\s+)?({_NAME})", text)]
-    names += [m[1] for m in re.finditer(rf"\b({_NAME})\s+{_MARKER}\b", text)]
-    for name in names:
+    for name in PROJECT_AFTER.findall(text) + PROJECT_BEFORE.findall(text):
         name = re.sub(r"^(?:the|a|an)\s+", "", " ".join(name.split()), flags=re.I)
         parts = {w.casefold() for w in name.split()}
         if len(name.split()) >= 2 and not parts & NOISE:
@@ -117,8 +125,8 @@ def extract_mentions(entries: DataFrame, memories: DataFrame, technologies: tupl
 
 def resolve(mentions: DataFrame, entities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One decision a mention by (type, normalized name): one active entity same_entity 1, several ambiguous 0, none new_entity 1; decided mentions keep theirs."""
-    keys = entities.where("status = 'active'").groupBy("entity_type", tx.normalize_name(F.col("canonical_name")).alias("key")).agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
-    rows = mentions.withColumn("key", tx.normalize_name(F.col("mention_text"))).join(keys, ["entity_type", "key"], "left")
+    keys = entities.where("status = 'active'").groupBy("entity_type", tx.entity_key(F.col("canonical_name")).alias("key")).agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
+    rows = mentions.withColumn("key", tx.entity_key(F.col("mention_text"))).join(keys, ["entity_type", "key"], "left")
     decision = F.when(F.col("n") == 1, "same_entity").when(F.col("n") > 1, "ambiguous").otherwise("new_entity")
     out = rows.select(
         "mention_id", F.when(F.col("n") == 1, F.col("entity_id")).alias("proposed_entity_id"), decision.alias("decision"), F.when(F.col("n") > 1, 0.0).otherwise(1.0).alias("confidence"), F.lit("exact_normalized_name").alias("method")
@@ -130,7 +138,7 @@ def resolve(mentions: DataFrame, entities: DataFrame, existing: DataFrame | None
 
 def bootstrap(mentions: DataFrame) -> DataFrame:
     """Entities from mentions alone: the first mention of a (type, key) in (entry, text) order names it. A hot name costs one row a task."""
-    keyed = mentions.withColumn("key", tx.normalize_name(F.col("mention_text"))).where("key <> ''")
+    keyed = mentions.withColumn("key", tx.entity_key(F.col("mention_text"))).where("key <> ''")
     first = keyed.groupBy("entity_type", "key").agg(F.min(F.struct("collective_entry_id", "mention_text", "mention_id")).alias("f"), F.count("*").alias("mention_count"))
     entity_id = tx.uuid5(NAMESPACE, F.concat_ws("|", F.lit("entity"), "entity_type", "key"))
     return first.select(entity_id.alias("entity_id"), F.col("f.mention_text").alias("canonical_name"), "entity_type", F.lit("active").alias("status"), F.col("f.mention_id").alias("first_mention_id"), "mention_count")

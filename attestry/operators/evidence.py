@@ -196,3 +196,19 @@ def synthesize(outcomes: DataFrame, totals: DataFrame, contradictions: DataFrame
         F.concat(F.col("candidate_id").cast("string"), F.lit(":synthesis")).alias("synthesis_id"), "candidate_id", "outcome",
         F.when(F.col("outcome") == "synthesized", F.col("total_current_weight")).otherwise(0.0).alias("confidence"), "current_evidence_ids", "historical_evidence_ids",
     )
+
+
+def candidate_errors(candidates: DataFrame) -> DataFrame:
+    """Candidates with the rules that their id lists break.
+
+    Columns: supporting_evidence_ids, contradictory_evidence_ids, validated_evidence_ids and
+    current_evidence_ids. Support must not be missing, nothing current may contradict, and
+    support and contradiction together must be what was validated. Null lists count as empty.
+    """
+    none = F.array().cast("array<string>")
+    ids = {k: F.coalesce(F.transform(f"{k}_evidence_ids", lambda x: x.cast("string")), none) for k in ("supporting", "contradictory", "validated", "current")}
+    both = F.array_sort(F.array_union(ids["supporting"], ids["contradictory"]))
+    return candidates.withColumn("errors", listed(
+        missing_support=F.size(ids["supporting"]) == 0, contradictory_and_current=F.arrays_overlap(ids["contradictory"], ids["current"]),
+        not_what_was_validated=both != F.array_sort(F.array_distinct(ids["validated"])),
+    ))

@@ -69,7 +69,8 @@ def expand(seeds: DataFrame, edges: DataFrame, entries: DataFrame, limit_per_see
     Each seed's nearest are cut first and governed after; an entry that several seeds
     reach keeps the similarity to the first of them.
     """
-    near = edges.join(F.broadcast(seeds.select(F.col("entry_id").alias("source_id"), "seed_pos")), "source_id")
+    side = seeds.select(F.col("entry_id").alias("source_id"), "seed_pos")
+    near = edges.join(F.broadcast(side) if side.count() <= 100_000 else side, "source_id")
     near = neighbours(near, limit_per_seed)
     gov = governed_entries(entries, profile).select(F.col("id").alias("target_id"))
     reached = near.join(gov, "target_id", "left_semi").groupBy(F.col("target_id").alias("entry_id")).agg(F.min_by("similarity", "seed_pos").alias("score"))
@@ -102,3 +103,25 @@ def temporal_edges(pairs: DataFrame, left_profile: str = "left_profile", right_p
     rows = pairs.where(F.col(left_profile) == F.col(right_profile)).where("left_entry <> right_entry")
     return rows.select(F.least("left_entry", "right_entry").alias("source"), F.greatest("left_entry", "right_entry").alias("target"), F.concat(F.lit("temporal:"), "relation").alias("edge_type"), "left_id", "right_id")
 
+
+def filter_by_events(edges: DataFrame, events: DataFrame) -> DataFrame:
+    """Edges whose two ends are both among the events(id) that a view shows."""
+    ids = events.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*edges.columns)
+
+
+def statistics(memories: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: profiles and memories at the sources, nodes and edges of the graph, 0 for none."""
+    own = memories.agg(F.countDistinct("source_profile").alias("profiles"), F.count("*").alias("memories"))
+    return own.crossJoin(diagnostics(edges, entries))
+
+
+def circle(kept: DataFrame, radius: float = 1.0) -> DataFrame:
+    """Nodes(id) on a circle in the order of their ids: position, x and y. Positions come from counts of id ranges, so no task orders all nodes."""
+    n = kept.count()
+    parts = kept.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("m", F.monotonically_increasing_id())
+    sizes = parts.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("k"))
+    before = sizes.select("p", (F.sum("k").over(W.orderBy("p")) - F.col("k")).alias("before"))
+    at = parts.withColumn("p", F.shiftright("m", 33)).join(F.broadcast(before), "p").select("id", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
+    turn = F.col("position") * (2 * np.pi / max(1, n))
+    return at.select("id", "position", (F.cos(turn) * radius).alias("x"), (F.sin(turn) * radius).alias("y"))

@@ -146,8 +146,8 @@ def recency(entries: DataFrame, memories: DataFrame, reference: str, limit: int
 
 def entity_channel(entries: DataFrame, entities: DataFrame, resolutions: DataFrame, mentions: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Entries that mention the active entity whose normalized name the whole query is, by settled resolutions only."""
-    key = tx.normalize_name(F.lit(query))
-    found = entities.where((F.col("status") == "active") & (tx.normalize_name(F.col("canonical_name")) == key)).select("entity_id")
+    named = entities.where("status = 'active'").select("entity_id", tx.entity_key(F.col("canonical_name")).alias("key"))
+    found = named.where(F.col("key") == F.lit(tx.name_key(query))).select("entity_id")
     settled = resolutions.where("decision = 'same_entity'").select(F.col("proposed_entity_id").alias("entity_id"), "mention_id")
     m = mentions.select("mention_id", F.col("collective_entry_id").alias("entry_id"), "source_profile", "source_memory_id")
     rows = found.join(settled, "entity_id").join(m, "mention_id")
@@ -242,12 +242,13 @@ def with_provenance(results: DataFrame, provenance: DataFrame) -> DataFrame:
 
 
 def temporal_context(results: DataFrame, channel: DataFrame | None) -> DataFrame:
-    """results with temporal_relevant, temporal_score and date_source; entries outside the channel aren't relevant."""
+    """results with temporal_relevant, temporal_score and date_source (event_date, or timestamp for recency); entries outside the channel aren't relevant."""
     if channel is None:
         return results.withColumns({"temporal_relevant": F.lit(False), "temporal_score": F.lit(0.0), "date_source": F.lit("unknown")})
+    source = "event_date" if "event_date" in channel.columns else "timestamp"
     side = channel.select("entry_id", F.col("score").alias("__t"))
     return results.join(side, "entry_id", "left").select(
-        *results.columns, F.col("__t").isNotNull().alias("temporal_relevant"), F.coalesce("__t", F.lit(0.0)).alias("temporal_score"), F.when(F.col("__t").isNotNull(), "event_date").otherwise("unknown").alias("date_source")
+        *results.columns, F.col("__t").isNotNull().alias("temporal_relevant"), F.coalesce("__t", F.lit(0.0)).alias("temporal_score"), F.when(F.col("__t").isNotNull(), source).otherwise("unknown").alias("date_source")
     )
 
 
@@ -295,6 +296,47 @@ def hybrid(
     return temporal_context(fused, temporal)
 
 
+def search(
+    entries: DataFrame, memories: DataFrame, query: str, vector=None, limit: int = 10, rerank_with: Callable[[Column], Column] | None = None,
+    provenance: DataFrame | None = None, evidence: DataFrame | None = None, route: bool = True, **options,
+) -> DataFrame:
+    """The whole answer to a query: routed channels, fusion, reranking, provenance, evidence and an explanation.
+
+    With route, the query's intent says which channels take part: a vector, edges, an entity
+    channel or a window that is given is only used where its channel is asked for. Reranked
+    results follow the reranker, others the fused score; rank is the place in the answer.
+    Provenance is an array, evidence the signal of evidence_signal(); null where unasked.
+    """
+    if route:
+        asked = set(entries.sparkSession.range(1).select(tx.route(tx.query_intent(F.lit(query)))).first()[0])
+        vector = vector if "semantic" in asked else None
+        needs = {"edges": "graph", "entity": "entity", "window": "temporal", "reference": "temporal"}
+        options = {k: v for k, v in options.items() if needs.get(k, "keyword") in asked or k not in needs}
+    fused = hybrid(entries, memories, query, vector, limit, **options)
+    out = fused.join(explain(fused).select("entry_id", "channels", "main_channel"), "entry_id")
+    if rerank_with is None:
+        out = out.withColumns({"reranker_score": F.lit(None).cast("double"), "rank": F.col("fused_rank")})
+    else:
+        keys = ["source_profile", "origin_memory_id"]
+        found = governed_entries(entries).select(F.col("id").alias("entry_id"), *keys).join(F.broadcast(fused.select("entry_id")), "entry_id", "left_semi")
+        contents = found.join(memories.select(*keys, "content"), keys).select("entry_id", "content")
+        placed = rerank(fused, contents, rerank_with, limit, limit).select("entry_id", "reranker_score", F.col("reranker_rank").alias("rank"))
+        out = out.join(placed, "entry_id")
+    if provenance is not None:
+        out = with_provenance(out, provenance.join(F.broadcast(fused.select("entry_id")), "entry_id", "left_semi"))
+    if evidence is not None:
+        out = out.join(evidence_signal(evidence.join(F.broadcast(fused.select("entry_id")), "entry_id", "left_semi")), "entry_id", "left")
+    return out
+
+
+def diagnostics(channels: DataFrame, results: DataFrame) -> DataFrame:
+    """Per channel: the entries it listed, those it gave to the results and its share of their fused score."""
+    listed = channels.groupBy("channel").agg(F.countDistinct("entry_id").alias("listed"))
+    parts = results.select("fused_score", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"{c}_rank").alias("place"), F.col(f"{c}_contribution").alias("part")) for c in CHANNELS])).alias("p"))
+    used = parts.groupBy("p.channel").agg(F.count("p.place").alias("given"), (F.sum("p.part") / F.sum("fused_score")).alias("share"))
+    return listed.join(used, "channel", "left")
+
+
 def explain(results: DataFrame) -> DataFrame:
     """How each channel took part: channels with a rank and the one that gave most."""
     parts = F.array(*[F.struct(F.col(f"{c}_contribution").alias("part"), F.lit(-i).alias("o"), F.lit(c).alias("channel")) for i, c in enumerate(CHANNELS)])

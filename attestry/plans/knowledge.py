@@ -102,7 +102,7 @@ WITH e AS (
   SELECT *, list_sort(list_filter([CASE WHEN NOT source_memory_exists THEN 'source_memory_missing' END, CASE WHEN NOT source_profile_authorized THEN 'source_profile_unauthorized' END, CASE WHEN NOT provenance_complete THEN 'incomplete_provenance' END,
     CASE WHEN is_derived THEN 'derived_statement_not_evidence' END, CASE WHEN lifecycle_state = 'revoked' THEN 'evidence_revoked' END, CASE WHEN lifecycle_state <> 'promoted' THEN 'evidence_not_promoted' END, CASE WHEN NOT temporal_compatible THEN 'temporal_incompatibility' END], lambda x: x IS NOT NULL)) AS reasons FROM e
 ), vv AS (SELECT *, len(reasons) = 0 AS valid FROM v
-), co AS (SELECT candidate_id, list_sort(list(evidence_id)) AS contradictory_evidence_ids FROM e WHERE event_type = 'error' AND evidence_id % 30 = 0 GROUP BY 1
+), co AS (SELECT candidate_id, list_sort(list(evidence_id)) AS contradictory_evidence_ids FROM e WHERE event_type = 'error' GROUP BY 1
 ), rs AS (SELECT candidate_id, list_sort(list(DISTINCT r)) AS rr FROM (SELECT candidate_id, unnest(reasons) AS r FROM vv) GROUP BY 1
 ), oc AS (
   SELECT candidate_id, coalesce(list_sort(list(evidence_id) FILTER (WHERE valid)), []) AS valid_evidence_ids, coalesce(list_sort(list(evidence_id) FILTER (WHERE NOT valid)), []) AS invalid_evidence_ids, bool_and(provenance_complete) AS provenance_complete, bool_and(lifecycle_state = 'promoted') AS all_support_current FROM vv GROUP BY 1
@@ -117,7 +117,7 @@ WITH e AS (
 ), tot AS (SELECT candidate_id, round(least(sum(CASE WHEN status = 'current' THEN composite_weight ELSE 0 END), 1), 12) AS total_current_weight, count(*) FILTER (WHERE status = 'current') AS current_support_count, count(DISTINCT source_profile) FILTER (WHERE status = 'current') AS independent_profile_count, bool_or(lifecycle_state = 'revoked') AS recalculation_required FROM wt GROUP BY 1
 ), cp AS (
   SELECT l.candidate_id, l.evidence_id AS left_id, r.evidence_id AS right_id, l.source_profile AS left_profile, r.source_profile AS right_profile, ['direct', 'temporal', 'evidence'][(l.evidence_id % 3) + 1] AS kind, CASE WHEN (l.evidence_id + r.evidence_id) % 4 = 0 THEN NULL ELSE l.candidate_id % 2 = 0 END AS res
-  FROM e l JOIN e r ON l.candidate_id = r.candidate_id AND l.evidence_id < r.evidence_id AND l.event_type = 'error' AND r.event_type = 'error' WHERE l.evidence_id % 9 = 0 AND r.evidence_id % 7 = 0
+  FROM e l JOIN e r ON l.candidate_id = r.candidate_id AND l.evidence_id < r.evidence_id AND l.event_type = 'error' AND r.event_type = 'error'
 ), ca AS (SELECT candidate_id, bool_and(coalesce(res, false)) AS resolved, bool_or(res IS NULL) AS unk, bool_or(kind = 'direct') AS d, bool_or(kind = 'evidence') AS ev, bool_or(kind = 'temporal') AS t, list_sort(list_distinct(flatten(list([left_id, right_id])))) AS ids FROM cp GROUP BY 1
 ), ct AS (
   SELECT c.candidate_id, CASE WHEN resolved IS NULL THEN 'no_contradiction' WHEN resolved THEN 'temporally_separate' WHEN unk THEN 'review_required' ELSE 'conflict' END AS outcome,
@@ -137,12 +137,12 @@ def _evidence(spark, base):
 
 
 def _contradictory(spark, base):
-    return _evidence(spark, base).where("event_type = 'error' and evidence_id % 30 = 0").select("candidate_id", "evidence_id")
+    return _evidence(spark, base).where("event_type = 'error'").select("candidate_id", "evidence_id")
 
 
 def _contradiction_pairs(spark, base):
     e = _evidence(spark, base).where("event_type = 'error'")
-    l, r = e.where("evidence_id % 9 = 0").alias("l"), e.where("evidence_id % 7 = 0").alias("r")
+    l, r = e.alias("l"), e.alias("r")
     kinds = F.element_at(F.array(*map(F.lit, ("direct", "temporal", "evidence"))), (F.col("l.evidence_id") % 3 + 1).cast("int"))
     return l.join(r, (F.col("l.candidate_id") == F.col("r.candidate_id")) & (F.col("l.evidence_id") < F.col("r.evidence_id"))).select(
         F.col("l.candidate_id").alias("candidate_id"), F.col("l.evidence_id").alias("left_id"), F.col("r.evidence_id").alias("right_id"), F.col("l.source_profile").alias("left_profile"), F.col("r.source_profile").alias("right_profile"),
@@ -181,9 +181,9 @@ def synthesis(spark, base):
     return ev.synthesize(outcomes, ev.weight_totals(weighed), c, weighed).withColumn("confidence", F.round("confidence", 9))
 
 
-@query("SELECT user_id AS candidate_id, list_sort(list(DISTINCT event_id)) AS observation_ids, list_sort(list(DISTINCT 'p' || event_id % 4)) AS source_profiles, max((event_id % 50) / 50.0::DOUBLE) AS confidence, count(DISTINCT event_id % 4) > 1 AS is_cross_profile FROM events WHERE event_id % 20 = 0 GROUP BY 1 HAVING count(DISTINCT event_id) >= 2")
+@query("SELECT user_id AS candidate_id, list_sort(list(DISTINCT event_id)) AS observation_ids, list_sort(list(DISTINCT 'p' || event_id % 4)) AS source_profiles, max((event_id % 50) / 50.0::DOUBLE) AS confidence, count(DISTINCT event_id % 4) > 1 AS is_cross_profile FROM events GROUP BY 1 HAVING count(DISTINCT event_id) >= 2")
 def consolidation_candidates(spark, base):
-    rows = _events(spark, base).where("event_id % 20 = 0").select(F.col("user_id").alias("candidate_id"), F.col("event_id").alias("observation_id"), F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")).alias("source_profile"), (F.col("event_id") % 50 / F.lit(50.0)).alias("score"))
+    rows = _events(spark, base).select(F.col("user_id").alias("candidate_id"), F.col("event_id").alias("observation_id"), F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")).alias("source_profile"), (F.col("event_id") % 50 / F.lit(50.0)).alias("score"))
     return ev.consolidation_candidates(rows)
 
 
@@ -253,24 +253,35 @@ def entity_graph_edges(spark, base):
 
 
 def _said(spark, base):
-    o = tables.table(spark, base, "orders").where("o_orderkey % 3 = 0")
-    text = F.concat(F.lit("The Blue Harbor project uses Python. It may contain SQLite. Git depends on Linux and part of "), F.col("o_orderpriority"), F.lit("."))
+    """One of three texts an order: facts, facts beside conjecture, and facts of versioned names."""
+    o = tables.table(spark, base, "orders")
+    k = F.col("o_orderkey") % 3
+    text = (
+        F.when(k == 0, F.concat(F.lit("The Blue Harbor project uses Python. It may contain SQLite. Git depends on Linux and part of "), F.col("o_orderpriority"), F.lit(".")))
+        .when(k == 1, "The Blue Harbor project is old and its code implies that Python uses SQLite. FastAPI contains JSON. Nothing indicating that Git contains HTTP.")
+        .otherwise("Ubuntu is maintained by Linux. GPT-4 is derived from Qwen2; Git appears to use HTTP.")
+    )
     e = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("agent"), (F.col("o_orderkey") % 3).cast("string")).alias("source_profile"), F.col("o_orderkey").cast("string").alias("origin_memory_id"), F.lit(True).alias("is_promoted"), F.lit(False).alias("is_revoked"))
     return e, o.select(F.concat(F.lit("agent"), (F.col("o_orderkey") % 3).cast("string")).alias("source_profile"), F.col("o_orderkey").cast("string").alias("origin_memory_id"), text.alias("content"))
 
 
-@query("SELECT o_orderkey AS collective_entry_id, t.a AS mention_text, t.b AS entity_type FROM orders, (VALUES ('Blue Harbor', 'project'), ('Python', 'technology'), ('SQLite', 'technology'), ('Git', 'technology'), ('Linux', 'technology')) AS t(a, b) WHERE o_orderkey % 3 = 0")
+@query("""SELECT o_orderkey AS collective_entry_id, t.a AS mention_text, t.b AS entity_type FROM orders, (VALUES (0, 'Blue Harbor', 'project'), (0, 'Python', 'technology'), (0, 'SQLite', 'technology'), (0, 'Git', 'technology'), (0, 'Linux', 'technology'),
+  (1, 'Blue Harbor', 'project'), (1, 'Python', 'technology'), (1, 'SQLite', 'technology'), (1, 'FastAPI', 'technology'), (1, 'JSON', 'technology'), (1, 'Git', 'technology'), (1, 'HTTP', 'technology'),
+  (2, 'Ubuntu', 'technology'), (2, 'Linux', 'technology'), (2, 'GPT-4', 'technology'), (2, 'Qwen2', 'technology'), (2, 'Git', 'technology'), (2, 'HTTP', 'technology')) AS t(k, a, b) WHERE o_orderkey % 3 = t.k""")
 def mention_extract(spark, base):
     return en.extract_mentions(*_said(spark, base)).select("collective_entry_id", "mention_text", "entity_type")
 
 
-@query("SELECT o_orderkey AS collective_entry_id, t.a AS subject, t.b AS predicate, t.c AS object FROM orders, (VALUES ('Blue Harbor', 'uses', 'Python'), ('Git', 'depends_on', 'Linux')) AS t(a, b, c) WHERE o_orderkey % 3 = 0")
+RELATIONS = """(VALUES (0, 'Blue Harbor', 'uses', 'Python'), (0, 'Git', 'depends_on', 'Linux'), (1, 'FastAPI', 'contains', 'JSON'), (2, 'Ubuntu', 'maintained_by', 'Linux'), (2, 'GPT-4', 'derived_from', 'Qwen2'), (2, 'Git', 'uses', 'HTTP')) AS t(k, a, b, c)"""
+
+
+@query(f"SELECT o_orderkey AS collective_entry_id, t.a AS subject, t.b AS predicate, t.c AS object FROM orders, {RELATIONS} WHERE o_orderkey % 3 = t.k")
 def relationship_extract(spark, base):
     e, m = _said(spark, base)
     return en.extract_relationships(e, m, en.extract_mentions(e, m)).select("collective_entry_id", "subject", "predicate", "object")
 
 
-@query("SELECT 'uses' AS predicate, count(*) AS evidence FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'depends_on', count(*) FROM orders WHERE o_orderkey % 3 = 0")
+@query(f"SELECT t.b AS predicate, count(*) AS evidence FROM orders, {RELATIONS} WHERE o_orderkey % 3 = t.k GROUP BY 1")
 def relationship_rebuild(spark, base):
     out = en.rebuild(*_said(spark, base))
     r = out["relationships"].select("relationship_id", "predicate")
@@ -317,7 +328,7 @@ def model_relationship_candidates(spark, base):
 
 
 MODEL = """
-WITH e AS (SELECT user_id AS model_id, event_id, 'e' || event_id AS evidence_id, 'p' || CASE WHEN user_id % 3 = 0 THEN event_id % 2 ELSE 0 END AS source_profile, event_id % 41 = 0 AS revoked, event_id % 43 <> 0 AS promoted, event_id % 47 <> 0 AS memory_current, CASE WHEN event_id % 53 = 0 THEN 0.5 ELSE 0.9 END AS quality, event_id % 59 = 0 AS contradictory, event_id % 61 <> 0 AS temporally_compatible FROM events WHERE event_id % 6 = 0
+WITH e AS (SELECT user_id AS model_id, event_id, 'e' || event_id AS evidence_id, 'p' || CASE WHEN user_id % 3 = 0 THEN event_id % 2 ELSE 0 END AS source_profile, event_id % 41 = 0 AS revoked, event_id % 43 <> 0 AS promoted, event_id % 47 <> 0 AS memory_current, CASE WHEN event_id % 53 = 0 THEN 0.5 ELSE 0.9 END AS quality, event_id % 59 = 0 AS contradictory, event_id % 61 <> 0 AS temporally_compatible FROM events
 ), j AS (SELECT *, CASE WHEN revoked THEN 'revoked_evidence' WHEN NOT promoted THEN 'unpromoted_evidence' WHEN NOT memory_current THEN 'missing_or_unauthorized_source_memory' WHEN quality < 0.7 THEN 'insufficient_evidence_quality' WHEN contradictory THEN 'contradictory_evidence' WHEN NOT temporally_compatible THEN 'temporal_incompatibility' END AS rj FROM e
 ), a AS (SELECT model_id, coalesce(list_sort(list(evidence_id) FILTER (WHERE rj IS NULL)), []) AS acc, coalesce(list_sort(list(evidence_id) FILTER (WHERE rj IS NOT NULL)), []) AS rej, coalesce(list(rj || ':' || evidence_id) FILTER (WHERE rj IS NOT NULL), []) AS r, count(DISTINCT source_profile) FILTER (WHERE rj IS NULL) AS profiles FROM j GROUP BY 1
 ), z AS (SELECT model_id, acc, rej, list_sort(list_concat(r, list_filter([CASE WHEN len(acc) < 2 THEN 'insufficient_current_support' END, CASE WHEN len(acc) < 2 THEN 'insufficient_independent_corroboration' END, CASE WHEN profiles > 1 THEN 'cross_profile_validation_not_authorized' END], lambda x: x IS NOT NULL))) AS reasons FROM a)"""
@@ -325,7 +336,7 @@ WITH e AS (SELECT user_id AS model_id, event_id, 'e' || event_id AS evidence_id,
 
 def _model_evidence(spark, base):
     i = F.col("event_id")
-    return _events(spark, base).where("event_id % 6 = 0").select(
+    return _events(spark, base).select(
         F.col("user_id").alias("model_id"), F.concat(F.lit("e"), i.cast("string")).alias("evidence_id"), F.concat(F.lit("p"), F.when(F.col("user_id") % 3 == 0, i % 2).otherwise(0).cast("string")).alias("source_profile"), (i % 47 != 0).alias("memory_current"), (i % 41 == 0).alias("revoked"),
         (i % 43 != 0).alias("promoted"), F.when(i % 53 == 0, 0.5).otherwise(0.9).alias("quality"), (i % 59 == 0).alias("contradictory"), (i % 61 != 0).alias("temporally_compatible"), F.lit(None).cast("string").alias("independent_group"),
     )
@@ -532,10 +543,9 @@ def memory_inventory(spark, base):
     return profiles.inventory(tables.memories(spark, base)).select("source_profile", "memory_count")
 
 
-@query(ENTRIES + " SELECT id, false AS failed FROM entries WHERE embedding IS NULL AND id % 40 = 0")
+@query(ENTRIES + " SELECT id, false AS failed FROM entries WHERE embedding IS NULL")
 def embedding_backfill(spark, base):
-    e = tables.entries(spark, base, True).where("id % 40 = 0")
-    return profiles.backfill_embeddings(e, tables.memories(spark, base), 64).select("id", "failed")
+    return profiles.backfill_embeddings(tables.entries(spark, base, True), tables.memories(spark, base), 64).select("id", "failed")
 
 
 @query()
@@ -617,3 +627,41 @@ def current_models(spark, base):
     t = lambda p: F.concat(F.lit(p), F.col("user_id").cast("string"))
     rows = u.select(t("m").alias("model_id"), t("T").alias("title"), F.lit(1).alias("version"), F.when(F.col("user_id") % 3 == 0, "stale").otherwise("active").alias("status"), F.array(F.when(F.col("user_id") % 2 == 0, "p").otherwise("q")).alias("source_profiles"))
     return mm.current_models(rows, profile="p").select("model_id", "title")
+
+
+@query("""WITH e AS (SELECT user_id AS candidate_id, list_sort(list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type IN ('click', 'view'))) AS s, list_sort(list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'error')) AS c,
+  list_sort(list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type IN ('click', 'view', 'error') AND event_id % 50 <> 7)) AS v, list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'view' OR event_id % 40 = 3) AS k FROM events GROUP BY 1)
+SELECT candidate_id, list_filter([CASE WHEN len(list_intersect(coalesce(c, []), coalesce(k, []))) > 0 THEN 'contradictory_and_current' END, CASE WHEN len(coalesce(s, [])) = 0 THEN 'missing_support' END,
+  CASE WHEN list_sort(list_concat(coalesce(s, []), coalesce(c, []))) <> coalesce(v, []) THEN 'not_what_was_validated' END], lambda x: x IS NOT NULL) AS errors FROM e""")
+def candidate_rules(spark, base):
+    i = F.col("event_id")
+    ids = lambda when: F.collect_list(F.when(when, i))
+    t = F.col("event_type")
+    rows = _events(spark, base).groupBy(F.col("user_id").alias("candidate_id")).agg(
+        ids(t.isin("click", "view")).alias("supporting_evidence_ids"), ids(t == "error").alias("contradictory_evidence_ids"),
+        ids(t.isin("click", "view", "error") & (i % 50 != 7)).alias("validated_evidence_ids"), ids((t == "view") | (i % 40 == 3)).alias("current_evidence_ids"),
+    )
+    return ev.candidate_errors(rows).select("candidate_id", "errors")
+
+
+@query(ENT + """, qn AS (SELECT p_name || ' ' || p_partkey AS q FROM part WHERE p_partkey = 1), hit AS (SELECT entity_id FROM en, qn WHERE status = 'active' AND lower(canonical_name) = lower(q))
+SELECT entry_id, source_memory_id, row_number() OVER (ORDER BY entry_id) AS rank FROM (SELECT DISTINCT collective_entry_id AS entry_id, source_memory_id FROM me JOIN re USING (mention_id) WHERE decision = 'same_entity' AND proposed_entity_id IN (SELECT entity_id FROM hit) AND collective_entry_id % 5 <> 0) QUALIFY rank <= 50""")
+def entity_channel(spark, base):
+    from attestry.operators import retrieval as rt
+
+    name = tables.table(spark, base, "part").where("p_partkey = 1").select(_part_name().alias("n")).first()["n"]
+    e, m = _entities(spark, base), _mentions(spark, base)
+    entries = tables.table(spark, base, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("agent"), (F.col("o_orderkey") % 3).cast("string")).alias("source_profile"), (F.col("o_orderkey") % 5 != 0).alias("is_promoted"), F.lit(False).alias("is_revoked"))
+    return rt.entity_channel(entries, e, en.resolve(m, e), m, name.lower()).select("entry_id", "source_memory_id", "rank")
+
+
+@query("""SELECT event_id AS entry_id, t.r AS temporal_relation, t.a AS start_time, t.b AS end_time, t.p AS precision FROM events, (VALUES ('click', 'during', '2024-01-05', '2024-01-09', 'day'), ('click', 'ongoing', NULL, NULL, 'unknown'),
+  ('view', 'at', '2023-03', NULL, 'month'), ('view', 'at', '1999', NULL, 'year'), ('error', 'before', NULL, NULL, 'unknown'), ('error', 'at', '2024-02-03', NULL, 'day'), ('purchase', 'during', NULL, NULL, 'unknown')) AS t(e, r, a, b, p) WHERE event_type = t.e""")
+def temporal_forms(spark, base):
+    """Ranges, months, years, bare words and changes of state."""
+    said = (
+        F.when(F.col("event_type") == "click", "From 2024-01-05 to January 9, 2024 it ran, ongoing since.").when(F.col("event_type") == "view", "Seen in March 2023 and again in 1999.")
+        .when(F.col("event_type") == "error", "Before 2024-02-03.").when(F.col("event_type") == "purchase", "The order was replaced by another one.").otherwise("No date here.")
+    )
+    found = dates.extract_evidence(_events(spark, base).select(F.col("event_id").alias("entry_id"), said.alias("text")))
+    return found.select("entry_id", "temporal_relation", "start_time", "end_time", "precision")

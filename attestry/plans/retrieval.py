@@ -136,43 +136,50 @@ def mediation_codes(spark, base):
     return gv.mediate(p).select("id", "code", "state")
 
 
-MACHINE = "SELECT DISTINCT from_state, to_state, (from_state, to_state) IN (SELECT * FROM (VALUES {})) AS allowed FROM s a, s b"
-
-
-def _moves_sql(machine: str) -> str:
-    from attestry.schema import TRANSITIONS
-
-    pairs = TRANSITIONS[machine]
-    states = sorted({x for p in pairs for x in p})
+def _moves_sql(states: str, moves: str) -> str:
+    """SQL over a written-out table of moves, so a wrong table in the engine shows."""
     return (
-        f"WITH s AS (SELECT unnest({states!r}) AS st), m AS (SELECT unnest({[a + '>' + b for a, b in pairs]!r}) AS mv) "
+        f"WITH s AS (SELECT unnest(string_split('{states}', ' ')) AS st), m AS (SELECT unnest(string_split('{moves}', ' ')) AS mv) "
         "SELECT a.st AS from_state, b.st AS to_state, (a.st || '>' || b.st) IN (SELECT mv FROM m) AS allowed FROM s a, s b"
     )
 
 
 def _moves(spark, machine):
-    from attestry.schema import TRANSITIONS
+    from attestry.schema import FINAL, TRANSITIONS
 
-    states = sorted({x for p in TRANSITIONS[machine] for x in p})
+    states = sorted({x for p in TRANSITIONS[machine] for x in p} | set(FINAL.get(machine, ())))
     return gv.allowed_moves(spark.createDataFrame([(a, b) for a in states for b in states], "from_state string, to_state string"), machine)
 
 
-@query(_moves_sql("mediation"))
+@query(_moves_sql(
+    "PROPOSED PRIVACY_FILTERING VALIDATING REJECTED READY_FOR_PROMOTION MANUAL_REVIEW",
+    "PROPOSED>PRIVACY_FILTERING PRIVACY_FILTERING>VALIDATING VALIDATING>REJECTED VALIDATING>READY_FOR_PROMOTION VALIDATING>MANUAL_REVIEW MANUAL_REVIEW>READY_FOR_PROMOTION",
+))
 def mediation_moves(spark, base):
     return _moves(spark, "mediation")
 
 
-@query(_moves_sql("peer"))
+@query(_moves_sql(
+    "discovered identified trust_established authenticated authorized exchange_eligible blocked revoked expired",
+    "discovered>identified identified>trust_established trust_established>authenticated authenticated>authorized authorized>exchange_eligible",
+))
 def peer_transitions(spark, base):
     return _moves(spark, "peer")
 
 
-@query(_moves_sql("model"))
+@query(_moves_sql(
+    "candidate validated active stale superseded revoked",
+    "candidate>validated candidate>revoked validated>active validated>revoked active>stale active>superseded active>revoked stale>active stale>superseded stale>revoked",
+))
 def model_transitions(spark, base):
     return _moves(spark, "model")
 
 
-@query(_moves_sql("transfer"))
+@query(_moves_sql(
+    "available eligible candidate authorized adopted stale superseded revoked rejected",
+    "available>eligible eligible>candidate eligible>rejected candidate>authorized candidate>rejected candidate>revoked authorized>adopted authorized>rejected authorized>revoked "
+    "adopted>stale adopted>superseded adopted>revoked stale>adopted stale>superseded stale>revoked",
+))
 def transfer_transitions(spark, base):
     return _moves(spark, "transfer")
 
@@ -276,12 +283,11 @@ def temporal_recency(spark, base):
     return rt.recency(_e(spark, base), m, "2024-01-20 12:00:00")
 
 
-@query(E + r""", q AS (SELECT id, left(content, 60) AS t FROM entries), s AS (SELECT id, t, regexp_matches(t, '\p{Latin}') AS l, regexp_matches(regexp_replace(t, '\p{Latin}', '', 'g'), '\p{L}') AS o FROM q)
+@query(E + r""", q AS (SELECT id, content AS t FROM entries), s AS (SELECT id, t, regexp_matches(t, '\p{Latin}') AS l, regexp_matches(regexp_replace(t, '\p{Latin}', '', 'g'), '\p{L}') AS o FROM q)
   SELECT id, CASE WHEN l AND o THEN 'mixed' WHEN l THEN 'latin' WHEN o THEN 'non_latin' ELSE 'unknown' END AS script, NOT (o) AS semantic FROM s""")
 def query_script(spark, base):
-    t = F.substring("content", 1, 60)
-    m = _m(spark, base)
-    return m.select((F.col("origin_memory_id").cast("long") + 1).alias("id"), tx.script(t).alias("script"), tx.semantic_supported(t).alias("semantic"))
+    t = F.col("content")
+    return _m(spark, base).select((F.col("origin_memory_id").cast("long") + 1).alias("id"), tx.script(t).alias("script"), tx.semantic_supported(t).alias("semantic"))
 
 
 CUES = "CASE event_type WHEN 'click' THEN 'when was it before the ' WHEN 'view' THEN 'who is related to ' WHEN 'error' THEN 'exact phrase ' WHEN 'signup' THEN 'depends on ' ELSE '' END || event_type || ' case'"
@@ -401,10 +407,10 @@ def graph_expand(spark, base):
     return gr.expand(seeds, _edges(spark, base), e, 5).withColumn("score", F.round("score", 6))
 
 
-@query(EDGES + """, k AS (SELECT id FROM gov WHERE ends_with(source_profile, ':src0')) SELECT source_id, target_id, round(similarity, 6) AS similarity FROM eb WHERE source_id < target_id AND source_id IN (SELECT id FROM k) AND target_id IN (SELECT id FROM k)
+@query(EDGES + """, k AS (SELECT id FROM gov WHERE ends_with(source_profile, ':src10')) SELECT source_id, target_id, round(similarity, 6) AS similarity FROM eb WHERE source_id < target_id AND source_id IN (SELECT id FROM k) AND target_id IN (SELECT id FROM k)
   ORDER BY similarity DESC, source_id, target_id LIMIT 25""")
 def graph_service(spark, base):
-    return gr.serve(_edges(spark, base), _e(spark, base), "src0", 25).withColumn("similarity", F.round("similarity", 6))
+    return gr.serve(_edges(spark, base), _e(spark, base), "src10", 25).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(EDGES + " SELECT source_id, target_id, round(similarity, 6) AS similarity FROM eb WHERE source_id < target_id ORDER BY similarity DESC, source_id, target_id LIMIT 25")
@@ -412,10 +418,10 @@ def graph_service_all(spark, base):
     return gr.serve(_edges(spark, base), _e(spark, base), None, 25).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(EDGES + """, c AS (SELECT * FROM eb WHERE source_id < target_id ORDER BY similarity DESC, source_id, target_id LIMIT 100), k AS (SELECT id FROM gov WHERE source_profile = 'agent0:src0')
+@query(EDGES + """, c AS (SELECT * FROM eb WHERE source_id < target_id ORDER BY similarity DESC, source_id, target_id LIMIT 5000), k AS (SELECT id FROM gov WHERE source_profile = 'agent2:src11')
   SELECT source_id, target_id, round(similarity, 6) AS similarity FROM c WHERE source_id IN (SELECT id FROM k) AND target_id IN (SELECT id FROM k)""")
 def graph_service_cut_first(spark, base):
-    return gr.serve(_edges(spark, base), _e(spark, base), "agent0:src0", 100, cut_first=True).withColumn("similarity", F.round("similarity", 6))
+    return gr.serve(_edges(spark, base), _e(spark, base), "agent2:src11", 5000, cut_first=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(EDGES + " SELECT (SELECT count(DISTINCT source_profile || ':' || origin_memory_id) FROM gov) AS nodes, (SELECT count(*) FROM eb WHERE source_id < target_id) AS edges")
@@ -435,3 +441,70 @@ def temporal_graph_edges(spark, base):
     place = ev.select("evidence_id", "entry")
     pairs = pairs.join(place.select(F.col("evidence_id").alias("left_id"), F.col("entry").alias("left_entry")), "left_id").join(place.select(F.col("evidence_id").alias("right_id"), F.col("entry").alias("right_entry")), "right_id")
     return gr.temporal_edges(pairs.withColumns({"left_profile": F.col("event_type"), "right_profile": F.col("event_type")}))
+
+
+@query(EDGES + " SELECT (SELECT count(DISTINCT source_profile) FROM entries) AS profiles, (SELECT count(*) FROM entries) AS memories, (SELECT count(DISTINCT source_profile || ':' || origin_memory_id) FROM gov) AS nodes, (SELECT count(*) FROM eb WHERE source_id < target_id) AS edges")
+def ui_statistics(spark, base):
+    return gr.statistics(_m(spark, base), _e(spark, base), _edges(spark, base))
+
+
+@query(EDGES + """, k AS (SELECT id FROM entries WHERE strftime(validated_at, '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-20')
+  SELECT source_id, target_id, round(similarity, 6) AS similarity FROM eb WHERE source_id IN (SELECT id FROM k) AND target_id IN (SELECT id FROM k)""")
+def ui_graph_filter(spark, base):
+    m = _m(spark, base).select("source_profile", "origin_memory_id", "content")
+    events = gv.ui_filter(gv.timeline_events(_e(spark, base), _m(spark, base)).join(m, ["source_profile", "origin_memory_id"]), None, None, "2024-01-05", "2024-01-20")
+    return gr.filter_by_events(_edges(spark, base), events).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(E + """, c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS n FROM gov)
+  SELECT id, position, round(cos(position * (2 * pi() / n)), 6) + 0.0 AS x, round(sin(position * (2 * pi() / n)), 6) + 0.0 AS y FROM c""")
+def graph_circle(spark, base):
+    out = gr.circle(gv.governed_entries(_e(spark, base)))
+    return out.select("id", "position", (F.round("x", 6) + F.lit(0.0)).alias("x"), (F.round("y", 6) + F.lit(0.0)).alias("y"))
+
+
+PROVENANCE = """, pv AS (SELECT DISTINCT event_id % (SELECT count(*) FROM documents) + 1 AS entry_id, 'agent' || user_id % 3 AS source_profile, 'm' || user_id % 5 AS origin_memory_id FROM events
+), pn AS (SELECT entry_id, count(*) AS places, min(source_profile || '|' || origin_memory_id) AS first_place FROM pv GROUP BY 1)"""
+
+
+@query(E + PROVENANCE + " SELECT id AS entry_id, coalesce(places, 0) AS places, first_place FROM gov LEFT JOIN pn ON entry_id = id")
+def results_provenance(spark, base):
+    n = tables.table(spark, base, "documents").count()
+    t = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    seen = tables.table(spark, base, "events").select(
+        (F.col("event_id") % n + 1).alias("entry_id"), t("agent", F.col("user_id") % 3).alias("source_profile"), t("m", F.col("user_id") % 5).alias("origin_memory_id"), F.lit("2024-01-01").alias("created_at")
+    )
+    rows = rt.with_provenance(gv.governed_entries(_e(spark, base)).select(F.col("id").alias("entry_id")), seen)
+    first = F.get("provenance", F.lit(0))
+    return rows.select("entry_id", F.size("provenance").cast("long").alias("places"), F.concat_ws("|", first["source_profile"], first["origin_memory_id"]).alias("f")).select("entry_id", "places", F.when(F.col("places") > 0, F.col("f")).alias("first_place"))
+
+
+@query("""WITH q AS (SELECT user_id AS query_id, event_id AS entry_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rank, event_type IN ('purchase', 'signup') AS hit FROM events
+), p AS (SELECT query_id, count(*) FILTER (WHERE rank <= 10) AS got, count(*) FILTER (WHERE rank <= 10 AND hit) AS hits, min(rank) FILTER (WHERE hit) AS f, count(*) FILTER (WHERE hit) AS rel FROM q GROUP BY 1 HAVING rel > 0)
+SELECT count(*) AS queries, round(avg(hits / got), 9) AS mean_precision, round(avg(hits / rel), 9) AS mean_recall, round(avg(1 / f), 9) AS mean_reciprocal_rank FROM p""")
+def retrieval_macro_average(spark, base):
+    from pyspark.sql import Window as W
+
+    ev = tables.table(spark, base, "events")
+    results = ev.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("entry_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("rank"))
+    relevant = ev.where("event_type in ('purchase', 'signup')").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("entry_id"))
+    out = rt.macro_average(rt.retrieval_metrics(results, relevant, 10))
+    return out.select("queries", *[F.round(c, 9).alias(c) for c in ("mean_precision", "mean_recall", "mean_reciprocal_rank")])
+
+
+@query("SELECT event_id AS id, '{\"by\":\"u' || user_id || '\",\"kind\":\"' || event_type || '\",\"on\":\"' || strftime(ts, '%Y-%m-%d') || '\"}' AS metadata FROM events")
+def canonical_metadata(spark, base):
+    kept = F.create_map(F.lit("on"), F.date_format("ts", "yyyy-MM-dd"), F.lit("kind"), F.col("event_type"), F.lit("by"), F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return tables.table(spark, base, "events").select(F.col("event_id").alias("id"), tx.canonical_json(kept).alias("metadata"))
+
+
+@query()
+def hybrid_search(spark, base):
+    """The whole answer: routed, fused, reranked by the query's words, with provenance, evidence and explanation."""
+    e = _e(spark, base)
+    n = tables.table(spark, base, "documents").count()
+    ev = tables.table(spark, base, "events")
+    evidence = ev.select((F.col("event_id") % n + 1).alias("entry_id"), F.when(F.col("event_id") % 3 == 0, "inferred").otherwise("observed").alias("evidence_kind"), (F.col("event_id") % 10 / 10.0).cast("double").alias("confidence"))
+    seen = ev.select((F.col("event_id") % n + 1).alias("entry_id"), F.lit("agent0").alias("source_profile"), F.col("user_id").cast("string").alias("origin_memory_id"), F.lit("2024-01-01").alias("created_at"))
+    out = rt.search(e, _m(spark, base), QUERY, limit=10, rerank_with=rt.lexical_score(QUERY), provenance=seen, evidence=evidence, window=("2024-01-10", "2024-01-12"))
+    return out.select("entry_id", "rank", "fused_rank", "reranker_score", "channels", "main_channel", F.size("provenance").alias("places"), "evidence_count", "quality", "date_source")

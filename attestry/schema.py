@@ -7,6 +7,8 @@ EVIDENCE_LIFECYCLE = ("proposed", "validated", "promoted", "rejected", "revoked"
 PRECISIONS = ("year", "month", "day", "hour", "minute", "second")
 CHANNELS = ("keyword", "semantic", "temporal", "entity", "graph")
 
+#: States of a machine that no move reaches or leaves.
+FINAL = {"peer": ("blocked", "revoked", "expired")}
 #: Allowed moves of the state machines, as machine: (from, to) pairs.
 TRANSITIONS = {
     "mediation": (

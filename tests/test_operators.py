@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from attestry.functions import text as tx
 from attestry.operators import entities as en
 from attestry.operators import evidence as ev
 from attestry.operators import federation as fd
@@ -298,3 +299,50 @@ def test_rebuild_is_all_or_nothing(spark, tmp_path, entries, memories):
     bad = memories.withColumn("content", F.when(F.col("origin_memory_id") == "m2", "!!").otherwise(F.col("content")))
     assert profiles.rebuild_embeddings(good, bad, path, 8) == 1
     assert spark.read.parquet(path).count() == 2
+
+
+def test_adoption_asks_all_that_must_agree(spark):
+    """Every pair of AGREEMENTS alone stops an adoption, and each error has its code."""
+    base = {
+        "status": "candidate", "decision": "applicable", "authorized_at": 1, "adopted_at": 2, "expires_at": 3, "revoked": False, "source_profile": "p", "model_profiles": ["p"], "model_status": "active",
+    }
+    for _, one, two in tr.AGREEMENTS:
+        value = ["x"] if one.endswith("_ids") or one == "temporal_scope" else base.get(one, "k")
+        base |= {one: value, two: value}
+    rows = [("fine", base)]
+    for code, one, two in tr.AGREEMENTS:
+        rows.append((code, base | {two: ["y"] if isinstance(base[two], list) else "other"}))
+    rows += [("not_a_candidate", base | {"status": "adopted"}), ("not_applicable", base | {"decision": "review_required"}), ("authorization_revoked", base | {"revoked": True}), ("before_authorization", base | {"adopted_at": 0}),
+             ("authorization_expired", base | {"adopted_at": 9}), ("model_of_other_profile", base | {"model_profiles": ["q"]}), ("model_not_current", base | {"model_status": "stale"}), ("analysis_of_other_candidate", base | {"n_candidate_id": None})]
+    kind = lambda v: "array<string>" if isinstance(v, list) else "boolean" if isinstance(v, bool) else "int" if isinstance(v, int) else "string"
+    schema = "want string, " + ", ".join(f"{k} {kind(v)}" for k, v in base.items())
+    got = tr.adopt(spark.createDataFrame([(w, *r.values()) for w, r in rows], schema)).collect()
+    for r in got:
+        assert r["errors"] == ([] if r["want"] == "fine" else [r["want"]]) and r["adoptable"] == (r["want"] == "fine"), r["want"]
+
+
+def test_every_cue_of_conjecture_suppresses():
+    for cue in ("suggests", "suggest", "suggesting", "implies", "imply that", "implying", "indicates", "indicating", "appears to say", "appear to say", "seems to say", "probably", "possibly", "perhaps", "likely", "may", "might", "could"):
+        found = en.find_relationships(f"It {cue} Python uses SQLite.", ["Python", "SQLite"])
+        assert bool(found) == (cue == "imply that"), cue
+    assert en.find_relationships("It appears. Python uses SQLite.", ["Python", "SQLite"]) and en.find_relationships("It seems so, Python uses SQLite.", ["Python", "SQLite"])
+
+
+def test_versioned_names_and_unicode_keys(spark):
+    assert [m[0] for m in en.find_mentions("GPT-4.1 and Qwen3, beside Devstral and Uvicorn.")] == ["Devstral", "GPT-4.1", "Qwen3", "Uvicorn"]
+    rows = spark.createDataFrame([("\ufb01le \u2460",), ("FILE 1",), ("Stra\u00dfe",), ("STRASSE",), (None,)], "t string")
+    keys = [r[0] for r in rows.select(tx.entity_key(rows["t"])).collect()]
+    assert keys == ["file 1", "file 1", "strasse", "strasse", None]
+
+
+def test_search_routes_reranks_and_explains(spark):
+    entries = spark.createDataFrame([(i, "a:p", str(i), True, False, None) for i in range(1, 9)], "id long, source_profile string, origin_memory_id string, is_promoted boolean, is_revoked boolean, validated_at date")
+    memories = spark.createDataFrame([("a:p", str(i), "alpha beta " * (i % 3 + 1) + ("gamma" if i % 2 else "delta " * 6), "2024-01-0%d" % i, "day") for i in range(1, 9)], "source_profile string, origin_memory_id string, content string, event_date string, event_date_precision string")
+    evidence = spark.createDataFrame([(1, "observed", 0.5), (1, "inferred", None)], "entry_id long, evidence_kind string, confidence double")
+    seen = spark.createDataFrame([(1, "a:p", "1", "2024"), (1, "a:p", "1", "2024"), (2, "a:p", "9", "2024")], "entry_id long, source_profile string, origin_memory_id string, created_at string")
+    out = {r["entry_id"]: r for r in rt.search(entries, memories, "gamma", limit=5, rerank_with=rt.lexical_score("gamma"), provenance=seen, evidence=evidence, window=("2024-01-01", "2024-01-02")).collect()}
+    assert sorted(out) == [1, 3, 5, 7] and sorted(r["rank"] for r in out.values()) == [1, 2, 3, 4]
+    assert all(r["channels"] == ["keyword"] and r["date_source"] == "unknown" for r in out.values())  # routed: the window isn't asked for
+    assert len(out[1]["provenance"]) == 1 and out[1]["evidence_count"] == 2 and out[3]["evidence_count"] is None and out[3]["provenance"] == []
+    asked = rt.search(entries, memories, "gamma", limit=5, route=False, window=("2024-01-01", "2024-01-02")).collect()
+    assert {r["entry_id"] for r in asked if "temporal" in r["channels"]} <= {1, 2} and any(r["date_source"] == "event_date" for r in asked)
