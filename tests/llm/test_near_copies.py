@@ -93,10 +93,11 @@ def test_groups_match_all_pairs(spark, how):
     assert len({(a, b) for a, b in zip(got, want)}) == len(set(want)) == len(set(got)) < len(rows) - 20
 
 
-def test_hubs_are_verified_in_salted_copies(spark):
+@pytest.mark.parametrize("most_bytes", [0, 1 << 20])
+def test_hubs_are_verified_in_salted_copies_or_by_broadcast(spark, most_bytes):
     marks = spark.createDataFrame([(c, [1, 2, 3, 4 + c % 2]) for c in range(40)], "c long, marks array<bigint>")
     pairs = spark.createDataFrame([(0, c) for c in range(1, 40)], "a long, b long")
-    got = {(r["a"], r["b"]): r["near"] for r in near_copies.verified(pairs, marks, 80, heavy=5).collect()}
+    got = {(r["a"], r["b"]): r["near"] for r in near_copies.verified(pairs, marks, 80, heavy=5, most_bytes=most_bytes).collect()}
     assert got == {(0, c): c % 2 == 0 for c in range(1, 40)}
 
 
