@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extraction, langid, mixing, quality_rules, sharding, simhash, toxicity, url_filter, weak_quality
+from . import decontaminate, extraction, langid, mixing, quality_rules, sharding, simhash, toxicity, url_filter, vector_queries, weak_quality
 
 #: Byte limits of a shard in the registered query: a 64th of all bytes, within these.
 LEAST_SHARD, MOST_SHARD = 64 << 10, 128 << 20
@@ -161,8 +161,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding, "op2_simhash": op2_simhash, "op3_extraction": op3_extraction, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op6_mixing": op6_mixing,
         "op7_decontaminate": op7_decontaminate, "op8_weak_quality": op8_weak_quality, "op9_language": op9_language, "op10_toxicity": op10_toxicity,
-    }
+    } | vector_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_sharding": OP1_SQL, "op5_url_filter": OP5_SQL, "op6_mixing": OP6_SQL} | vector_queries.oracle_sql()
