@@ -34,7 +34,9 @@ def tables(spark, tmp_path_factory):
     docs += [(500, None, None, None, None), (501, "", "en", "s1", 0), (502, "line\n" * 3000, "de", "s2", 15000), (7, docs[7][1], "en", "s3", 1), (None, "only words", "en", "s0", 10)]
     labels = [(i, int(i % 3 != 0), int(i % 10 == 3)) for i in range(160)]
     pages = [(i, f"http://h{i % 7}.example.{'net' if i % 2 else 'com'}/a/{i}", PAGE.replace("Quoted", f"Quoted {i}")) for i in range(40)] + [(99, None, None)]
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(16)], i % 3) for i in range(120)] + [(200, None, 1), (201, [0.0] * 16, None)]
     for name, rows, schema in (
+        ("embeddings", vectors, "vec_id long, embedding array<float>, label int"),
         ("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", labels, "doc_id long, quality int, toxic int"),
         ("benchmark", bench, "item_id long, text string"), ("pages", pages, "page_id long, url string, html string"),
     ):
@@ -47,6 +49,8 @@ COLUMNS = {
     "op4_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}, "op5_url_filter": {"page_id", "blocked"},
     "op6_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op7_decontaminate": {"doc_id", "item_id"}, "op8_weak_quality": {"doc_id", "score", "kept"},
     "op9_language": {"doc_id", "held_out", "lang_pred", "score"}, "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op11_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"}, "op12_vector_codes": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+    "op13_vector_copies": {"vec_id", "n_links", "component_id", "kept"},
 }
 
 
@@ -56,7 +60,9 @@ def test_query_covers_its_table(spark, tables, name):
     df = queries.queries()[name](spark, base)
     assert COLUMNS[name] <= set(df.columns)
     n = df.count()
-    if name != "op7_decontaminate":
+    if name in ("op11_hard_negatives", "op12_vector_codes", "op13_vector_copies"):
+        assert n == {"11": n, "12": 121, "13": 122}[name[2:4]]
+    elif name != "op7_decontaminate":
         assert n == (41 if name in ("op3_extraction", "op5_url_filter") else len(docs))
 
 
