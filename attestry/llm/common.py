@@ -95,16 +95,21 @@ class Positional:
 
 
 def row_hash(docs: DataFrame, seed: int = 1) -> Column:
-    """A 64-bit hash of all columns of a row."""
-    return F.xxhash64(F.lit(seed), *[F.to_json(f"`{c}`") if t.startswith("map") else F.col(f"`{c}`") for c, t in docs.dtypes])
+    """A 64-bit hash of all columns of a row, which tells null from any value and in which column it stands."""
+    parts: list[Column] = []
+    for name, kind in docs.dtypes:
+        own = F.col(f"`{name}`")
+        nested = kind.startswith(("map", "array", "struct"))
+        parts += [own.isNull(), F.to_json(own, {"ignoreNullFields": "false"}) if nested else own]
+    return F.xxhash64(F.lit(seed), *parts)
 
 
 def sample_rows(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, most_bytes: int = 96 << 20) -> pd.DataFrame:
     """Rows (__id, columns of picked, __text) of a bounded sample picked(__id, ...), one an id, sorted by id.
 
     Of rows that repeat an id the one with the smallest hash of its text counts. Ids come in
-    the order of their md5 until their texts pass most_bytes, so repeated ids and long
-    texts can't fill the driver.
+    the order of their md5; one whose text doesn't fit into what is left of most_bytes is
+    passed over, so repeated ids and long texts can't fill the driver.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     met = own.join(F.broadcast(picked), "__id")
@@ -112,7 +117,11 @@ def sample_rows(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str,
     others = [c for c in picked.columns if c != "__id"]
     first = met.groupBy("__id", *others).agg(F.min(F.struct(F.xxhash64("__text").alias("h"), size.alias("n"))).alias("f"))
     sizes = first.select("__id", *others, "f.h", "f.n", F.md5(F.col("__id").cast("string").cast("binary")).alias("m")).toPandas().sort_values(["m", "__id"], kind="stable")
-    sizes = sizes[sizes["n"].cumsum() <= most_bytes]
+    left, fits = most_bytes, []
+    for n in sizes["n"]:
+        fits.append(n <= left)
+        left -= n if fits[-1] else 0
+    sizes = sizes[fits]
     if not len(sizes):
         return pd.DataFrame(columns=["__id", *others, "__text"])
     kinds = dict(picked.dtypes)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from attestry.llm import near_copies, simhash
-from attestry.llm.common import materialize
+from attestry.llm.common import materialize, sample_rows
 
 SCHEMA = "doc_id long, text string"
 
@@ -112,3 +112,16 @@ def test_keep_first_keeps_the_smallest_row_of_a_group(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"], r["__r1"]) for r in kept.collect()) == [(2, 7), (3, 2), (4, 6), (7, 9), (8, 5), (10, 10)]
     assert near_copies.keep_first(df.where("false")).count() == 0
+
+
+def test_rows_that_differ_only_in_where_a_null_stands(spark):
+    """Neither a null text nor a null column makes two rows one."""
+    rows = [(1, None, "alpha beta gamma delta", "x"), (1, "alpha beta gamma delta", None, "x"), (2, "other words are here now", None, "x"), (2, "other words are here now", None, "x")]
+    got = near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(set(rows), key=str)
+
+
+def test_sample_passes_over_what_does_not_fit(spark):
+    docs = spark.createDataFrame([(i, "x" * (50_000 if i == 3 else 10)) for i in range(20)], SCHEMA)
+    got = sample_rows(docs, docs.select(docs["doc_id"].alias("__id")), "doc_id", "text", most_bytes=1000)
+    assert sorted(got["__id"]) == [i for i in range(20) if i != 3]
