@@ -130,7 +130,7 @@ class _Lists:
             packs = packs.groupBy("list", "pack").agg(F.collect_list(F.struct("r", "label", "v", "low", "high", "held")).alias("anchors"))
             each = packs.where(self.blocks[F.col("list")] > 0).withColumn("block", F.explode(F.sequence(F.lit(0), self.blocks[F.col("list")] - 1)))
             with small_batches(visits.sparkSession, 8):
-                new = self.scratch(each.join(self.rows, ["list", "block"]).select("anchors", "rows").mapInArrow(
+                new = self.scratch(each.hint("merge").join(self.rows, ["list", "block"]).select("anchors", "rows").mapInArrow(
                     partial(_search, dims=self.dims, dtype=self.dtype, same=same, take=take), "a long, w int, r long, id long, score long"
                 ))
             listed = new if found is None else found.drop("rank").union(new)

@@ -157,11 +157,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     visits = dealt.mapInArrow(visit, "own int, home int, chunk int, c long, n long, u binary")
     packs = visits.groupBy("own", "home", "chunk").agg(packed.alias("visitors"))
     each = packs.withColumn("at", F.explode(F.sequence(F.lit(0), blocks[F.col("own")] - 1))).select("own", "at", "visitors")
-    others = each.join(lists, ["own", "at"]).select(F.lit(False).alias("same"), "visitors", "rows")
+    others = each.hint("merge").join(lists, ["own", "at"]).select(F.lit(False).alias("same"), "visitors", "rows")
     inner = lists.select("own", F.col("at").alias("chunk"), F.col("rows").alias("visitors")).withColumn("at", F.explode(F.sequence(F.col("chunk"), blocks[F.col("own")] - 1)))
     none = F.array().cast(lists.schema["rows"].dataType)
     selves = inner.where("at = chunk").select(F.lit(True).alias("same"), "visitors", none.alias("rows"))
-    inside = inner.where("at > chunk").join(lists, ["own", "at"]).select(F.lit(False).alias("same"), "visitors", "rows")
+    inside = inner.where("at > chunk").hint("merge").join(lists, ["own", "at"]).select(F.lit(False).alias("same"), "visitors", "rows")
     tiles = selves.union(inside).union(others)
     with small_batches(spark, 1):
         found = scratch(tiles.mapInArrow(partial(_tiles, dims=dims, threshold=threshold), "c long, low long, links long"))
