@@ -112,6 +112,13 @@ def query_intent(query: Column) -> Column:
     return F.when(count > 1, "hybrid").when(count == 1, found).otherwise("semantic")
 
 
+def intent_of(query: str) -> str:
+    """query_intent() of one query, without a job."""
+    q = re.sub(r"\s+", " ", query).strip()
+    found = [k for k, p in INTENTS.items() if re.search(p, q, re.IGNORECASE | re.ASCII)]
+    return "hybrid" if len(found) > 1 else found[0] if found else "semantic"
+
+
 def route(intent: Column) -> Column:
     pairs = [x for k, v in ROUTES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
     return F.create_map(*pairs)[intent]
@@ -127,6 +134,11 @@ def semantic_supported(text: Column) -> Column:
     return ~script(text).isin("non_latin", "mixed")
 
 
+def latin_only(query: str) -> bool:
+    """Whether the NFKC form of one query has no letter of another script than Latin."""
+    return all(unicodedata.name(c, "LATIN").find("LATIN") >= 0 for c in unicodedata.normalize("NFKC", query) if c.isalpha())
+
+
 def masked(text: Column) -> Column:
     """Text with e-mail addresses, then phone numbers, replaced."""
     return F.regexp_replace(F.regexp_replace(text, EMAIL, "[REDACTED]"), PHONE, "[REDACTED]")
@@ -235,5 +247,5 @@ def stem(word: str) -> str:
 
 @F.arrow_udf(StringType())
 def stem_column(values: pa.Array) -> pa.Array:
-    known: dict = {}
-    return pa.array([None if v is None else known.setdefault(v, stem(v)) if v not in known else known[v] for v in values.to_pylist()], pa.string())
+    each = values.dictionary_encode()
+    return pa.array([stem(v) for v in each.dictionary.to_pylist()], pa.string()).take(each.indices)

@@ -19,6 +19,11 @@ from attestry.operators.governance import governed_entries
 from attestry.schema import CHANNELS
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Channels that a step of a route admits candidates from (fixed values).
+ADMITTED = {
+    "semantic": ("keyword", "semantic", "graph"), "lexical": ("keyword", "semantic", "graph"), "temporal": ("keyword", "semantic", "temporal", "graph"),
+    "entity": ("keyword", "semantic", "entity", "graph"), "relationship": ("keyword", "semantic", "entity", "graph"),
+}
 
 
 def ranked(rows: DataFrame, *order: Column, limit: int | None = None) -> DataFrame:
@@ -43,9 +48,11 @@ def times(column: str, term: str) -> Column:
 
 
 def postings(entries: DataFrame, memories: DataFrame, stem: bool = False) -> DataFrame:
-    """(entry_id, source_profile, term, tf, dl) of governed entries with text that isn't blank."""
+    """(entry_id, source_profile, term, tf, dl) of governed entries with text that isn't blank; stemmed terms lose their diacritics first."""
+    from attestry.operators.keyword_index import fold
+
     rows = governed_entries(entries).select(F.col("id").alias("entry_id"), "source_profile", "origin_memory_id").join(memories.select("source_profile", "origin_memory_id", "content"), ["source_profile", "origin_memory_id"])
-    rows = rows.where(F.length(F.trim("content")) > 0).select("entry_id", "source_profile", words(F.col("content")).alias("w"))
+    rows = rows.where(F.length(F.trim("content")) > 0).select("entry_id", "source_profile", words(fold(F.col("content")) if stem else F.col("content")).alias("w"))
     each = rows.select("entry_id", "source_profile", F.size("w").alias("dl"), F.explode("w").alias("term"))
     if stem:
         each = each.withColumn("term", tx.stem_column("term"))
@@ -62,12 +69,15 @@ def index_report(entries: DataFrame, memories: DataFrame) -> DataFrame:
 def bm25(entries: DataFrame, memories: DataFrame, query: str, limit: int = 10, profile: str | None = None, stem: bool = False) -> DataFrame:
     """Keyword channel: BM25 over any of the query's terms (k1 1.2, b 0.75, IDF at least 1e-6).
 
-    Statistics are those of the whole index; the best 4 x limit are cut before the profile
-    filter, so a profile may get fewer than limit. Nothing is shuffled but partial counts
-    and the best rows: the texts are read once for the statistics and once for the hits. A
-    limit of 0 or less gives nothing.
+    For a search without an index: it reads all texts, twice, and joins them with their
+    entries; KeywordIndex answers from postings. Statistics are those of all texts; the best
+    4 x limit are cut before the profile filter, so a profile may get fewer than limit.
+    Underscores part terms, diacritics count unless stem is set. A limit of 0 or less gives
+    nothing.
     """
-    terms = [p for t in tx.match_terms(query) for p in t.split("_") if p]
+    from attestry.operators.keyword_index import fold_one
+
+    terms = [p for t in tx.match_terms(query) for p in (fold_one(t) if stem else t).split("_") if p]
     terms = list(dict.fromkeys(tx.stem(t) if stem else t for t in terms))
     rows = governed_entries(entries).select(F.col("id").alias("entry_id"), "source_profile", "origin_memory_id").join(memories.select("source_profile", "origin_memory_id", "content"), ["source_profile", "origin_memory_id"])
     rows = rows.where(F.length(F.trim("content")) > 0)
@@ -241,11 +251,10 @@ def with_provenance(results: DataFrame, provenance: DataFrame) -> DataFrame:
     return results.join(listed, "entry_id", "left").withColumn("provenance", F.coalesce("provenance", empty))
 
 
-def temporal_context(results: DataFrame, channel: DataFrame | None) -> DataFrame:
-    """results with temporal_relevant, temporal_score and date_source (event_date, or timestamp for recency); entries outside the channel aren't relevant."""
+def temporal_context(results: DataFrame, channel: DataFrame | None, source: str = "event_date") -> DataFrame:
+    """results with temporal_relevant, temporal_score and date_source (source: event_date, or timestamp for recency); entries outside the channel aren't relevant."""
     if channel is None:
         return results.withColumns({"temporal_relevant": F.lit(False), "temporal_score": F.lit(0.0), "date_source": F.lit("unknown")})
-    source = "event_date" if "event_date" in channel.columns else "timestamp"
     side = channel.select("entry_id", F.col("score").alias("__t"))
     return results.join(side, "entry_id", "left").select(
         *results.columns, F.col("__t").isNotNull().alias("temporal_relevant"), F.coalesce("__t", F.lit(0.0)).alias("temporal_score"), F.when(F.col("__t").isNotNull(), source).otherwise("unknown").alias("date_source")
@@ -260,40 +269,58 @@ def evidence_signal(evidence: DataFrame) -> DataFrame:
     return out.withColumn("quality", 0.5 * F.col("observed_count") / F.col("evidence_count") + 0.5 * F.coalesce("average_confidence", F.lit(0.0)))
 
 
+def admission(intent: str) -> tuple[str, ...]:
+    """Channels in the order in which their results become candidates: those of the intent's route, then entity and temporal ones."""
+    asked = {c for r in tx.ROUTES[intent] for c in ADMITTED[r]}
+    first = [c for c in ("keyword", "semantic", "temporal", "entity", "graph") if c in asked]
+    return (*first, *(c for c in ("entity", "temporal") if c not in asked))
+
+
 def hybrid(
     entries: DataFrame, memories: DataFrame, query: str, vector=None, limit: int = 10, candidate_limit: int = 40, profile: str | None = None,
-    window: tuple[str, str] | None = None, reference: str | None = None, edges: DataFrame | None = None, entity: DataFrame | None = None, weights: dict[str, float] | None = None, k: int = 60,
+    window: tuple[str, str] | None = None, reference: str | None = None, edges: DataFrame | None = None, entity: DataFrame | None = None, weights: dict[str, float] | None = None, k: int = 60, index=None,
+    keyword_limit: int | None = None, semantic_limit: int | None = None, temporal_limit: int | None = None, seed_limit: int = 5, limit_per_seed: int = 4, route: str | None = None,
 ) -> DataFrame:
     """The whole retrieval: channels, bounded candidates, fusion, temporal context, top limit.
 
     Keyword, semantic (where a vector is given and the script allows it) and graph (where
-    edges are given) always take part; event date or recency by request. Candidates are
-    admitted in channel order, entity and temporal ones while room remains. The channels run
+    edges are given) always take part; event date or recency by request, entities where their
+    channel is given. Candidates are admitted in the channel order of the route (an intent, by
+    default semantic), then entity and temporal ones while room remains. The channels run
     when this is called, once, and leave a few hundred rows. An empty query has no keyword
-    hits; a recency search needs a reference time.
+    hits; a recency search needs a reference time. Keywords are looked up in an index
+    (KeywordIndex) where one is given, else in the texts.
     """
     from attestry.operators.graph import expand
 
-    if not 1 <= limit <= 50 or not 1 <= candidate_limit <= 100:
+    if not 1 <= limit <= 100 or not 1 <= candidate_limit <= 100 or limit > 50 and limit != candidate_limit:
         raise ValueError("limit must be 1 to 50 and candidate_limit 1 to 100")
-    channels = {"keyword": bm25(entries, memories, query, candidate_limit, profile)}
+    if not query.strip():
+        return fuse(entries.sparkSession.createDataFrame([], "channel string, entry_id long, rank long")).transform(temporal_context, None)
+    keyword_limit, semantic_limit = keyword_limit or candidate_limit, semantic_limit or candidate_limit
+    keyword = index.search(query, keyword_limit, profile, entries) if index is not None else bm25(entries, memories, query, keyword_limit, profile)
+    channels = {"keyword": keyword}
     if vector is not None:
-        channels["semantic"] = semantic(entries, vector, candidate_limit, profile)
+        channels["semantic"] = semantic(entries, vector, semantic_limit, profile)
     if edges is not None:
-        seeds = candidates(union_channels({c: r for c, r in channels.items()}).where("rank <= 5"), 10, ("keyword", "semantic")).select("entry_id", F.col("rank").alias("seed_pos"))
-        channels["graph"] = expand(seeds, edges, entries, 5, profile)
+        early = union_channels(channels)
+        early = early.sparkSession.createDataFrame(early.collect(), early.schema)  # at most keyword_limit and semantic_limit rows
+        channels = {c: early.where(F.col("channel") == c) for c in channels}
+        seeds = candidates(early, seed_limit, ("keyword", "semantic")).select("entry_id", F.col("rank").alias("seed_pos"))
+        channels["graph"] = expand(seeds, edges, entries, limit_per_seed, profile)
     temporal = None
     if window is not None:
-        temporal = channels["temporal"] = event_window(entries, memories, *window, limit=candidate_limit, profile=profile)
+        temporal = channels["temporal"] = event_window(entries, memories, *window, limit=temporal_limit or candidate_limit, profile=profile)
     elif reference is not None:
-        temporal = channels["temporal"] = recency(entries, memories, reference, candidate_limit, profile)
+        temporal = channels["temporal"] = recency(entries, memories, reference, temporal_limit or candidate_limit, profile)
     if entity is not None:
         channels["entity"] = entity
     listed = union_channels(channels)
     listed = listed.sparkSession.createDataFrame(listed.collect(), listed.schema)  # at most candidate_limit rows a channel, needed twice below
-    universe = candidates(listed, candidate_limit, ("keyword", "semantic", "graph", "entity", "temporal"))
+    universe = candidates(listed, candidate_limit, admission(route or "semantic"))
     fused = fuse(listed, universe, k, weights).where(F.col("fused_rank") <= limit)
-    return temporal_context(fused, temporal)
+    fused = fused.sparkSession.createDataFrame(fused.collect(), fused.schema)  # at most candidate_limit rows
+    return temporal_context(fused, None if temporal is None else listed.where("channel = 'temporal'"), "event_date" if window is not None else "timestamp")
 
 
 def search(
@@ -302,17 +329,20 @@ def search(
 ) -> DataFrame:
     """The whole answer to a query: routed channels, fusion, reranking, provenance, evidence and an explanation.
 
-    With route, the query's intent says which channels take part: a vector, edges, an entity
-    channel or a window that is given is only used where its channel is asked for. Reranked
-    results follow the reranker, others the fused score; rank is the place in the answer.
-    Provenance is an array, evidence the signal of evidence_signal(); null where unasked.
+    Every channel that is given runs; with route, the query's intent says in which order their
+    results become candidates. A query in a script that vectors don't support has no semantic
+    channel. The first candidate_limit fused results are reranked and cut to limit; without a
+    reranker the fused order stays. rank is the place in the answer. Provenance is an array,
+    evidence the signal of evidence_signal(); absent where unasked. A blank query gives nothing.
     """
-    if route:
-        asked = set(entries.sparkSession.range(1).select(tx.route(tx.query_intent(F.lit(query)))).first()[0])
-        vector = vector if "semantic" in asked else None
-        needs = {"edges": "graph", "entity": "entity", "window": "temporal", "reference": "temporal"}
-        options = {k: v for k, v in options.items() if needs.get(k, "keyword") in asked or k not in needs}
-    fused = hybrid(entries, memories, query, vector, limit, **options)
+    if not tx.latin_only(query):
+        vector = None
+    most = options.get("candidate_limit", 20)
+    options = {"candidate_limit": 20, "keyword_limit": 20, "semantic_limit": 20, "route": tx.intent_of(query) if route else None, **options}
+    if limit > 50:
+        raise ValueError("limit must be 1 to 50")
+    wide = most if rerank_with is not None else limit
+    fused = hybrid(entries, memories, query, vector, wide, **options)
     out = fused.join(explain(fused).select("entry_id", "channels", "main_channel"), "entry_id")
     if rerank_with is None:
         out = out.withColumns({"reranker_score": F.lit(None).cast("double"), "rank": F.col("fused_rank")})
@@ -320,7 +350,7 @@ def search(
         keys = ["source_profile", "origin_memory_id"]
         found = governed_entries(entries).select(F.col("id").alias("entry_id"), *keys).join(F.broadcast(fused.select("entry_id")), "entry_id", "left_semi")
         contents = found.join(memories.select(*keys, "content"), keys).select("entry_id", "content")
-        placed = rerank(fused, contents, rerank_with, limit, limit).select("entry_id", "reranker_score", F.col("reranker_rank").alias("rank"))
+        placed = rerank(fused, contents, rerank_with, most, limit).select("entry_id", "reranker_score", F.col("reranker_rank").alias("rank"))
         out = out.join(placed, "entry_id")
     if provenance is not None:
         out = with_provenance(out, provenance.join(F.broadcast(fused.select("entry_id")), "entry_id", "left_semi"))

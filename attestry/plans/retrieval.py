@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
+from attestry.operators import evaluation as ev
 from attestry.operators import governance as gv
 from attestry.operators import graph as gr
 from attestry.operators import retrieval as rt
+from attestry.operators.keyword_index import KeywordIndex
+from attestry.plans.stemming import stems_sql
 from attestry.sources import tables
+from attestry.sources.store import shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -207,37 +213,131 @@ def authorization_windows(spark, base):
 
 # ---- retrieval ------------------------------------------------------------------------
 
-TERMS = [t for t in tx.match_terms(QUERY)]
+#: The words of QUERY, and what Porter's stemmer leaves of them, written out.
+TERMS = ["the", "thonea", "of", "tion", "which"]
+NO_ACCENTS = "strip_accents(lower(content))"
 
 
-def bm25_sql(terms: list[str], limit: int, profile: str | None = None) -> str:
+def _bm25_tail(terms: list[str], limit: int, profile: str | None) -> str:
+    """From dc(entry_id, source_profile, dl, t0, t1, ...) to the channel kw."""
     score = " + ".join(
-        f"CASE WHEN t{i} > 0 THEN greatest(ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) ELSE 0 END" for i in range(len(terms))
+        f"CASE WHEN t{i} > 0 THEN greatest(ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) ELSE 0 END"
+        for i in range(len(terms))
     )
-    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(terms))
     dfs = ", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS df{i}" for i in range(len(terms)))
     any_hit = " OR ".join(f"t{i} > 0" for i in range(len(terms)))
     cut = f"WHERE source_profile = '{profile}'" if profile else ""
-    return E + rf""", sp AS (SELECT id AS entry_id, source_profile, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM gov WHERE length(trim(content)) > 0
-), dc AS (SELECT entry_id, source_profile, len(w) AS dl, {counts} FROM sp
-), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM dc
+    return f"""st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {dfs} FROM dc
 ), best AS (SELECT entry_id, source_profile, {score} AS score FROM dc, st WHERE {any_hit} ORDER BY score DESC, entry_id LIMIT {4 * limit}
 ), kw AS (SELECT *, row_number() OVER (ORDER BY score DESC, entry_id) AS rank FROM best {cut} QUALIFY rank <= {limit})"""
 
 
-@query(bm25_sql(TERMS, 20) + " SELECT entry_id, source_profile, round(score, 6) AS score, rank FROM kw")
+#: sp(entry_id, source_profile, w): the folded words of each indexed text; tok: every word with its place and stem.
+TOKENS = E + rf""", sp AS MATERIALIZED (SELECT id AS entry_id, source_profile, list_filter(regexp_split_to_array({NO_ACCENTS}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM gov WHERE length(trim(content)) > 0
+), vocab AS MATERIALIZED (SELECT DISTINCT unnest(w) AS word FROM sp
+), {stems_sql("vocab")}, tok AS (SELECT entry_id, place, stem FROM (SELECT entry_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM sp) JOIN stems USING (word)
+)"""
+
+
+def bm25_sql(terms: list[str], limit: int, profile: str | None = None) -> str:
+    """The stemmed search."""
+    counts = ", ".join(f"count(*) FILTER (WHERE stem = '{t}') AS t{i}" for i, t in enumerate(terms))
+    filled = ", ".join(f"coalesce(t{i}, 0) AS t{i}" for i in range(len(terms)))
+    return TOKENS + f""", tc AS (SELECT entry_id, {counts} FROM tok GROUP BY 1
+), dc AS (SELECT entry_id, source_profile, len(w) AS dl, {filled} FROM sp LEFT JOIN tc USING (entry_id)
+), """ + _bm25_tail(terms, limit, profile)
+
+
+def plain_bm25_sql(terms: list[str], limit: int) -> str:
+    """The search for words as they stand."""
+    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(terms))
+    return E + rf""", sp AS (SELECT id AS entry_id, source_profile, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM gov WHERE length(trim(content)) > 0
+), dc AS (SELECT entry_id, source_profile, len(w) AS dl, {counts} FROM sp
+), """ + _bm25_tail(terms, limit, None)
+
+
+BM25 = " SELECT entry_id, source_profile, round(score, 6) AS score, rank FROM kw"
+
+
+def _index(spark, base):
+    return tables.keyword_index(spark, base)
+
+
+@query(bm25_sql(TERMS, 20) + BM25)
 def keyword_bm25(spark, base):
-    return rt.bm25(_e(spark, base), _m(spark, base), QUERY, 20).withColumn("score", F.round("score", 6))
+    return _index(spark, base).search(QUERY, 20, entries=_e(spark, base)).withColumn("score", F.round("score", 6))
 
 
-@query(bm25_sql(TERMS, 20, "agent0:src10") + " SELECT entry_id, source_profile, round(score, 6) AS score, rank FROM kw")
+@query(bm25_sql(TERMS, 20, "agent0:src10") + BM25)
 def keyword_bm25_profile(spark, base):
-    return rt.bm25(_e(spark, base), _m(spark, base), QUERY, 20, profile="agent0:src10").withColumn("score", F.round("score", 6))
+    return _index(spark, base).search(QUERY, 20, "agent0:src10").withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(bm25_sql(TERMS, 20) + BM25)
 def keyword_bm25_stemmed(spark, base):
-    return rt.bm25(_e(spark, base), _m(spark, base), QUERY, 20, stem=True)
+    """The same search without an index."""
+    return rt.bm25(_e(spark, base), _m(spark, base), QUERY, 20, stem=True).withColumn("score", F.round("score", 6))
+
+
+@query(plain_bm25_sql(TERMS, 20) + BM25)
+def keyword_bm25_unstemmed(spark, base):
+    return rt.bm25(_e(spark, base), _m(spark, base), QUERY, 20).withColumn("score", F.round("score", 6))
+
+
+@query(bm25_sql(TERMS, 20) + BM25)
+def keyword_index_increments(spark, base):
+    """Two thirds are indexed, the last of them while still promoted; then the others come, those go, and segments are merged."""
+    e, m = _e(spark, base), _m(spark, base)
+    early = e.where("id % 3 <> 0").withColumn("is_revoked", F.col("is_revoked") & (F.col("id") % 3 != 1))
+    index = KeywordIndex(spark, f"{shared_folder(spark)}/attestry-keyword-{uuid.uuid4().hex}")
+    index.rebuild(early, m)
+    index.index_entries(e.where("id % 3 = 0").select(F.col("id").alias("entry_id")), e, m)
+    index.index_entries(e.where("id % 3 = 1").select(F.col("id").alias("entry_id")), e, m)
+    index.merge()
+    return index.search(QUERY, 20).withColumn("score", F.round("score", 6))
+
+
+PHRASE = """, ls AS (SELECT entry_id, list(stem ORDER BY place) AS s FROM tok GROUP BY 1
+), tc AS (SELECT entry_id, len(list_filter(range(1, len(s)), lambda i: s[i] = 'of' AND s[i + 1] = 'the')) AS t0, len(list_filter(s, lambda x: x = 'tion')) AS t1 FROM ls
+), dc AS (SELECT entry_id, source_profile, len(w) AS dl, coalesce(t0, 0) AS t0, coalesce(t1, 0) AS t1 FROM sp LEFT JOIN tc USING (entry_id)
+), """
+
+
+@query(TOKENS + PHRASE + _bm25_tail(["of the", "tion"], 20, None) + BM25)
+def keyword_phrase(spark, base):
+    """A term with an underscore asks for its words next to each other."""
+    return _index(spark, base).search("Of_THE, tiön", 20).withColumn("score", F.round("score", 6))
+
+
+#: Queries: the first eight words of each benchmark passage; relevant are the texts that hold the whole passage.
+ASKED = TOKENS + r""", bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(regexp_replace(array_to_string(list_filter(regexp_split_to_array(text, '[\x09-\x0D ]+'), lambda x: x <> '')[1:8], ' '), '[^\p{L}\p{N}_\s]', '', 'g'))), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS w FROM benchmark
+), qw AS (SELECT query_id, unnest(w) AS word FROM bq), qv AS MATERIALIZED (SELECT DISTINCT word FROM qw
+), """ + stems_sql("qv", "qs") + """, qt AS (SELECT DISTINCT query_id, stem FROM qw JOIN qs USING (word)
+), tf AS (SELECT entry_id, stem, count(*) AS tf FROM tok WHERE stem IN (SELECT stem FROM qt) GROUP BY 1, 2
+), dl AS (SELECT entry_id, len(w) AS dl FROM sp), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT stem, count(*) AS df FROM tf GROUP BY 1
+), sc AS (SELECT query_id, entry_id, sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+  FROM qt JOIN tf USING (stem) JOIN df USING (stem) JOIN dl USING (entry_id), st GROUP BY 1, 2
+), res AS (SELECT query_id, entry_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, entry_id) AS rank FROM sc QUALIFY rank <= 10)"""
+
+
+def _passages(spark, base):
+    return tables.table(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.filter(F.split("text", r"[\x09-\x0D ]+"), lambda x: x != ""), 1, 8), " ").alias("query"))
+
+
+@query(ASKED + " SELECT query_id, entry_id, score, rank FROM res")
+def keyword_search_many(spark, base):
+    return _index(spark, base).search_many(_passages(spark, base)).withColumn("score", F.round("score", 6))
+
+
+@query(ASKED + """, rel AS (SELECT item_id AS query_id, id AS entry_id FROM benchmark b JOIN gov ON contains(content, b.text)
+), m AS (SELECT r.query_id, count(*) AS n, count(rank) FILTER (WHERE rank <= 5) / count(*) AS r5, count(rank) / count(*) AS r10, coalesce(1 / min(rank), 0) AS m10, coalesce(1 / min(rank) FILTER (WHERE rank <= 5), 0) AS m5 FROM rel r LEFT JOIN res USING (query_id, entry_id) GROUP BY 1)
+SELECT count(*) AS queries, CAST(sum(n) AS BIGINT) AS pairs, round(avg(r5), 9) AS recall_5, round(avg(r10), 9) AS recall_10, round(avg(m5), 9) AS mrr_5, round(avg(m10), 9) AS mrr_10 FROM m""")
+def retrieval_evaluation(spark, base):
+    """Keyword search of all passages in one plan, against every governed text that holds one."""
+    passages = tables.table(spark, base, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return ev.evaluate(_index(spark, base).search_many(_passages(spark, base)), ev.relevant_by_passage(passages, _e(spark, base), _m(spark, base))).select(
+        "queries", "pairs", *[F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "mrr_5", "mrr_10")]
+    )
 
 
 @query(E + " SELECT count(*) AS governed, count(*) FILTER (WHERE length(trim(content)) > 0) AS indexed, count(*) FILTER (WHERE coalesce(length(trim(content)), 0) = 0) AS skipped FROM gov")
@@ -316,7 +416,7 @@ CHAN = bm25_sql(TERMS, 40) + SEM[len(E):] + """, sm AS (SELECT entry_id, row_num
 def _channels(spark, base, n=40):
     e, m = _e(spark, base), _m(spark, base)
     return {
-        "keyword": rt.bm25(e, m, QUERY, n), "semantic": rt.semantic(_e(spark, base, True), _vector(spark, base), n), "temporal": rt.event_window(e, m, "2024-01-10", "2024-01-12", limit=n),
+        "keyword": _index(spark, base).search(QUERY, n), "semantic": rt.semantic(_e(spark, base, True), _vector(spark, base), n), "temporal": rt.event_window(e, m, "2024-01-10", "2024-01-12", limit=n),
     }
 
 
@@ -336,7 +436,7 @@ def rrf_fusion(spark, base):
 
 @query(CHAN + " SELECT entry_id, fused_rank, round(fused_score, 9) AS fused_score, keyword_rank, semantic_rank, temporal_rank, temporal_rank IS NOT NULL AS temporal_relevant FROM fr WHERE fused_rank <= 10")
 def hybrid_rrf(spark, base):
-    out = rt.hybrid(_e(spark, base, True), _m(spark, base), QUERY, _vector(spark, base), 10, 60, window=("2024-01-10", "2024-01-12"))
+    out = rt.hybrid(_e(spark, base, True), _m(spark, base), QUERY, _vector(spark, base), 10, 60, window=("2024-01-10", "2024-01-12"), index=_index(spark, base))
     return out.select("entry_id", "fused_rank", F.round("fused_score", 9).alias("fused_score"), "keyword_rank", "semantic_rank", "temporal_rank", "temporal_relevant")
 
 
@@ -498,13 +598,47 @@ def canonical_metadata(spark, base):
     return tables.table(spark, base, "events").select(F.col("event_id").alias("id"), tx.canonical_json(kept).alias("metadata"))
 
 
-@query()
+WHOLE = bm25_sql(TERMS, 20) + SEM[len(E):] + f""", sm AS (SELECT entry_id, row_number() OVER (ORDER BY score DESC, entry_id) AS rank FROM sc QUALIFY rank <= 20
+), v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS x FROM gov WHERE embedding IS NOT NULL
+), sd AS (SELECT entry_id, row_number() OVER (ORDER BY min((o, rank)), entry_id) AS seed_pos FROM (SELECT 0 AS o, entry_id, rank FROM kw UNION ALL SELECT 1, entry_id, rank FROM sm) GROUP BY entry_id QUALIFY seed_pos <= 5
+), nb AS (SELECT l.id AS source_id, r.id AS target_id, list_cosine_similarity(l.x, r.x) AS similarity, row_number() OVER (PARTITION BY l.id ORDER BY list_cosine_similarity(l.x, r.x) DESC, r.id) AS place
+  FROM v l JOIN v r ON l.id <> r.id WHERE l.id IN (SELECT entry_id FROM sd) AND list_cosine_similarity(l.x, r.x) >= {EDGE} QUALIFY place <= 4
+), rc AS (SELECT target_id AS entry_id, arg_min(similarity, seed_pos) AS score FROM nb JOIN sd ON source_id = sd.entry_id GROUP BY 1
+), gh AS (SELECT entry_id, row_number() OVER (ORDER BY score DESC, entry_id) AS rank FROM rc
+), tw AS (SELECT id AS entry_id, row_number() OVER (ORDER BY validated_at, id) AS rank FROM gov WHERE prec = 'day' AND validated_at BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' QUALIFY rank <= 20
+), en AS (SELECT id AS entry_id, row_number() OVER (ORDER BY id) AS rank FROM gov WHERE ends_with(source_profile, ':src10') QUALIFY rank <= 20
+), ch AS (SELECT 'keyword' AS channel, 0 AS o, entry_id, rank FROM kw UNION ALL SELECT 'semantic', 1, entry_id, rank FROM sm UNION ALL SELECT 'graph', 2, entry_id, rank FROM gh UNION ALL SELECT 'entity', 3, entry_id, rank FROM en UNION ALL SELECT 'temporal', 4, entry_id, rank FROM tw
+), fp AS (SELECT entry_id, min((o, rank)) AS p FROM ch GROUP BY 1
+), un AS (SELECT entry_id FROM fp ORDER BY p, entry_id LIMIT 60
+), rr AS (SELECT channel, entry_id, row_number() OVER (PARTITION BY channel ORDER BY rank, entry_id) AS rank FROM ch WHERE entry_id IN (SELECT entry_id FROM un)
+), fu AS (SELECT entry_id, {", ".join(f"max(rank) FILTER (WHERE channel = '{c}') AS {c}_rank" for c in ("keyword", "semantic", "temporal", "entity", "graph"))} FROM rr GROUP BY 1
+), fs AS (SELECT *, {" + ".join(f"coalesce(1.0::DOUBLE / (60 + {c}_rank), 0)" for c in ("keyword", "semantic", "temporal", "entity", "graph"))} AS fused_score FROM fu
+), fr AS (SELECT *, row_number() OVER (ORDER BY fused_score DESC, entry_id) AS fused_rank FROM fs
+), le AS (SELECT fr.*, ({" + ".join(f"CAST(list_contains(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), '{t}') AS INT)" for t in TERMS)}) / {len(TERMS)}.0::DOUBLE AS reranker_score FROM fr JOIN gov ON id = entry_id
+), nd AS (SELECT count(*) AS n FROM documents
+), pv AS (SELECT event_id % n + 1 AS entry_id, count(DISTINCT user_id) AS places, count(*) AS evidence_count, 0.5 * count(*) FILTER (WHERE event_id % 3 <> 0) / count(*) + 0.5 * avg(event_id % 10 / 10.0::DOUBLE) AS quality FROM events, nd GROUP BY 1
+)
+SELECT entry_id, row_number() OVER (ORDER BY reranker_score DESC, entry_id) AS rank, fused_rank, round(reranker_score, 9) AS reranker_score,
+  list_filter([{", ".join(f"CASE WHEN {c}_rank IS NOT NULL THEN '{c}' END" for c in ("keyword", "semantic", "temporal", "entity", "graph"))}], lambda x: x IS NOT NULL) AS channels,
+  coalesce(places, 0) AS places, evidence_count, round(quality, 9) AS quality, CASE WHEN temporal_rank IS NULL THEN 'unknown' ELSE 'event_date' END AS date_source
+FROM le LEFT JOIN pv USING (entry_id) QUALIFY rank <= 10"""
+
+
+@query(WHOLE)
 def hybrid_search(spark, base):
-    """The whole answer: routed, fused, reranked by the query's words, with provenance, evidence and explanation."""
-    e = _e(spark, base)
+    """The whole answer over all five channels: fused, reranked by the query's words, with provenance, evidence and explanation."""
+    e = _e(spark, base, True)
     n = tables.table(spark, base, "documents").count()
-    ev = tables.table(spark, base, "events")
-    evidence = ev.select((F.col("event_id") % n + 1).alias("entry_id"), F.when(F.col("event_id") % 3 == 0, "inferred").otherwise("observed").alias("evidence_kind"), (F.col("event_id") % 10 / 10.0).cast("double").alias("confidence"))
-    seen = ev.select((F.col("event_id") % n + 1).alias("entry_id"), F.lit("agent0").alias("source_profile"), F.col("user_id").cast("string").alias("origin_memory_id"), F.lit("2024-01-01").alias("created_at"))
-    out = rt.search(e, _m(spark, base), QUERY, limit=10, rerank_with=rt.lexical_score(QUERY), provenance=seen, evidence=evidence, window=("2024-01-10", "2024-01-12"))
-    return out.select("entry_id", "rank", "fused_rank", "reranker_score", "channels", "main_channel", F.size("provenance").alias("places"), "evidence_count", "quality", "date_source")
+    events = tables.table(spark, base, "events")
+    evidence = events.select((F.col("event_id") % n + 1).alias("entry_id"), F.when(F.col("event_id") % 3 == 0, "inferred").otherwise("observed").alias("evidence_kind"), (F.col("event_id") % 10 / 10.0).cast("double").alias("confidence"))
+    seen = events.select((F.col("event_id") % n + 1).alias("entry_id"), F.lit("agent0").alias("source_profile"), F.col("user_id").cast("string").alias("origin_memory_id"), F.lit("2024-01-01").alias("created_at"))
+    source = F.regexp_extract("source_profile", "[^:]*$", 0)
+    mentions = e.select(F.col("id").alias("mention_id"), F.col("id").alias("collective_entry_id"), "source_profile", F.col("origin_memory_id").alias("source_memory_id"), source.alias("named"))
+    entities = mentions.select("named").distinct().select(F.col("named").alias("entity_id"), F.when(F.col("named") == "src10", f" {QUERY.upper()}").otherwise(F.col("named")).alias("canonical_name"), F.lit("active").alias("status"))
+    settled = mentions.select("mention_id", F.col("named").alias("proposed_entity_id"), F.lit("same_entity").alias("decision"))
+    entity = rt.entity_channel(e, entities, settled, mentions, QUERY, 20)
+    temporal = {"window": ("2024-01-10", "2024-01-12")}
+    out = rt.search(
+        e, _m(spark, base), QUERY, _vector(spark, base), 10, rt.lexical_score(QUERY), seen, evidence, index=_index(spark, base), edges=_edges(spark, base), entity=entity, candidate_limit=60, temporal_limit=20, **temporal
+    )
+    return out.select("entry_id", "rank", "fused_rank", F.round("reranker_score", 9).alias("reranker_score"), "channels", F.size("provenance").cast("long").alias("places"), "evidence_count", F.round("quality", 9).alias("quality"), "date_source")

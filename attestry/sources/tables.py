@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.sources.store import Conflict, shared_folder
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
@@ -53,3 +57,26 @@ def evidence_texts(spark: SparkSession, base: str) -> DataFrame:
         (F.col("event_id") + 1).alias("entry_id"),
         F.concat(F.lit("Case "), F.col("event_id").cast("string"), F.lit(" changed from open to "), "event_type", F.lit(" on "), F.date_format("ts", "yyyy-MM-dd"), F.lit(".")).alias("text"),
     )
+
+
+def state_of(spark: SparkSession, base: str, *names: str) -> str:
+    """A digest of the files of tables (names, lengths, times), which changes when they do."""
+    seen = []
+    for name in names:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        seen += [f"{s.getPath().toString()} {s.getLen()} {s.getModificationTime()}" for s in fs.listStatus(at)]
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
+def keyword_index(spark: SparkSession, base: str):
+    """The keyword index of the tables as they are, written to the shared folder by whoever asks first."""
+    from attestry.operators.keyword_index import KeywordIndex
+
+    index = KeywordIndex(spark, f"{shared_folder(spark)}/attestry-keyword-{KeywordIndex.FORMAT}-{state_of(spark, base, 'documents', 'labels')}")
+    if not index.store.versions():
+        try:
+            index.rebuild(entries(spark, base), memories(spark, base))
+        except Conflict:
+            pass  # another session was faster
+    return index

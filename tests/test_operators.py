@@ -341,8 +341,12 @@ def test_search_routes_reranks_and_explains(spark):
     evidence = spark.createDataFrame([(1, "observed", 0.5), (1, "inferred", None)], "entry_id long, evidence_kind string, confidence double")
     seen = spark.createDataFrame([(1, "a:p", "1", "2024"), (1, "a:p", "1", "2024"), (2, "a:p", "9", "2024")], "entry_id long, source_profile string, origin_memory_id string, created_at string")
     out = {r["entry_id"]: r for r in rt.search(entries, memories, "gamma", limit=5, rerank_with=rt.lexical_score("gamma"), provenance=seen, evidence=evidence, window=("2024-01-01", "2024-01-02")).collect()}
-    assert sorted(out) == [1, 3, 5, 7] and sorted(r["rank"] for r in out.values()) == [1, 2, 3, 4]
-    assert all(r["channels"] == ["keyword"] and r["date_source"] == "unknown" for r in out.values())  # routed: the window isn't asked for
+    assert sorted(out) == [1, 2, 3, 5, 7] and sorted(r["rank"] for r in out.values()) == [1, 2, 3, 4, 5]
+    assert out[2]["channels"] == ["temporal"] and out[3]["channels"] == ["keyword"]  # a channel that is asked for takes part whatever the route
+    assert {i for i, r in out.items() if r["date_source"] == "event_date"} == {1, 2} and rt.search(entries, memories, " \n").count() == 0
     assert len(out[1]["provenance"]) == 1 and out[1]["evidence_count"] == 2 and out[3]["evidence_count"] is None and out[3]["provenance"] == []
+    assert rt.admission("semantic") == ("keyword", "semantic", "graph", "entity", "temporal") and rt.admission("temporal") == ("keyword", "semantic", "temporal", "graph", "entity")
+    assert rt.admission("relationship") == ("keyword", "semantic", "entity", "graph", "temporal") and rt.admission("hybrid") == ("keyword", "semantic", "temporal", "entity", "graph")
+    assert tx.latin_only("plain caf\u00e9 1") and not tx.latin_only("mixed \u4e2d") and tx.intent_of("Who is  it") == "entity" and tx.intent_of("when, exactly") == "hybrid"
     asked = rt.search(entries, memories, "gamma", limit=5, route=False, window=("2024-01-01", "2024-01-02")).collect()
     assert {r["entry_id"] for r in asked if "temporal" in r["channels"]} <= {1, 2} and any(r["date_source"] == "event_date" for r in asked)
