@@ -25,8 +25,10 @@ _PLACE = _RANDOM.integers(0, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.
 _TURN = _RANDOM.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Features of a code are pairs of words: an edit touches two of them but five shingles, so codes of near copies differ in fewer bits.
 FEATURE_WORDS = 2
-#: Differing bits allowed in the two words of a code that travel with a block: first word, both.
-FIRST, BOTH = 14, 24
+#: Words of a code and bits of a block, the same for any number of texts: every block of a code is a table, and two texts meet where a whole block agrees.
+WORDS, WIDTH = 8, 16
+#: Differing bits allowed in the two words of a code that travel with a block (first word, both) and in a whole code.
+FIRST, BOTH, ALL = 14, 24, 80
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -78,15 +80,6 @@ def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return union > 0 and 100 * both >= percent * union
 
 
-def layout(texts: int) -> tuple[int, int]:
-    """Words of a code and bits of a block for a number of texts.
-
-    Every block of a code is a table; two texts meet where a whole block agrees. Wider
-    blocks keep tables selective in large corpora, and longer codes give them more tables.
-    """
-    return (8, 16) if texts < 1 << 22 else (16, 21) if texts < 1 << 28 else (32, 32)
-
-
 def code_column(text: Column, count: int) -> Column:
     """Digest of the word sequence (two longs) and the wide code of a text."""
     kind = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("code", pa.list_(pa.int64()))])
@@ -207,70 +200,147 @@ def verified(pairs: DataFrame, marks: DataFrame, percent: int, heavy: int = 2000
     return out.select("a", "b", verdict)
 
 
-def link_texts(docs: DataFrame, classes: DataFrame, text_col: str, words: int, width: int, n: int = 5, percent: int = 80, nearest: int = 1, crowded: int = 1 << 13) -> DataFrame:
+def settle(frames: Iterator[pd.DataFrame], masks: list[int], percent: int) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between the groups of one bucket after another, compared exactly where they meet.
+
+    frames hold whole buckets (tab, part, cell) one after another, with codes and shingle
+    sets. A pair within the radius in the first word and the whole code is compared once, in
+    the first of the live tables in which it agrees, and only while its groups are apart.
+    """
+    held: list[pd.DataFrame] = []
+
+    def flush(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        c, group, live, wide, home, cell = (own[x].to_numpy() for x in ("c", "grp", "live", "wide", "home", "cell"))
+        if len(np.unique(group)) < 2:
+            return
+        table, mask = int(own["tab"].iloc[0]), masks[int(own["block"].iloc[0])]
+        code = np.stack(own["code"].to_numpy()).view(np.uint64)
+        marks = [np.asarray(m) for m in own["marks"]]
+        sizes = np.array([len(m) for m in marks])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        moved, fixed = masked_first(code[:, table // (64 // WIDTH)], mask)
+        asked = np.uint64(1) << np.arange(code.shape[1] * (64 // WIDTH), dtype=np.uint64)
+        links = []
+        for i, j in GrayIndex(moved).pairs(FIRST, fixed, max(8, min(2048, (1 << 21) // len(own)))):
+            root = np.array([find(x) for x in group.tolist()]) if parent else group
+            keep = (root[i] != root[j]) & (c[i] != c[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+            keep &= ~(wide[i] & wide[j]) | (np.where(c[i] < c[j], home[i], home[j]) == cell[i])
+            i, j = i[keep], j[keep]
+            apart = code[i] ^ code[j]
+            bits = np.bitwise_count(apart).sum(1, dtype=np.int64)
+            agrees = np.where(apart.view(np.uint16) == 0, asked[None], np.uint64(0)) if len(i) else np.zeros((0, 1), np.uint64)
+            met = np.bitwise_or.reduce(agrees, axis=1) & live[i].view(np.uint64)
+            keep = (bits <= ALL) & ((met & (~met + np.uint64(1))) == np.uint64(1 << table))
+            order = np.argsort(bits[keep], kind="stable")
+            for a, b in zip(i[keep][order].tolist(), j[keep][order].tolist()):
+                one, two = find(int(group[a])), find(int(group[b]))
+                if one != two and similar(marks[a], marks[b], percent):
+                    parent[max(one, two)] = min(one, two)
+                    links.append((c[a], c[b]))
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+    for frame in frames:
+        if not len(frame):
+            continue
+        edge = (frame[["tab", "part", "cell"]] != frame[["tab", "part", "cell"]].shift()).any(axis=1).to_numpy()
+        edge[0] = bool(held) and (frame[["tab", "part", "cell"]].iloc[0] != held[-1][["tab", "part", "cell"]].iloc[-1]).any()
+        cuts = [0, *np.flatnonzero(edge).tolist(), len(frame)]
+        for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if k and held:
+                yield from flush(pd.concat(held, ignore_index=True))
+                held = []
+            if high > low:
+                held.append(frame.iloc[low:high])
+    if held:
+        yield from flush(pd.concat(held, ignore_index=True))
+
+
+def link_texts(docs: DataFrame, classes: DataFrame, text_col: str, n: int = 5, percent: int = 80, nearest: int = 1, crowded: int = 1 << 13) -> DataFrame:
     """Groups (c, grp) of classes(c, r1, r2, hi, lo, code) that the found pairs of similar texts connect; only of classes with a link.
 
-    docs carry the row keys __r1, __r2 of the classes' first rows. In rounds, buckets give each
-    code's nearest partners of other groups. First one pair a text is compared exactly, then
-    all pairs that still part groups. Buckets in which a code had more partners come again,
-    with more of them, until none has; by then most of a large group is linked and gives no
-    pairs. A bucket of over crowded codes is cut into cells of that size; from the second
-    round on, its codes outside its largest group go to all its cells.
+    docs carry the row keys __r1, __r2 of the classes' first rows. First, buckets give each
+    code's nearest partners, and these pairs are compared: one pair a text, then all that
+    still part groups. Then the buckets in which a code had more partners come once more,
+    with the shingle sets, and compare in place what still parts their groups: no pair
+    leaves them but links, so what is written and shuffled grows with the texts, whatever
+    their families are. A bucket of over crowded codes is cut into cells of that size; in
+    the second step its codes outside its largest group go to all its cells.
     """
-    scratch, spark = Scratch(), docs.sparkSession
-    masks = [((1 << width) - 1) << (width * k) for k in range(64 // width)]
+    scratch, spark, most = Scratch(), docs.sparkSession, 500_000
+    masks = [((1 << WIDTH) - 1) << (WIDTH * k) for k in range(64 // WIDTH)]
     plain = classes.select("c", F.col("c").alias("grp"), "code")
-    crowd = scratch(_blocks(plain, words, width).groupBy("tab", "part").agg(F.count("*").alias("size")).where(F.col("size") > crowded))
+    spread = _blocks(plain, WORDS, WIDTH)
+    crowd = scratch(spread.groupBy("tab", "part").agg(F.count("*").alias("size")).where(F.col("size") > crowded))
     crowds = crowd.count()
+    cells = F.ceil(F.coalesce("size", F.lit(1)) / crowded).cast("int")
+    sent = spread
+    if crowds:
+        sent = sent.join(checked_broadcast(crowd, crowds, most), ["tab", "part"], "left").withColumn("cell", F.pmod(F.xxhash64("c", "tab"), cells).cast("int"))
+    else:
+        sent = sent.withColumn("cell", F.lit(0))
+    sent = sent.select("tab", "block", "part", "first", "second", "c", "grp", "cell").repartition("tab", "part", "cell").sortWithinPartitions("block", "tab", "part", "cell")
+    found = scratch(sent.mapInPandas(partial(search_pairs, masks=masks, nearest=nearest), "a long, b long, bits long, tab int, part long"))
+    edges = scratch(found.where("tab < 0").groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    marks = scratch(spark.createDataFrame([], "c long, marks array<bigint>"))
     links = refuted = scratch(spark.createDataFrame([], "a long, b long"))
     groups = scratch(spark.createDataFrame([], "c long, grp long"))
-    marks = scratch(spark.createDataFrame([], "c long, marks array<bigint>"))
-    live, rounds = None, 0
-    while True:
-        grouped = plain if not rounds else plain.drop("grp").join(groups, "c", "left").select("c", F.coalesce("grp", "c").alias("grp"), "code")
-        sent = _blocks(grouped, words, width)
-        if rounds:
-            sent = sent.join(checked_broadcast(live, live.count(), 500_000), ["tab", "part"], "left_semi")
+
+    def with_marks(wanted: DataFrame) -> DataFrame:
+        """marks and those of wanted(c)."""
+        need = scratch(wanted.distinct().join(marks, "c", "left_anti").join(classes.select("c", "r1", "r2"), "c"))
+        side = checked_broadcast(need, need.count(), most)
+        texts = docs.join(side, (F.col("__r1") == F.col("r1")) & (F.col("__r2") == F.col("r2"))).select("c", shingle_column(F.col(text_col), n).alias("marks"))
+        return marks.union(scratch(texts.dropDuplicates(["c"])))
+
+    def regrouped() -> DataFrame:
+        known = connected_components(links)
+        scratch.tables.append(known)
+        return known.select(F.col("node").alias("c"), F.col("component").alias("grp"))
+
+    for first in (True, False):
+        one, two = (groups.select(F.col("c").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
+        asked = edges.join(one, "a", "left").join(two, "b", "left").where("coalesce(ga, a) <> coalesce(gb, b)").join(refuted, ["a", "b"], "left_anti")
+        if first:  # the nearest partner of each text
+            ends = asked.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "bits")
+            asked = ends.groupBy("x").agg(F.min("bits").alias("bits"), F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+        asked = scratch(asked.select("a", "b"))
+        if asked.isEmpty():
+            break
+        marks = with_marks(asked.select(F.explode(F.array("a", "b")).alias("c")))
+        judged = scratch(verified(asked, marks, percent))
+        links, refuted = links.union(judged.where("near").select("a", "b")), refuted.union(judged.where("not near").select("a", "b"))
+        groups = regrouped()
+    live = scratch(found.where("tab >= 0").select("tab", "part").distinct().union(crowd.select("tab", "part")).distinct())
+    if not live.isEmpty():
+        grouped = plain.drop("grp").join(groups, "c", "left").select("c", F.coalesce("grp", "c").alias("grp"), "code")
+        open_ = _blocks(grouped, WORDS, WIDTH).drop("first", "second").join(checked_broadcast(live, live.count(), most), ["tab", "part"], "left_semi")
+        apart = open_.groupBy("tab", "part").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tab", "part")
+        open_ = scratch(open_.join(apart, ["tab", "part"], "left_semi"))
         if crowds:
-            side = crowd
-            if rounds:
-                counts = sent.join(checked_broadcast(crowd, crowds, 500_000), ["tab", "part"], "left_semi").groupBy("tab", "part", "grp").agg(F.count("*").alias("k"))
-                side = crowd.join(counts.groupBy("tab", "part").agg(F.max_by("grp", F.struct("k", "grp")).alias("main")), ["tab", "part"])
-            cells = F.ceil(F.coalesce("size", F.lit(1)) / crowded).cast("int")
-            home = F.array(F.pmod(F.xxhash64("c", "tab"), cells).cast("int"))
-            sent = sent.join(checked_broadcast(side, crowds, 500_000), ["tab", "part"], "left")
-            cell = F.explode(F.when((F.col("grp") != F.col("main")) & (cells > 1), F.sequence(F.lit(0), cells - 1)).otherwise(home) if rounds else home)
+            counts = open_.join(checked_broadcast(crowd, crowds, most), ["tab", "part"], "left_semi").groupBy("tab", "part", "grp").agg(F.count("*").alias("k"))
+            side = crowd.join(counts.groupBy("tab", "part").agg(F.max_by("grp", F.struct("k", "grp")).alias("main")), ["tab", "part"])
+            dealt = open_.join(checked_broadcast(side, crowds, most), ["tab", "part"], "left")
+            dealt = dealt.withColumn("home", F.pmod(F.xxhash64("c", "tab"), cells).cast("int")).withColumn("wide", F.coalesce(F.col("grp") != F.col("main"), F.lit(False)) & (cells > 1))
+            dealt = dealt.withColumn("cell", F.explode(F.when(F.col("wide"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array("home"))))
         else:
-            cell = F.lit(0)
-        sent = sent.select("tab", "block", "part", "first", "second", "c", "grp", cell.alias("cell"))
-        sent = sent.repartition("tab", "part", "cell").sortWithinPartitions("block", "tab", "part", "cell")
-        found = scratch(sent.mapInPandas(partial(search_pairs, masks=masks, nearest=nearest), "a long, b long, bits long, tab int, part long"))
-        edges = scratch(found.where("tab < 0").groupBy("a", "b").agg(F.min("bits").alias("bits")))
-        for first in (True, False):
-            one, two = (groups.select(F.col("c").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
-            asked = edges.join(one, "a", "left").join(two, "b", "left").where("coalesce(ga, a) <> coalesce(gb, b)").join(refuted, ["a", "b"], "left_anti")
-            if first:  # the nearest partner of each text
-                ends = asked.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "bits")
-                asked = ends.groupBy("x").agg(F.min("bits").alias("bits"), F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-            asked = scratch(asked.select("a", "b"))
-            if asked.isEmpty():
-                break
-            need = scratch(asked.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(marks, "c", "left_anti").join(classes.select("c", "r1", "r2", "hi", "lo"), "c"))
-            side = checked_broadcast(need, need.count(), 500_000)
-            texts = docs.join(side, (F.col("__r1") == F.col("r1")) & (F.col("__r2") == F.col("r2"))).dropDuplicates(["c"])
-            marks = marks.union(scratch(texts.select("c", shingle_column(F.col(text_col), n).alias("marks"))))
-            judged = scratch(verified(asked, marks, percent))
-            links, refuted = links.union(judged.where("near").select("a", "b")), refuted.union(judged.where("not near").select("a", "b"))
-            groups = connected_components(links)
-            scratch.tables.append(groups)
-            groups = groups.select(F.col("node").alias("c"), F.col("component").alias("grp"))
-        more = found.where("tab >= 0").select("tab", "part").distinct()
-        if not crowds and more.isEmpty() or crowds and rounds and more.isEmpty():
-            out = materialize(groups)
-            scratch.clear()
-            return out
-        live = scratch(more.union(crowd.select("tab", "part")).distinct())
-        rounds, nearest = rounds + 1, nearest * 16
+            dealt = open_.withColumns({"home": F.lit(0), "wide": F.lit(False), "cell": F.lit(0)})
+        marks = with_marks(open_.select("c"))
+        known = open_.groupBy("c").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tab"))).alias("live"))
+        known = known.join(classes.select("c", "code"), "c").join(marks, "c")
+        whole = dealt.select("tab", "block", "part", "cell", "home", "wide", "c", "grp").join(known, "c").repartition("tab", "part", "cell").sortWithinPartitions("tab", "part", "cell")
+        settled = scratch(whole.mapInPandas(partial(settle, masks=masks, percent=percent), "a long, b long"))
+        links = links.union(settled)
+        groups = regrouped()
+    out = materialize(groups)
+    scratch.clear()
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -287,14 +357,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch, own = Scratch(), Positional(docs)
     keys = [row_hash(own.frame, k).alias(f"__r{k}") for k in (1, 2)]
     keyed = own.frame.select(F.col(own(id_col)).alias("__id"), F.col(own(text_col)).alias("__text"), *keys)
-    words, width = layout(docs.count())
     row = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__r1").alias("r1"), F.col("__r2").alias("r2"))
-    found = scratch(keyed.select(row.alias("row"), code_column(F.col("__text"), words).alias("p")).select("row", "p.*"))
+    found = scratch(keyed.select(row.alias("row"), code_column(F.col("__text"), WORDS).alias("p")).select("row", "p.*"))
     classes = scratch(
         found.groupBy("hi", "lo").agg(F.min("row").alias("lead"), F.any_value("code").alias("code"))
         .select(F.monotonically_increasing_id().alias("c"), "lead", "lead.r1", "lead.r2", "hi", "lo", "code")
     )
-    groups = link_texts(keyed.select("__text", "__r1", "__r2"), classes, "__text", words, width, n, percent)
+    groups = link_texts(keyed.select("__text", "__r1", "__r2"), classes, "__text", n, percent)
     # a class goes when its group has a smaller first row
     led = groups.join(classes.select("c", "lead"), "c")
     first = led.groupBy("grp").agg(F.min("lead").alias("lead"))
