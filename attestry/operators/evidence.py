@@ -201,14 +201,15 @@ def synthesize(outcomes: DataFrame, totals: DataFrame, contradictions: DataFrame
 def candidate_errors(candidates: DataFrame) -> DataFrame:
     """Candidates with the rules that their id lists break.
 
-    Columns: supporting_evidence_ids, contradictory_evidence_ids, validated_evidence_ids and
-    current_evidence_ids. Support must not be missing, nothing current may contradict, and
-    support and contradiction together must be what was validated. Null lists count as empty.
+    Columns: supporting_evidence_ids, contradictory_evidence_ids, validated_evidence_ids,
+    current_evidence_ids and supplied_evidence_ids. All support must be supplied, nothing
+    current may contradict, and support and contradiction together must be what was
+    validated. Null lists count as empty, nulls in a list as absent.
     """
     none = F.array().cast("array<string>")
-    ids = {k: F.coalesce(F.transform(f"{k}_evidence_ids", lambda x: x.cast("string")), none) for k in ("supporting", "contradictory", "validated", "current")}
+    ids = {k: F.coalesce(F.filter(F.transform(f"{k}_evidence_ids", lambda x: x.cast("string")), lambda x: x.isNotNull()), none) for k in ("supporting", "contradictory", "validated", "current", "supplied")}
     both = F.array_sort(F.array_union(ids["supporting"], ids["contradictory"]))
     return candidates.withColumn("errors", listed(
-        missing_support=F.size(ids["supporting"]) == 0, contradictory_and_current=F.arrays_overlap(ids["contradictory"], ids["current"]),
-        not_what_was_validated=both != F.array_sort(F.array_distinct(ids["validated"])),
+        missing_support=(F.size(ids["supplied"]) == 0) | (F.size(F.array_except(ids["supporting"], ids["supplied"])) > 0),
+        contradictory_and_current=F.size(F.array_intersect(ids["contradictory"], ids["current"])) > 0, not_what_was_validated=both != F.array_sort(F.array_distinct(ids["validated"])),
     ))

@@ -168,42 +168,50 @@ def allowed_moves(moves: DataFrame, machine: str) -> DataFrame:
 def fold_commands(commands: DataFrame) -> DataFrame:
     """Outcome of a log of propose, validate, reject, revoke and promote commands(id, seq, command), id by id in order.
 
-    Each row gets accepted and the error that the guard raised. Guards look at the state
-    that accepted commands before left, so the log of one id is a fold; ids are independent.
+    Each row gets accepted and the error that the guard raised. Guards look at what accepted
+    commands before left. No fold is needed for that: a command of a kind is accepted once at
+    most, so the whole state of an id is the place of its first proposal, of the first
+    validation after it that no rejection or revocation precedes, of what revokes it and of
+    the first promotion in between. Each is a minimum, which tasks combine before anything is
+    shuffled, so one id's log may be any part of the table. Commands of one seq go by name;
+    of equal rows the first is judged, the others find its effect. A null command is
+    unknown; rows with a null seq come first.
     """
-    import pandas as pd
-
-    def fold(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values("seq", kind="stable")
-        known = validated = promoted = revoked = False
-        out = []
-        for command in log["command"]:
-            error = None
-            if command == "propose":
-                error = "already proposed" if known else None
-                known = True
-            elif not known:
-                error = "unknown entry"
-            elif command == "validate":
-                error = "revoked" if revoked else "promoted" if promoted else "already validated" if validated else None
-                validated = validated or error is None
-            elif command == "reject":
-                error = "already validated" if validated else "revoked" if revoked else None
-                revoked = revoked or error is None
-            elif command == "revoke":
-                error = "already revoked" if revoked else None
-                revoked = revoked or error is None
-            elif command == "promote":
-                error = "not validated" if not validated else "revoked" if revoked else "already promoted" if promoted else None
-                promoted = promoted or error is None
-            else:
-                error = "unknown command"
-            out.append(error)
-        log = log.assign(error=out)
-        log["accepted"] = log["error"].isna()
-        return log[["id", "seq", "command", "accepted", "error"]]
-
-    return commands.select("id", "seq", "command").groupBy("id").applyInPandas(fold, "id long, seq long, command string, accepted boolean, error string")
+    place = F.struct(F.coalesce("seq", F.lit(-(1 << 63))).alias("seq"), F.coalesce("command", F.lit("")).alias("command"))
+    rows = commands.groupBy("id", "seq", "command").agg(F.count("*").alias("times")).withColumn("at", place)
+    first = lambda name, when: F.min(F.when((F.col("command") == name) & when, F.col("at")))
+
+    def after(known: DataFrame, **firsts: Column) -> DataFrame:
+        """known(id, ...) with the first places of later commands."""
+        met = rows.join(known, F.col("id").eqNullSafe(F.col("key")))
+        kept = [F.any_value(c).alias(c) for c in known.columns if c != "key"]
+        return met.groupBy("key").agg(*kept, *[c.alias(k) for k, c in firsts.items()])
+
+    before = lambda a, b: a.isNotNull() & (b.isNull() | (a < b))
+    proposed = rows.groupBy(F.col("id").alias("key")).agg(first("propose", F.lit(True)).alias("proposed"))
+    later = F.col("at") > F.col("proposed")
+    known = after(proposed, v=first("validate", later), j=first("reject", later), k=first("revoke", later))
+    known = known.withColumn("revoked", F.least("k", F.when(before(F.col("j"), F.col("v")), F.col("j"))))
+    known = known.withColumn("validated", F.when(before(F.col("v"), F.col("revoked")), F.col("v"))).select("key", "proposed", "revoked", "validated")
+    within = (F.col("at") > F.col("validated")) & (F.col("revoked").isNull() | (F.col("at") < F.col("revoked")))
+    known = after(known, promoted=first("promote", within))
+
+    def judged(again: bool) -> Column:
+        past = lambda c: F.coalesce((F.col("at") >= F.col(c)) if again else (F.col("at") > F.col(c)), F.lit(False))
+        named = lambda c: F.col("command") == c
+        return (
+            F.when(named("propose"), F.when(past("proposed"), "already proposed")).when(~past("proposed"), "unknown entry")
+            .when(named("validate"), F.when(past("revoked"), "revoked").when(past("promoted"), "promoted").when(past("validated"), "already validated"))
+            .when(named("reject"), F.when(past("validated"), "already validated").when(past("revoked"), "revoked"))
+            .when(named("revoke"), F.when(past("revoked"), "already revoked"))
+            .when(named("promote"), F.when(~past("validated"), "not validated").when(past("revoked"), "revoked").when(past("promoted"), "already promoted"))
+            .otherwise("unknown command")
+        )
+
+    out = rows.join(known, F.col("id").eqNullSafe(F.col("key"))).withColumns({"once": judged(False), "again": judged(True)})
+    out = out.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    error = F.when(F.col("n") == 1, F.col("once")).otherwise(F.col("again"))
+    return out.select("id", "seq", "command", error.isNull().alias("accepted"), error.alias("error"))
 
 
 def proposal_metrics(proposals: DataFrame) -> DataFrame:

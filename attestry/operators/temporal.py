@@ -63,7 +63,7 @@ def _sides(left: str, right: str) -> tuple[Column, Column, Column, Column]:
 
 
 def interval_relation(left: str = "l.", right: str = "r.") -> Column:
-    """Relation of two exact intervals; branches count in this order."""
+    """Relation of two exact intervals; branches count in this order (fixed values)."""
     a, b, c, d = _sides(left, right)
     return (
         F.when(b < c, "before").when((b > d) & (a > c), "after").when(b == c, "meets").when(a == d, "after").when((a == c) & (b == d), "at")
@@ -100,19 +100,52 @@ def pair_relations(rows: DataFrame, keys: list[str], exact: bool = True) -> Data
     return made if exact else made.withColumn("certainty", certainty(F.col("relation")))
 
 
+def micros(time: Column) -> Column:
+    """Microseconds of a time without zone since 1970, whatever the session's zone."""
+    day = F.unix_date(F.to_date(time)).cast("long") * 86_400_000_000
+    return day + (F.hour(time) * 3600 + F.minute(time) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), time) * 1_000_000).cast("long")
+
+
+def overlapping(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs (l, r) of rows(evidence_id, start, end, ...) of equal keys whose intervals share a point, as structs, l with the smaller id.
+
+    Time is cut into bins, for intervals of about one length (a power of two) into bins of
+    that length, so an interval lies in two of its own at most. Each interval is looked for
+    among those of its own length and longer ones, in their bins. A pair that shares several
+    bins is told in the one that holds the later start. So one subject's intervals meet in as
+    many tasks as they fill bins, and only neighbours meet.
+    """
+    own = rows.withColumn("__s", micros(F.col("start"))).withColumn("__e", micros(F.col("end")))
+    own = own.withColumn("__level", F.ceil(F.log2((F.col("__e") - F.col("__s") + 1).cast("double"))).cast("int")).where("__e >= __s")
+    levels = sorted(r[0] for r in own.select("__level").distinct().collect())  # at most 64 numbers
+    row = F.struct(*[c for c in rows.columns], "__s", "__e")
+
+    def bins(level: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        return F.sequence(F.floor(F.col("__s") / width), F.floor(F.col("__e") / width))
+
+    host = own.select(*keys, F.col("__level").alias("__at"), F.explode(bins(F.col("__level"))).alias("__bin"), row.alias("h"))
+    known = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
+    guest = own.withColumn("__at", F.explode(F.filter(known, lambda x: x >= F.col("__level"))))
+    guest = guest.select(*keys, "__at", F.col("__level").alias("__own"), F.explode(bins(F.col("__at"))).alias("__bin"), row.alias("g"))
+    met = guest.join(host, [*keys, "__at", "__bin"])
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__at"))
+    met = met.where(
+        (F.col("g.__s") <= F.col("h.__e")) & (F.col("h.__s") <= F.col("g.__e")) & (F.floor(F.greatest("g.__s", "h.__s") / width) == F.col("__bin"))
+        & F.when(F.col("__own") == F.col("__at"), F.col("g.evidence_id") < F.col("h.evidence_id")).otherwise(F.col("g.evidence_id") != F.col("h.evidence_id"))
+    )
+    first = F.col("g.evidence_id") < F.col("h.evidence_id")
+    return met.select(F.when(first, F.col("g")).otherwise(F.col("h")).alias("l"), F.when(first, F.col("h")).otherwise(F.col("g")).alias("r"))
+
+
 def contradictions(rows: DataFrame) -> DataFrame:
     """Pairs of one subject whose different states hold at the same time for certain.
 
     Only containment and equality count: a partial overlap is indeterminate and two
-    intervals that touch don't overlap. The subject is the equi key and the bounds are a
-    residual range, so no pair outside an overlap is built.
+    intervals that touch don't overlap. Pairs come from overlapping(), so a subject with very
+    many assertions is no single task and none of its pairs outside an overlap is built.
     """
-    l, r = rows.alias("l"), rows.alias("r")
-    meet = (
-        (F.col("l.subject_type") == F.col("r.subject_type")) & (F.col("l.subject_id") == F.col("r.subject_id")) & (F.col("l.evidence_id") < F.col("r.evidence_id"))
-        & (F.col("l.state") != F.col("r.state")) & (F.col("l.start") <= F.col("r.end")) & (F.col("r.start") <= F.col("l.end"))
-    )
-    made = l.join(r, meet).select(
+    made = overlapping(rows, ["subject_type", "subject_id"]).where("l.state <> r.state").select(
         F.col("l.subject_type").alias("subject_type"), F.col("l.subject_id").alias("subject_id"), F.col("l.evidence_id").alias("left_id"),
         F.col("r.evidence_id").alias("right_id"), F.col("l.state").alias("left_state"), F.col("r.state").alias("right_state"), precision_relation().alias("relation"),
     )

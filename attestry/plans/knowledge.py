@@ -630,8 +630,8 @@ def current_models(spark, base):
 
 
 @query("""WITH e AS (SELECT user_id AS candidate_id, list_sort(list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type IN ('click', 'view'))) AS s, list_sort(list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'error')) AS c,
-  list_sort(list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type IN ('click', 'view', 'error') AND event_id % 50 <> 7)) AS v, list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'view' OR event_id % 40 = 3) AS k FROM events GROUP BY 1)
-SELECT candidate_id, list_filter([CASE WHEN len(list_intersect(coalesce(c, []), coalesce(k, []))) > 0 THEN 'contradictory_and_current' END, CASE WHEN len(coalesce(s, [])) = 0 THEN 'missing_support' END,
+  list_sort(list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type IN ('click', 'view', 'error') AND event_id % 50 <> 7)) AS v, list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_type = 'view' OR event_id % 40 = 3) AS k, list(CAST(event_id AS VARCHAR)) FILTER (WHERE event_id % 60 <> 11) AS u FROM events GROUP BY 1)
+SELECT candidate_id, list_filter([CASE WHEN len(list_intersect(coalesce(c, []), coalesce(k, []))) > 0 THEN 'contradictory_and_current' END, CASE WHEN len(coalesce(u, [])) = 0 OR len(list_filter(coalesce(s, []), lambda x: NOT list_contains(coalesce(u, []), x))) > 0 THEN 'missing_support' END,
   CASE WHEN list_sort(list_concat(coalesce(s, []), coalesce(c, []))) <> coalesce(v, []) THEN 'not_what_was_validated' END], lambda x: x IS NOT NULL) AS errors FROM e""")
 def candidate_rules(spark, base):
     i = F.col("event_id")
@@ -640,6 +640,7 @@ def candidate_rules(spark, base):
     rows = _events(spark, base).groupBy(F.col("user_id").alias("candidate_id")).agg(
         ids(t.isin("click", "view")).alias("supporting_evidence_ids"), ids(t == "error").alias("contradictory_evidence_ids"),
         ids(t.isin("click", "view", "error") & (i % 50 != 7)).alias("validated_evidence_ids"), ids((t == "view") | (i % 40 == 3)).alias("current_evidence_ids"),
+        ids(i % 60 != 11).alias("supplied_evidence_ids"),
     )
     return ev.candidate_errors(rows).select("candidate_id", "errors")
 

@@ -190,7 +190,20 @@ def transfer_transitions(spark, base):
     return _moves(spark, "transfer")
 
 
-@query()
+@query("""WITH RECURSIVE c AS MATERIALIZED (
+  SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'propose' WHEN 'view' THEN 'validate' WHEN 'click' THEN 'promote' WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'revoke' END AS command, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events
+), f(id, i, seq, command, error, known, validated, promoted, revoked) AS (
+  SELECT DISTINCT id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST('' AS VARCHAR), false, false, false, false FROM c
+  UNION ALL
+  SELECT id, i, seq, command, error, known OR (error IS NULL AND command = 'propose'), validated OR (error IS NULL AND command = 'validate'), promoted OR (error IS NULL AND command = 'promote'), revoked OR (error IS NULL AND command IN ('reject', 'revoke'))
+  FROM (SELECT c.id, c.i, c.seq, c.command, f.known, f.validated, f.promoted, f.revoked, CASE
+    WHEN c.command = 'propose' THEN CASE WHEN f.known THEN 'already proposed' END WHEN NOT f.known THEN 'unknown entry'
+    WHEN c.command = 'validate' THEN CASE WHEN f.revoked THEN 'revoked' WHEN f.promoted THEN 'promoted' WHEN f.validated THEN 'already validated' END
+    WHEN c.command = 'reject' THEN CASE WHEN f.validated THEN 'already validated' WHEN f.revoked THEN 'revoked' END
+    WHEN c.command = 'revoke' THEN CASE WHEN f.revoked THEN 'already revoked' END
+    WHEN c.command = 'promote' THEN CASE WHEN NOT f.validated THEN 'not validated' WHEN f.revoked THEN 'revoked' WHEN f.promoted THEN 'already promoted' END
+    ELSE 'unknown command' END AS error FROM f JOIN c ON c.id = f.id AND c.i = f.i + 1)
+) SELECT id, seq, command, error IS NULL AS accepted, error FROM f WHERE i > 0""")
 def lifecycle_commands(spark, base):
     ev = tables.table(spark, base, "events")
     names = F.create_map(*[F.lit(x) for p in (("signup", "propose"), ("view", "validate"), ("click", "promote"), ("error", "reject"), ("purchase", "revoke")) for x in p])
