@@ -12,6 +12,7 @@ from attestry.operators import governance as gv
 from attestry.operators import graph as gr
 from attestry.operators import retrieval as rt
 from attestry.operators.keyword_index import KeywordIndex
+from attestry.operators.similarity import SimilarityGraph
 from attestry.plans.stemming import stems_sql
 from attestry.sources import tables
 from attestry.sources.store import shared_folder
@@ -503,14 +504,35 @@ EDGES = E + f""", v AS (SELECT id, source_profile, CAST(embedding AS DOUBLE[]) A
 
 
 def _edges(spark, base):
-    return gr.similarity_edges(_e(spark, base, True), EDGE)
+    return tables.similarity_graph(spark, base, EDGE).edges()
 
 
-@query(EDGES + " SELECT source_id, target_id, round(similarity, 6) AS similarity FROM eb")
+ALL_EDGES = EDGES + " SELECT source_id, target_id, round(similarity, 6) AS similarity FROM eb"
+
+
+@query(ALL_EDGES)
 def similarity_edges(spark, base):
+    """Without a graph that is kept: all vectors meet."""
+    return gr.similarity_edges(_e(spark, base, True), EDGE).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(ALL_EDGES)
+def similarity_graph(spark, base):
     return _edges(spark, base).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(ALL_EDGES)
+def similarity_graph_refresh(spark, base):
+    """A third is missing at first, a third has another vector, and some are not revoked yet; a refresh puts that right."""
+    e = _e(spark, base, True)
+    other = F.when(F.col("id") % 3 == 1, F.reverse("embedding")).otherwise(F.col("embedding"))
+    early = e.where("id % 3 <> 0").withColumns({"embedding": other, "is_revoked": F.col("is_revoked") & (F.col("id") % 2 == 0)})
+    graph = SimilarityGraph(spark, f"{shared_folder(spark)}/attestry-graph-{uuid.uuid4().hex}", EDGE)
+    graph.refresh(early)
+    graph.refresh(e)
+    return graph.edges().withColumn("similarity", F.round("similarity", 6))
+
+
 @query(EDGES + """, sd AS (SELECT id AS entry_id, row_number() OVER (ORDER BY id) AS seed_pos FROM gov QUALIFY seed_pos <= 10
 ), nb AS (SELECT source_id, target_id, similarity, row_number() OVER (PARTITION BY source_id ORDER BY similarity DESC, target_id) AS place FROM eb WHERE source_id IN (SELECT entry_id FROM sd) QUALIFY place <= 5
 ), rc AS (SELECT target_id AS entry_id, arg_min(similarity, seed_pos) AS score FROM nb JOIN sd ON source_id = sd.entry_id GROUP BY 1) SELECT entry_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, entry_id) AS rank FROM rc""")

@@ -80,3 +80,17 @@ def keyword_index(spark: SparkSession, base: str):
         except Conflict:
             pass  # another session was faster
     return index
+
+
+def similarity_graph(spark: SparkSession, base: str, threshold: float):
+    """The similarity graph of the tables as they are, written to the shared folder by whoever asks first."""
+    from attestry.operators.similarity import SimilarityGraph
+
+    state = state_of(spark, base, "documents", "labels", "embeddings")
+    graph = SimilarityGraph(spark, f"{shared_folder(spark)}/attestry-graph-{threshold}-{state}", threshold)
+    if not graph.store.versions():
+        try:
+            graph.refresh(entries(spark, base, vectors=True))
+        except Conflict:
+            pass  # another session was faster
+    return graph
