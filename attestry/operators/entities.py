@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
 from attestry.operators.governance import governed_entries
+from attestry.sources.store import Store, arrow_batches
 
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 METHOD = "deterministic-v1"
@@ -185,6 +186,46 @@ def rebuild(entries: DataFrame, memories: DataFrame, technologies: tuple[str, ..
     }
 
 
+def mixed_sources(mentions: DataFrame) -> DataFrame:
+    """(collective_entry_id, error) of entries whose mentions name several profiles or memories; nothing is said of their relations."""
+    one = mentions.groupBy("collective_entry_id").agg(*[F.min(c).alias(f"{c}_a") for c in ("source_profile", "source_memory_id")], *[F.max(c).alias(f"{c}_b") for c in ("source_profile", "source_memory_id")])
+    apart = ~F.col("source_profile_a").eqNullSafe(F.col("source_profile_b")) | ~F.col("source_memory_id_a").eqNullSafe(F.col("source_memory_id_b"))
+    return one.where(apart).select("collective_entry_id", F.lit("mentions of one entry have mixed sources").alias("error"))
+
+
+#: What a rebuild leaves in its store.
+REBUILT = ("mentions", "entities", "resolutions", "entity_evidence", "relationships", "relationship_evidence", "failures", "report")
+
+
+def rebuild_into(store: Store, entries: DataFrame, memories: DataFrame, technologies: tuple[str, ...] = TECHNOLOGIES) -> int:
+    """All tables of REBUILT anew, as one version of a store; returns its number.
+
+    Texts are read and extracted once: every later table comes from those written before it.
+    Until the commit, and so after a crash at any step, readers have the version before. The
+    report is one row of counts; an entry with mixed sources fails and has no relations.
+    """
+    change = store.begin()
+    with arrow_batches(store.spark):
+        mentions = change.replace("mentions", extract_mentions(entries, memories, technologies))
+        entities = change.replace("entities", bootstrap(mentions))
+        resolutions = change.replace("resolutions", resolve(mentions, entities))
+        evidence = change.replace("entity_evidence", entity_evidence(mentions, resolutions))
+        failures = change.replace("failures", mixed_sources(mentions))
+        sound = mentions.join(failures, "collective_entry_id", "left_anti")
+        said = change.replace("said", extract_relationships(entries, memories, sound))
+        relationships, told = record_relationships(said, sound, resolutions)
+        relationships, told = change.replace("relationships", relationships), change.replace("relationship_evidence", told)
+    counts = {
+        "entries": governed_entries(entries).agg(F.count("*")), "mentions": mentions.agg(F.count("*")), "entities": entities.agg(F.count("*")), "resolutions": resolutions.agg(F.count("*")),
+        "ambiguous": resolutions.agg(F.count_if(F.col("decision") == "ambiguous")), "entity_evidence": evidence.agg(F.count("*")), "said": said.agg(F.count("*")),
+        "relationships": relationships.agg(F.count("*")), "relationship_evidence": told.agg(F.count("*")), "failed": failures.agg(F.count("*")),
+    }
+    row = {k: df.first()[0] for k, df in counts.items()}
+    change.replace("report", store.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row)))
+    change.tables.pop("said")
+    return change.commit(rebuilt=row["entries"])
+
+
 def graph_nodes(entities: DataFrame, mentions: DataFrame, resolutions: DataFrame, gov: DataFrame) -> DataFrame:
     """Active entities with their governed mentions counted and profiles listed."""
     kept = mentions.join(gov.select(F.col("id").alias("collective_entry_id")), "collective_entry_id", "left_semi")

@@ -17,8 +17,9 @@ class Checkpoint:
     new; of those seen, ids are kept in the state.
     """
 
-    def __init__(self, next_sequence: int = 1, version: int = 0, seen: set | None = None):
-        self.next, self.version, self.seen = next_sequence, version, set(seen or ())
+    def __init__(self, next_sequence: int = 1, version: int = 0, seen=None):
+        """seen holds ids: a set, or anything with add and in."""
+        self.next, self.version, self.seen = next_sequence, version, set() if seen is None else seen
 
     def step(self, exchange_id: str, sequence: int, version: int) -> str:
         """Outcome of one exchange, in this order of tests; only an applied one moves the checkpoint."""

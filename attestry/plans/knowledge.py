@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from attestry.operators import models as mm
 from attestry.operators import transfer as tr
 from attestry.plans.retrieval import E as ENTRIES
 from attestry.sources import profiles, tables
+from attestry.sources.store import Store, shared_folder
 from attestry.streaming import feeds
 
 QUERIES: dict = {}
@@ -283,9 +286,30 @@ def relationship_extract(spark, base):
 
 @query(f"SELECT t.b AS predicate, count(*) AS evidence FROM orders, {RELATIONS} WHERE o_orderkey % 3 = t.k GROUP BY 1")
 def relationship_rebuild(spark, base):
-    out = en.rebuild(*_said(spark, base))
-    r = out["relationships"].select("relationship_id", "predicate")
-    return out["relationship_evidence"].join(r, "relationship_id").groupBy("predicate").agg(F.count("*").alias("evidence"))
+    store = _rebuilt(spark, base)
+    r = store.read("relationships").select("relationship_id", "predicate")
+    return store.read("relationship_evidence").join(r, "relationship_id").groupBy("predicate").agg(F.count("*").alias("evidence"))
+
+
+def _rebuilt(spark, base):
+    e, m = _said(spark, base)
+    store = Store(spark, f"{shared_folder(spark)}/attestry-knowledge-{uuid.uuid4().hex}")
+    en.rebuild_into(store, e, m)
+    return store
+
+
+@query("""WITH t(k, mentions) AS (VALUES (0, 5), (1, 7), (2, 6)), r(k, said) AS (VALUES (0, 2), (1, 1), (2, 3)), o AS (SELECT o_orderkey % 3 AS k, o_orderkey % 11 = 0 AS mixed FROM orders)
+SELECT CAST(count(*) + count(*) FILTER (WHERE mixed) AS BIGINT) AS entries, CAST(sum(mentions * CASE WHEN mixed THEN 2 ELSE 1 END) AS BIGINT) AS mentions, CAST(11 AS BIGINT) AS entities, CAST(0 AS BIGINT) AS ambiguous,
+  CAST(sum(said) FILTER (WHERE NOT mixed) AS BIGINT) AS relationship_evidence, CAST(6 AS BIGINT) AS relationships, count(*) FILTER (WHERE mixed) AS failed FROM o JOIN t USING (k) JOIN r USING (k)""")
+def rebuild_report(spark, base):
+    """Counts of a rebuild in which every eleventh order has a second source, which fails it."""
+    e, m = _said(spark, base)
+    again = F.concat(F.col("source_profile"), F.lit("b"))
+    e = e.union(e.where("id % 11 = 0").withColumn("source_profile", again))
+    m = m.union(m.where("cast(origin_memory_id as long) % 11 = 0").withColumn("source_profile", again))
+    store = Store(spark, f"{shared_folder(spark)}/attestry-knowledge-{uuid.uuid4().hex}")
+    en.rebuild_into(store, e, m)
+    return store.read("report").select("entries", "mentions", "entities", "ambiguous", "relationship_evidence", "relationships", "failed")
 
 
 # ---- models ---------------------------------------------------------------------------
@@ -548,14 +572,34 @@ def embedding_backfill(spark, base):
     return profiles.backfill_embeddings(tables.entries(spark, base, True), tables.memories(spark, base), 64).select("id", "failed")
 
 
-@query()
-def discovery_stream(spark, base):
-    """The discovery feed as a stream of files, run to its end; the registry of clients it leaves."""
+def _packet_stream(spark, base):
     raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(base)
-    packets = raw.select(F.col("user_id").cast("string").alias("client_id"), F.lit(None).cast("string").alias("hostname"), F.col("event_type").alias("installed_version"), F.col("ts").alias("last_seen"))
-    q = feeds.latest_clients(packets).writeStream.format("memory").queryName("attestry_discovery").outputMode("complete").trigger(availableNow=True).start()
+    return raw.select(F.col("user_id").cast("string").alias("client_id"), F.lit(None).cast("string").alias("hostname"), F.col("event_type").alias("installed_version"), F.col("ts").cast("timestamp").alias("last_seen"))
+
+
+def _run_stream(spark, rows, mode, sink, store):
+    q = rows.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{store.root}/stream").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table("attestry_discovery")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS client_id, min(ts)::TIMESTAMP AS first_seen, max(ts)::TIMESTAMP AS last_seen FROM events GROUP BY 1")
+def discovery_stream(spark, base):
+    """The discovery feed as a stream of files, run to its end; the registry of clients it leaves."""
+    store = Store(spark, f"{shared_folder(spark)}/attestry-registry-{uuid.uuid4().hex}")
+    _run_stream(spark, _packet_stream(spark, base), "append", feeds.registry_sink(store), store)
+    return store.read("registry").select("client_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
+@query("""WITH e AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS client_id, date_trunc('millisecond', ts) AS t FROM events
+), g AS (SELECT client_id, t, lag(t) OVER w AS before, lead(t) OVER w AS after, max(t) OVER () AS watermark FROM e WINDOW w AS (PARTITION BY client_id ORDER BY t))
+SELECT client_id, 'seen' AS status, t AS "at" FROM g WHERE before IS NULL OR t - before > INTERVAL 1 DAY
+UNION ALL SELECT client_id, 'stale', t + INTERVAL 1 DAY FROM g WHERE coalesce(after, watermark) - t > INTERVAL 1 DAY""")
+def discovery_liveness(spark, base):
+    """Clients that are first seen, go stale after a day without a packet, or come back, told by timers."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    store = Store(spark, f"{shared_folder(spark)}/attestry-liveness-{uuid.uuid4().hex}")
+    _run_stream(spark, feeds.liveness(_packet_stream(spark, base), 86_400, 40 * 86_400), "update", feeds.changes_sink(store, "changes"), store)
+    return store.read("changes").select("client_id", "status", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
 # ---- further reads --------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from attestry.operators.federation import Checkpoint
 from attestry.operators.governance import unseen
+from attestry.sources.store import Store
 
 STALE_SECONDS = 30
 _UUID4 = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
@@ -66,36 +66,129 @@ def set_adopted(registry: DataFrame, client_id: str, adopted: bool = True) -> Da
     return registry.withColumn("changed", mine & (F.col("state") != target)).withColumn("state", F.when(mine, F.lit(target)).otherwise(F.col("state")))
 
 
-def registry_sink(path: str):
-    """A foreachBatch writer that keeps the registry as versioned Parquet: a repeated batch rewrites its own version only."""
+REGISTRY = "client_id string, first_seen timestamp, last_seen timestamp, hostname string, installed_version string, state string"
+
+
+def registry_sink(store: Store):
+    """A foreachBatch writer that keeps the registry table of a store: each batch is merged in once, and readers see whole versions."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("v=")) if fs.exists(fs_path) else []
-        done = [v for v in done if v < batch_id]
-        old = spark.read.parquet(f"{path}/v={done[-1]}") if done else spark.createDataFrame([], "client_id string, first_seen timestamp, last_seen timestamp, hostname string, installed_version string, state string")
-        upsert(old, batch).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        change = store.begin()
+        if change.base["notes"].get("registry_batch", -1) >= batch_id:
+            return
+        old = change.read("registry") if "registry" in change.tables else batch.sparkSession.createDataFrame([], REGISTRY)
+        change.replace("registry", upsert(old, batch))
+        change.commit(registry_batch=batch_id)
+
+    return write
+
+
+class Liveness(StatefulProcessor):
+    """When a client is first seen, goes stale and comes back, told by event-time timers: one state and one timer a client."""
+
+    def __init__(self, stale_after: int, forget_after: int) -> None:
+        self.stale_after, self.forget_after = stale_after * 1000, forget_after * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("client", "first_seen long, last_seen long, stale boolean, hostname string, installed_version string")
+
+    def _told(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            frame = pd.DataFrame(rows, columns=["status", "at", "first_seen", "last_seen", "hostname", "installed_version"])
+            for c in ("at", "first_seen", "last_seen"):
+                frame[c] = pd.to_datetime(frame[c], unit="ms")
+            frame.insert(0, "client_id", key[0])
+            yield frame
+
+    def _wait(self, until: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(until)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        first, last, stale, host, version = self.state.get() if self.state.exists() else (None, None, True, None, None)
+        frame = pd.concat(list(rows)).sort_values(["last_seen", "hostname", "installed_version"], kind="stable", na_position="first")
+        out = []
+        for at, h, v in zip(frame["last_seen"].astype("datetime64[ms]").astype("int64"), frame["hostname"], frame["installed_version"]):
+            if last is not None and at < last:
+                continue  # an older packet changes nothing
+            if not stale and at - last > self.stale_after:  # it went stale between two packets of one batch
+                out.append(("stale", last + self.stale_after, first, last, host, version))
+                stale = True
+            first, last, host, version = at if first is None else first, at, h if isinstance(h, str) else None, v if isinstance(v, str) else None
+            if stale:
+                out.append(("seen", at, first, last, host, version))
+                stale = False
+        self.state.update((first, last, stale, host, version))
+        self._wait(last + self.stale_after)
+        yield from self._told(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        first, last, stale, host, version = self.state.get()
+        if stale:  # long gone
+            self.state.clear()
+            return
+        self.state.update((first, last, True, host, version))
+        self._wait(last + max(self.forget_after, self.stale_after + 1))
+        yield from self._told(key, [("stale", last + self.stale_after, first, last, host, version)])
+
+    def close(self) -> None:
+        pass
+
+
+def liveness(packets: DataFrame, stale_after: int = STALE_SECONDS, forget_after: int = 86_400, late: str = "0 seconds") -> DataFrame:
+    """Changes of a stream of packets(client_id, hostname, installed_version, last_seen): (client_id, status, at, first_seen, last_seen, hostname, installed_version).
+
+    status is seen for a new or returning client and stale once its last packet is over
+    stale_after seconds old in event time, whether other packets of its own show that or
+    only those of others (a timer). Packets later than late are dropped; a client that is
+    silent for forget_after seconds is new when it returns. To be written in update mode.
+    """
+    kind = "client_id string, status string, at timestamp, first_seen timestamp, last_seen timestamp, hostname string, installed_version string"
+    own = packets.select("client_id", "hostname", "installed_version", F.col("last_seen").cast("timestamp").alias("last_seen")).withWatermark("last_seen", late)
+    return own.groupBy("client_id").transformWithStateInPandas(Liveness(stale_after, forget_after), kind, "update", "eventTime")
+
+
+def changes_sink(store: Store, name: str):
+    """A foreachBatch writer that appends each batch once: its number is committed with it, so one that comes again is known."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        change = store.begin()
+        if change.base["notes"].get(f"{name}_batch", -1) >= batch_id:
+            return
+        change.append(name, batch)
+        change.commit(**{f"{name}_batch": batch_id})
 
     return write
 
 
+class _SeenIds:
+    """Exchange ids in keyed state, one entry an id."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def __contains__(self, exchange_id: str) -> bool:
+        return self.state.containsKey((exchange_id,))
+
+    def add(self, exchange_id: str) -> None:
+        self.state.updateValue((exchange_id,), (True,))
+
+
 class SyncProcessor(StatefulProcessor):
-    """Sequence-checked synchronization: one checkpoint a participant in keyed state."""
+    """Sequence-checked synchronization: a checkpoint a participant, and the ids applied as entries of a map, in keyed state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("checkpoint", "next long, version long, seen string")
+        self.state = handle.getValueState("checkpoint", "next long, version long")
+        self.seen = _SeenIds(handle.getMapState("seen", "exchange_id string", "applied boolean"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.state.exists():
-            n, v, seen = self.state.get()
-            at = Checkpoint(n, v, set(json.loads(seen)))
-        else:
-            at = Checkpoint()
+        n, v = self.state.get() if self.state.exists() else (1, 0)
+        at = Checkpoint(n, v, self.seen)
         frame = pd.concat(list(rows)).sort_values(["arrival", "exchange_id"], kind="stable")
         frame["outcome"] = [at.step(e, int(s), int(v)) for e, s, v in zip(frame["exchange_id"], frame["sequence"], frame["version"])]
-        self.state.update((at.next, at.version, json.dumps(sorted(at.seen))))
+        self.state.update((at.next, at.version))
         yield frame[["participant_id", "exchange_id", "sequence", "version", "outcome"]]
 
     def close(self) -> None:

@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from attestry.sources.store import Store
 from attestry.streaming import feeds
 
 T = lambda s: datetime(2024, 1, 1, 0, 0, s)
@@ -47,9 +48,12 @@ def test_registry_stream(spark, tmp_path):
     frames = [packets(spark, [("a", "h", "1", T(1))]), packets(spark, [("a", "k", "2", T(4)), ("b", "h", "1", T(2))])]
     out = str(tmp_path / "registry")
     source = stream(spark, tmp_path, frames, frames[0].schema)
-    q = source.writeStream.foreachBatch(feeds.registry_sink(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    store = Store(spark, f"file://{out}")
+    q = source.writeStream.foreachBatch(feeds.registry_sink(store)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = spark.read.parquet(f"{out}/v=1")
+    last = store.read("registry")
+    feeds.registry_sink(store)(frames[0].withColumn("hostname", F.lit("again")), 1)  # a batch that comes again
+    assert store.versions() == [1, 2]
     assert {(r["client_id"], r["first_seen"], r["last_seen"]) for r in last.collect()} == {("a", T(1), T(4)), ("b", T(2), T(2))}
 
 
@@ -69,3 +73,25 @@ def test_sync_stream_keeps_its_checkpoint_between_batches(spark, tmp_path):
     q = feeds.sync_stream(stream(spark, tmp_path, frames, frames[0].schema)).writeStream.format("memory").queryName("sync_out").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["exchange_id"], r["outcome"]) for r in spark.table("sync_out").collect()) == [("e1", "applied"), ("e1", "duplicate"), ("e2", "applied"), ("e3", "retry")]
+
+
+def test_clients_go_stale_by_timer(spark, tmp_path):
+    """In update mode: by the packets of others, between two packets of one batch, and back again; late and repeated packets change nothing."""
+    at = lambda m, s: datetime(2024, 1, 1, 0, m, s)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    batches = [
+        [("a", "h", "1", at(0, 1)), ("b", None, "1", at(0, 2)), ("b", "k", "2", at(0, 20))],
+        [("b", "k", "2", at(0, 40)), ("c", "x", "1", at(0, 0))],  # a is 39 seconds old; c is before the watermark, which drops packets from the next batch on
+        [("a", "h", "3", at(1, 30)), ("b", "k", "2", at(0, 45)), ("d", None, None, at(1, 0)), ("d", None, None, at(1, 41)), ("d", "between", None, at(1, 10))],
+        [("e", "h", "1", at(9, 0)), ("f", "h", "1", at(0, 5))],
+    ]
+    frames = [packets(spark, rows) for rows in batches]
+    store = Store(spark, f"file://{tmp_path}/changes")
+    source = stream(spark, tmp_path, frames, frames[0].schema)
+    q = feeds.liveness(source).writeStream.outputMode("update").foreachBatch(feeds.changes_sink(store, "changes")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["client_id"], r["at"], r["status"]) for r in store.read("changes").collect())
+    assert got == sorted([
+        ("a", at(0, 1), "seen"), ("a", at(0, 31), "stale"), ("a", at(1, 30), "seen"), ("a", at(2, 0), "stale"), ("b", at(0, 2), "seen"), ("b", at(1, 15), "stale"), ("c", at(0, 0), "seen"), ("c", at(0, 30), "stale"),
+        ("d", at(1, 0), "seen"), ("d", at(1, 40), "stale"), ("d", at(1, 41), "seen"), ("d", at(2, 11), "stale"), ("e", at(9, 0), "seen"),
+    ])
