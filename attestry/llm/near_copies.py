@@ -80,17 +80,35 @@ def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return union > 0 and 100 * both >= percent * union
 
 
-def code_column(text: Column, count: int) -> Column:
-    """Digest of the word sequence (two longs) and the wide code of a text."""
-    kind = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("code", pa.list_(pa.int64()))])
+def sketch(words: np.ndarray, n: int) -> bytes:
+    """One byte of the least n-word shingle hash in each of 256 ranges of hashes, 0 for an empty one: two texts agree in about as many of their ranges as their sets share of their union."""
+    marks = np.unique(runs(words, n))
+    ranges, first = np.unique((marks >> np.uint64(56)).astype(np.int64), return_index=True)
+    out = np.zeros(256, np.uint8)
+    out[ranges] = np.maximum(1, (marks[first] & np.uint64(0xFF)).astype(np.uint8))
+    return out.tobytes()
 
-    @F.arrow_udf("struct<hi:bigint,lo:bigint,code:array<bigint>>")
+
+def likely(code_a: np.ndarray, code_b: np.ndarray, one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of codes and sketches may share percent of their shingles: within ALL bits, and agreeing in no fewer ranges than five standard deviations below."""
+    filled = ((one | two) > 0).sum(1)
+    same = ((one == two) & (one > 0)).sum(1)
+    share = percent / 100
+    slack = 5 * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
+    return (np.bitwise_count(code_a ^ code_b).sum(1, dtype=np.int64) <= ALL) & (same >= (share - slack) * filled)
+
+
+def code_column(text: Column, count: int, n: int = 5) -> Column:
+    """Digest of the word sequence (two longs), the wide code and the sketch of a text."""
+    kind = pa.struct([("hi", pa.int64()), ("lo", pa.int64()), ("code", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+    @F.arrow_udf("struct<hi:bigint,lo:bigint,code:array<bigint>,sketch:binary>")
     def coded(values: pa.Array) -> pa.Array:
         out = []
         for text in values.to_pylist():
             words = word_hashes(text)
             digest = np.frombuffer(xxhash.xxh3_128_digest(words.tobytes()), dtype=np.int64)
-            out.append({"hi": int(digest[0]), "lo": int(digest[1]), "code": wide_code(words, count).view(np.int64).tolist()})
+            out.append({"hi": int(digest[0]), "lo": int(digest[1]), "code": wide_code(words, count).view(np.int64).tolist(), "sketch": sketch(words, n)})
         return pa.array(out, kind)
 
     return coded(text.cast("binary"))
@@ -200,12 +218,12 @@ def verified(pairs: DataFrame, marks: DataFrame, percent: int, heavy: int = 2000
     return out.select("a", "b", verdict)
 
 
-def settle(frames: Iterator[pd.DataFrame], masks: list[int], percent: int) -> Iterator[pd.DataFrame]:
-    """Links (a, b) between the groups of one bucket after another, compared exactly where they meet.
+def settle(frames: Iterator[pd.DataFrame], masks: list[int], percent: int, most: int | None) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of one bucket after another whose groups differ and that may be similar, of two groups the most likeliest, or all.
 
-    frames hold whole buckets (tab, part, cell) one after another, with codes and shingle
-    sets. A pair within the radius in the first word and the whole code is compared once, in
-    the first of the live tables in which it agrees, and only while its groups are apart.
+    frames hold whole buckets (tab, part, cell) one after another, with codes and sketches. A
+    pair within the radius in the first word counts in the first of the live tables in which
+    it agrees.
     """
     held: list[pd.DataFrame] = []
 
@@ -215,36 +233,33 @@ def settle(frames: Iterator[pd.DataFrame], masks: list[int], percent: int) -> It
             return
         table, mask = int(own["tab"].iloc[0]), masks[int(own["block"].iloc[0])]
         code = np.stack(own["code"].to_numpy()).view(np.uint64)
-        marks = [np.asarray(m) for m in own["marks"]]
-        sizes = np.array([len(m) for m in marks])
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while x in parent:
-                x = parent[x]
-            return x
-
+        marks = np.frombuffer(b"".join(own["sketch"]), np.uint8).reshape(len(own), -1)
         moved, fixed = masked_first(code[:, table // (64 // WIDTH)], mask)
         asked = np.uint64(1) << np.arange(code.shape[1] * (64 // WIDTH), dtype=np.uint64)
-        links = []
+        best: list[pd.DataFrame] = []
         for i, j in GrayIndex(moved).pairs(FIRST, fixed, max(8, min(2048, (1 << 21) // len(own)))):
-            root = np.array([find(x) for x in group.tolist()]) if parent else group
-            keep = (root[i] != root[j]) & (c[i] != c[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+            keep = (group[i] != group[j]) & (c[i] != c[j])
             keep &= ~(wide[i] & wide[j]) | (np.where(c[i] < c[j], home[i], home[j]) == cell[i])
             i, j = i[keep], j[keep]
-            apart = code[i] ^ code[j]
-            bits = np.bitwise_count(apart).sum(1, dtype=np.int64)
-            agrees = np.where(apart.view(np.uint16) == 0, asked[None], np.uint64(0)) if len(i) else np.zeros((0, 1), np.uint64)
-            met = np.bitwise_or.reduce(agrees, axis=1) & live[i].view(np.uint64)
-            keep = (bits <= ALL) & ((met & (~met + np.uint64(1))) == np.uint64(1 << table))
-            order = np.argsort(bits[keep], kind="stable")
-            for a, b in zip(i[keep][order].tolist(), j[keep][order].tolist()):
-                one, two = find(int(group[a])), find(int(group[b]))
-                if one != two and similar(marks[a], marks[b], percent):
-                    parent[max(one, two)] = min(one, two)
-                    links.append((c[a], c[b]))
-        if links:
-            yield pd.DataFrame(links, columns=["a", "b"])
+            if len(i):
+                agrees = np.where((code[i] ^ code[j]).view(np.uint16) == 0, asked[None], np.uint64(0))
+                met = np.bitwise_or.reduce(agrees, axis=1) & live[i].view(np.uint64)
+                first = (met & (~met + np.uint64(1))) == np.uint64(1 << table)
+                i, j = i[first], j[first]
+                fits = likely(code[i], code[j], marks[i], marks[j], percent)
+                i, j = i[fits], j[fits]
+            if not len(i):
+                continue
+            low = c[i] < c[j]
+            pairs = pd.DataFrame({"a": np.where(low, c[i], c[j]), "b": np.where(low, c[j], c[i])})
+            if most is None:
+                yield pairs
+                continue
+            ga, gb = group[i], group[j]
+            pairs["g"], pairs["h"], pairs["same"] = np.minimum(ga, gb), np.maximum(ga, gb), -(marks[i] == marks[j]).sum(1)
+            best = [pd.concat([*best, pairs]).sort_values(["same", "a", "b"]).groupby(["g", "h"]).head(most)]
+        if best:
+            yield best[0][["a", "b"]]
 
     for frame in frames:
         if not len(frame):
@@ -263,15 +278,17 @@ def settle(frames: Iterator[pd.DataFrame], masks: list[int], percent: int) -> It
 
 
 def link_texts(docs: DataFrame, classes: DataFrame, text_col: str, n: int = 5, percent: int = 80, nearest: int = 1, crowded: int = 1 << 13) -> DataFrame:
-    """Groups (c, grp) of classes(c, r1, r2, hi, lo, code) that the found pairs of similar texts connect; only of classes with a link.
+    """Groups (c, grp) of classes(c, r1, r2, hi, lo, code, sketch) that the found pairs of similar texts connect; only of classes with a link.
 
     docs carry the row keys __r1, __r2 of the classes' first rows. First, buckets give each
     code's nearest partners, and these pairs are compared: one pair a text, then all that
     still part groups. Then the buckets in which a code had more partners come once more,
-    with the shingle sets, and compare in place what still parts their groups: no pair
-    leaves them but links, so what is written and shuffled grows with the texts, whatever
-    their families are. A bucket of over crowded codes is cut into cells of that size; in
-    the second step its codes outside its largest group go to all its cells.
+    with codes and sketches, twice: of two groups the two likeliest pairs are compared, then
+    all likely ones that still part groups. Whole codes and sketches of 256 bytes rule most
+    pairs out before shingle sets are made (a pair of 0.8 is ruled out with a chance below
+    one in a million by its sketch), so few sets are sent. A bucket of over crowded codes is
+    cut into cells of that size; in the second step its codes outside its largest group go
+    to all its cells.
     """
     scratch, spark, most = Scratch(), docs.sparkSession, 500_000
     masks = [((1 << WIDTH) - 1) << (WIDTH * k) for k in range(64 // WIDTH)]
@@ -304,25 +321,50 @@ def link_texts(docs: DataFrame, classes: DataFrame, text_col: str, n: int = 5, p
         scratch.tables.append(known)
         return known.select(F.col("node").alias("c"), F.col("component").alias("grp"))
 
-    for first in (True, False):
+    def chosen(pairs: DataFrame) -> DataFrame:
+        """pairs(a, b, ...) that may be similar."""
+        @F.arrow_udf("boolean")
+        def fits(code_a: pa.Array, code_b: pa.Array, one: pa.Array, two: pa.Array) -> pa.Array:
+            codes = [x.flatten().to_numpy().view(np.uint64).reshape(len(x), -1) for x in (code_a, code_b)]
+            marks = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), 256) for x in (one, two)]
+            return pa.array(likely(*codes, *marks, percent), pa.bool_())
+
+        out = pairs
+        for end in "ab":
+            side = classes.select(F.col("c").alias(end), F.col("code").alias(f"code_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+            out = scratch(side.join(checked_broadcast(out, out.count(), 100_000), end))
+        return out.where(fits("code_a", "code_b", "sketch_a", "sketch_b")).select(*pairs.columns)
+
+    def compare(asked: DataFrame) -> None:
+        """Compare pairs(a, b) exactly and join what is similar."""
+        nonlocal marks, links, refuted, groups
+        marks = with_marks(asked.select(F.explode(F.array("a", "b")).alias("c")))
+        judged = scratch(verified(asked, marks, percent))
+        links, refuted = links.union(judged.where("near").select("a", "b")), refuted.union(judged.where("not near").select("a", "b"))
+        groups = regrouped()
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """pairs that join groups and weren't refuted."""
         one, two = (groups.select(F.col("c").alias(x), F.col("grp").alias(f"g{x}")) for x in "ab")
-        asked = edges.join(one, "a", "left").join(two, "b", "left").where("coalesce(ga, a) <> coalesce(gb, b)").join(refuted, ["a", "b"], "left_anti")
+        out = pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(ga, a) <> coalesce(gb, b)")
+        return out.join(refuted, ["a", "b"], "left_anti").select(*pairs.columns)
+
+    edges = scratch(chosen(edges))
+    for first in (True, False):
+        asked = apart(edges)
         if first:  # the nearest partner of each text
             ends = asked.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "bits")
             asked = ends.groupBy("x").agg(F.min("bits").alias("bits"), F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
         asked = scratch(asked.select("a", "b"))
         if asked.isEmpty():
             break
-        marks = with_marks(asked.select(F.explode(F.array("a", "b")).alias("c")))
-        judged = scratch(verified(asked, marks, percent))
-        links, refuted = links.union(judged.where("near").select("a", "b")), refuted.union(judged.where("not near").select("a", "b"))
-        groups = regrouped()
+        compare(asked)
     live = scratch(found.where("tab >= 0").select("tab", "part").distinct().union(crowd.select("tab", "part")).distinct())
-    if not live.isEmpty():
+    for most_pairs in () if live.isEmpty() else (2, None):
         grouped = plain.drop("grp").join(groups, "c", "left").select("c", F.coalesce("grp", "c").alias("grp"), "code")
         open_ = _blocks(grouped, WORDS, WIDTH).drop("first", "second").join(checked_broadcast(live, live.count(), most), ["tab", "part"], "left_semi")
-        apart = open_.groupBy("tab", "part").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tab", "part")
-        open_ = scratch(open_.join(apart, ["tab", "part"], "left_semi"))
+        parted = open_.groupBy("tab", "part").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tab", "part")
+        open_ = scratch(open_.join(parted, ["tab", "part"], "left_semi"))
         if crowds:
             counts = open_.join(checked_broadcast(crowd, crowds, most), ["tab", "part"], "left_semi").groupBy("tab", "part", "grp").agg(F.count("*").alias("k"))
             side = crowd.join(counts.groupBy("tab", "part").agg(F.max_by("grp", F.struct("k", "grp")).alias("main")), ["tab", "part"])
@@ -331,13 +373,13 @@ def link_texts(docs: DataFrame, classes: DataFrame, text_col: str, n: int = 5, p
             dealt = dealt.withColumn("cell", F.explode(F.when(F.col("wide"), F.sequence(F.lit(0), cells - 1)).otherwise(F.array("home"))))
         else:
             dealt = open_.withColumns({"home": F.lit(0), "wide": F.lit(False), "cell": F.lit(0)})
-        marks = with_marks(open_.select("c"))
         known = open_.groupBy("c").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("tab"))).alias("live"))
-        known = known.join(classes.select("c", "code"), "c").join(marks, "c")
+        known = known.join(classes.select("c", "code", "sketch"), "c")
         whole = dealt.select("tab", "block", "part", "cell", "home", "wide", "c", "grp").join(known, "c").repartition("tab", "part", "cell").sortWithinPartitions("tab", "part", "cell")
-        settled = scratch(whole.mapInPandas(partial(settle, masks=masks, percent=percent), "a long, b long"))
-        links = links.union(settled)
-        groups = regrouped()
+        asked = scratch(apart(whole.mapInPandas(partial(settle, masks=masks, percent=percent, most=most_pairs), "a long, b long").distinct()))
+        if asked.isEmpty():
+            break
+        compare(asked)
     out = materialize(groups)
     scratch.clear()
     return out
@@ -358,10 +400,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = [row_hash(own.frame, k).alias(f"__r{k}") for k in (1, 2)]
     keyed = own.frame.select(F.col(own(id_col)).alias("__id"), F.col(own(text_col)).alias("__text"), *keys)
     row = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__r1").alias("r1"), F.col("__r2").alias("r2"))
-    found = scratch(keyed.select(row.alias("row"), code_column(F.col("__text"), WORDS).alias("p")).select("row", "p.*"))
+    found = scratch(keyed.select(row.alias("row"), code_column(F.col("__text"), WORDS, n).alias("p")).select("row", "p.*"))
     classes = scratch(
-        found.groupBy("hi", "lo").agg(F.min("row").alias("lead"), F.any_value("code").alias("code"))
-        .select(F.monotonically_increasing_id().alias("c"), "lead", "lead.r1", "lead.r2", "hi", "lo", "code")
+        found.groupBy("hi", "lo").agg(F.min("row").alias("lead"), F.any_value("code").alias("code"), F.any_value("sketch").alias("sketch"))
+        .select(F.monotonically_increasing_id().alias("c"), "lead", "lead.r1", "lead.r2", "hi", "lo", "code", "sketch")
     )
     groups = link_texts(keyed.select("__text", "__r1", "__r2"), classes, "__text", n, percent)
     # a class goes when its group has a smaller first row

@@ -86,7 +86,7 @@ def test_groups_match_all_pairs(spark, how):
     docs = spark.createDataFrame(rows, SCHEMA)
     keyed = materialize(docs.selectExpr("text as t", "doc_id as __r1", "doc_id as __r2"))
     code = near_copies.code_column(docs["text"], 8).alias("p")
-    classes = materialize(docs.select("doc_id", code).selectExpr("doc_id as c", "doc_id as r1", "doc_id as r2", "p.hi", "p.lo", "p.code"))
+    classes = materialize(docs.select("doc_id", code).selectExpr("doc_id as c", "doc_id as r1", "doc_id as r2", "p.hi", "p.lo", "p.code", "p.sketch"))
     found = {r["c"]: r["grp"] for r in near_copies.link_texts(keyed, classes, "t", **how).collect()}
     got = [found.get(i, i) for i in range(len(rows))]
     want = slow_near_groups([t for _, t in rows])
