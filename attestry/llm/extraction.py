@@ -16,7 +16,7 @@ from .common import bound_batches, sample_rows
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</\1\s*[^>]*>|\Z)|\Z)"
+    r"|<(script|style|template|textarea|title|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</\1\s*[^>]*>|\Z)|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -37,7 +37,10 @@ _CUE = re.compile(
     re.I,
 )
 #: Words beside a cue that leave its sense, and first words that tell of the page and not of the element.
-_FORM = frozenset("list lists area item items link links box bar block section site page post posts text".split())
+_FORM = frozenset(
+    "list lists area item items link links box bar block section site page post posts text container containers wrapper holder unit slot zone thread threads "
+    "left right inner outer top bottom reader readers user users visitor visitors article articles".split()
+)
 _STATE = frozenset("has have no not with without show hide enable enabled disable disabled supports".split())
 #: Characters of prose that outweigh a cue word in part of a class name.
 _OUTWEIGHED = 200
@@ -49,7 +52,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _MARKS = re.compile(r"[.,;:!?]")
 _KEEP = frozenset(("html", "body", "article", "main"))
 
-FEATURES = 10
+FEATURES = 7
 
 
 @dataclass
@@ -62,6 +65,7 @@ class Block:
     inside: bool  # an article or main element holds it
     off: int  # what holds it: 0 none of these, 1 a form, 2 an element whose class is a cue, 3 a menu, header, footer, hidden element, ...
     doubt: float = 0.0  # how far a class name that is a cue in part tells against it: 0 not at all, 1 most
+    plain: float = 0.0  # where no article is marked: how far the text beside it is prose and no links, from -1 to 1
 
     @property
     def prose(self) -> bool:
@@ -178,6 +182,16 @@ def blocks(html: str | None) -> list[Block]:
             prose[h] = prose.get(h, 0) + len(b.text)
     for b, holders in zip(out, held):
         b.doubt = max(0.0, *(1 - prose.get(h, 0) / _OUTWEIGHED for h in holders)) if holders else 0.0
+    if not any(b.inside for b in out):
+        total: dict[int, list[int]] = {}
+        for b in out:
+            if not b.off:
+                said = total.setdefault(b.parent, [0, 0])
+                said[0] += len(b.text)
+                said[1] += b.links
+        for b in out:
+            if not b.off:
+                b.plain = 1 - 2 * total[b.parent][1] / total[b.parent][0]
     return out
 
 
@@ -189,8 +203,7 @@ def features(found: list[Block]) -> list[list[float]]:
         words = b.text.count(" ") + 1
         marks = len(_MARKS.findall(b.text))
         rows.append([
-            1.0, np.log1p(n), b.links / n, marks / words, min(n / words, 20.0) / 10, float(b.text[-1] in ".!?"),
-            float(b.tag == "p"), float(b.tag[:1] == "h" and b.tag[1:].isdigit()), float(b.tag == "li"), float("©" in b.text or "|" in b.text),
+            1.0, np.log1p(n), b.links / n, marks / words, min(n / words, 20.0) / 10, float(b.text[-1] in ".!?"), float("©" in b.text or "|" in b.text),
         ])
     return rows
 
@@ -199,14 +212,17 @@ def features(found: list[Block]) -> list[list[float]]:
 class BlockModel:
     """A trained classifier of block text, the evidence of a block's place, and the strength of edges.
 
-    Place and text weigh about as much as the edges of a block, so that its neighbours
-    decide where the two disagree; only elements that are never part of an article weigh more.
+    An article that is marked weighs more than text, so nothing in it is lost for its form:
+    lists, tables and links stay. Where none is marked, text, what stands beside a block and
+    its edges weigh about alike, so that its neighbours decide; only elements that are never
+    part of an article weigh more.
     """
 
     weights: np.ndarray
     trust: float = 2.0
-    inside: float = 1.5
+    inside: float = 2.5
     prose: float = 1.0
+    plain: float = 1.5
     form: float = -2.5
     cue: float = -6.0
     never: float = -9.0
@@ -218,7 +234,7 @@ class BlockModel:
         """Log odds of content: the classifier's, within trust, and the evidence of the tree."""
         text = np.clip(x @ self.weights, -self.trust, self.trust)
         off = np.array([b.off for b in found], dtype=int)
-        place = np.array([self.inside * b.inside + self.prose * b.prose for b in found])
+        place = np.array([self.inside * b.inside + self.prose * b.prose + self.plain * b.plain * (1 - b.doubt) for b in found])
         return text + np.where(off, np.array([0.0, self.form, self.cue, self.never])[off], place + self.doubt * np.array([b.doubt for b in found]))
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:

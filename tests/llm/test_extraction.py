@@ -35,7 +35,7 @@ def test_labels_are_those_of_the_whole_cut():
             for _ in range(n)
         ])
     for weight in (-0.4, -0.2, 0.1):
-        model = extraction.BlockModel(np.array([weight, 0, 0, 0, 0, 0, 0, 0, 0, 0]) * 5)
+        model = extraction.BlockModel(np.array([weight, 0, 0, 0, 0, 0, 0]) * 5)
         for page, got in zip(pages, model.label(pages)):
             assert (got == slow_label(model, page)).all()
 
@@ -124,3 +124,42 @@ def test_labels_of_small_pages_are_the_cheapest_of_all_labellings():
         assert energy(got.tolist()) == pytest.approx(best)
         flipped += int((got != (cost > 0)).sum())
     assert flipped > 20
+
+
+TALK = "They met at noon, and the talk went on until the lamps were lit in every street of the town. "
+SHAPES = {
+    "list": ("<h1>What to pack</h1><ul><li>Bring a warm coat</li><li>Two pairs of boots</li><li>A map</li></ul>", ["What to pack", "Bring a warm coat", "Two pairs of boots", "A map"]),
+    "steps": (f"<p>{LONG}</p><ol><li>Peel the apples</li><li>Boil them</li></ol><p>{TALK}</p>", [LONG, "Peel the apples", "Boil them", TALK]),
+    "links": (f"<p>{LONG}</p><ul><li><a href='a'>The first source of this text</a></li><li><a href='b'>The second</a></li></ul><p>{TALK}</p>", [LONG, "The first source of this text", "The second", TALK]),
+    "table": (f"<p>{LONG}</p><table><tr><td>Mill</td><td>1802</td></tr></table><p>{TALK}</p>", [LONG, "Mill", "1802", TALK]),
+    "divs": (f"<h2>The mill</h2><div>{LONG}</div><div>It rained.</div><div>{TALK}</div>", ["The mill", LONG, "It rained.", TALK]),
+}
+
+
+@pytest.fixture(scope="module")
+def learned():
+    """Trained on pages of one layout, whose only lists are menus."""
+    menu = "<nav><ul>" + "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in ("Home", "News", "About")) + "</ul></nav>"
+    pages = [f"<body>{menu}<div class='ad'>Buy it now, and save.</div><article><h1>A title of page {i}</h1><p>{LONG * (1 + i % 3)}</p><p>So it is.</p></article><footer>&copy; Site {i}</footer></body>" for i in range(40)]
+    return extraction.train(pages)
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+@pytest.mark.parametrize("holder", ["article", "main", None])
+def test_text_of_any_form_stays(learned, shape, holder):
+    body, want = SHAPES[shape]
+    if holder is None and shape == "links":
+        want = [w for w in want if len(w) > 40]  # links without a marked article are taken for a menu
+    page = whole(f"<{holder}>{body}</{holder}>" if holder else f"<div>{body}</div>")
+    got = learned.extract([page])[0].split("\n")
+    assert [w.strip() for w in want] == [g for g in got if holder or shape != "links" or len(g) > 40]
+
+
+@pytest.mark.parametrize("name", ["comments-wrapper", "comment-thread", "disqus_thread", "user-comments", "reader-comments", "comments-container", "ad-container", "ad-unit-1", "sidebar-left", "sidebar-inner", "related-articles", "cookie-wrapper", "promo-unit"])
+@pytest.mark.parametrize("within", [True, False])
+def test_long_comments_and_adverts_go(learned, name, within):
+    noise = f'<div class="{name}">' + "".join(f"<p>{x} and so would anyone who has been there, I am sure of it, my friends.</p>" for x in ("I think so too,", "I do not,", "Buy one,")) + "</div>"
+    body = f"<p>{LONG}</p><p>{TALK}</p>"
+    page = whole(f"<article>{body}{noise}</article>" if within else f"<article>{body}</article>{noise}")
+    assert learned.extract([page]) == [LONG.strip() + "\n" + TALK.strip()]
+    assert "anyone" not in learned.extract([whole(f"<div>{body}</div>{noise}")])[0]
