@@ -116,12 +116,14 @@ def statistics(memories: DataFrame, entries: DataFrame, edges: DataFrame) -> Dat
     return own.crossJoin(diagnostics(edges, entries))
 
 
-def circle(kept: DataFrame, radius: float = 1.0) -> DataFrame:
-    """Nodes(id) on a circle in the order of their ids: position, x and y. Positions come from counts of id ranges, so no task orders all nodes."""
-    n = kept.count()
-    parts = kept.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("m", F.monotonically_increasing_id())
-    sizes = parts.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("k"))
+def circle(kept: DataFrame, radius: float = 1.0, ranges: int = 4096) -> DataFrame:
+    """Nodes(id) on a circle in the order of their ids: position, x and y. Positions come from counts of equal ranges of ids, so no task orders all nodes."""
+    ends = kept.agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    low, width = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // ranges))
+    placed = kept.select("id", F.floor((F.col("id") - low) / width).cast("long").alias("p"))
+    sizes = placed.groupBy("p").agg(F.count("*").alias("k"))  # at most ranges rows
     before = sizes.select("p", (F.sum("k").over(W.orderBy("p")) - F.col("k")).alias("before"))
-    at = parts.withColumn("p", F.shiftright("m", 33)).join(F.broadcast(before), "p").select("id", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
-    turn = F.col("position") * (2 * np.pi / max(1, n))
+    within = placed.withColumn("m", F.row_number().over(W.partitionBy("p").orderBy("id")) - 1)
+    at = within.join(F.broadcast(before), "p").select("id", (F.col("before") + F.col("m")).alias("position"))
+    turn = F.col("position") * (2 * np.pi / max(1, ends["n"]))
     return at.select("id", "position", (F.cos(turn) * radius).alias("x"), (F.sin(turn) * radius).alias("y"))
