@@ -28,7 +28,7 @@ FEATURE_WORDS = 2
 #: Words of a code and bits of a block, the same for any number of texts: every block of a code is a table, and two texts meet where a whole block agrees.
 WORDS, WIDTH = 8, 16
 #: Differing bits allowed in the two words of a code that travel with a block (first word, both) and in a whole code.
-FIRST, BOTH, ALL = 14, 24, 80
+FIRST, BOTH, ALL = 14, 24, 96
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
