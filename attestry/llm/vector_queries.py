@@ -21,7 +21,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_codes.compress(embeddings(spark, sf_dir))
+    """The columns of the contract; how many distances were computed is the operator's own to tell."""
+    return vector_codes.compress(embeddings(spark, sf_dir)).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 def op13_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,3 +143,8 @@ def test_entry_adds_the_queries():
     assert set(queries.queries()) <= set(entry.queries())
     assert set(queries.oracle_sql()) <= set(entry.oracle_sql())
     assert decontaminate.BenchmarkIndex.build([]).leaks([b"text", None]) == [[], []]
+
+
+def test_codes_query_returns_the_columns_of_its_sql(spark, tables):
+    base = tables[0]
+    assert queries.queries()["op12_vector_codes"](spark, base).columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
