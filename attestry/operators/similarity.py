@@ -18,6 +18,8 @@ from attestry.sources.store import Store, arrow_batches
 
 #: Rows of a block, pivots at most and vectors they are fitted on, about.
 BLOCK, MOST_PIVOTS, FITTED = 2048, 1024, 16384
+#: Groups of lists, and bytes of a group's vectors at which there become more groups.
+GROUPS, GROUP_BYTES = 8, 1 << 26
 PLACED = "id long, v binary, pivot int, distance double"
 
 
@@ -62,31 +64,72 @@ def _place(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch["id"], pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own.astype(np.int32)), pa.array(away)], ["id", "v", "pivot", "distance"])
 
 
-def _visit(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.ndarray, reach: float, later: bool) -> Iterator[pa.RecordBatch]:
-    """Each vector once for every list that may hold one within reach of it; with later, of the lists after its own."""
-    for batch in batches:
-        x, home = _rows(batch["v"], pivots.shape[1]), batch["pivot"].to_numpy()
-        away = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T, 0.0)) - 1e-6
-        open_ = away <= radius[None] + reach
-        if later:
-            open_ &= np.arange(len(pivots))[None] > home[:, None]
-        i, to = np.nonzero(open_)
-        at = pa.array(i)
-        yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), *[batch[c].take(at) for c in ("pivot", "chunk", "id", "v")]], ["to", "pivot", "chunk", "id", "v"])
+def _open(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """Which lists may hold a vector within reach of each row."""
+    away = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T, 0.0)) - 1e-6
+    return away <= radius[None] + reach
 
 
-def _products(batches: Iterator[pa.RecordBatch], dims: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, similarity) of a block of visitors and a block of a list over the threshold; with a null a, how many were compared."""
+def _visit(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.ndarray, reach: float, member: np.ndarray, later: bool) -> Iterator[pa.RecordBatch]:
+    """Each vector once for every group of lists that may hold one within reach of it; with later, of the groups after its own."""
     for batch in batches:
-        for own, left, right in zip(batch["same"].to_pylist(), batch["visitors"], batch["rows"]):
-            one, two = left.values, left.values if own else right.values
-            ia, ib = one.field("id").to_numpy(), two.field("id").to_numpy()
-            s = _rows(one.field("v"), dims) @ _rows(two.field("v"), dims).T
-            i, j = np.nonzero(s >= threshold)
-            if own:
-                i, j = i[ia[i] < ib[j]], j[ia[i] < ib[j]]
-            compared = len(ia) * (len(ia) - 1) // 2 if own else s.size
-            yield pa.RecordBatch.from_arrays([pa.array([*ia[i].tolist(), None], pa.int64()), pa.array([*ib[j].tolist(), compared], pa.int64()), pa.array([*s[i, j].tolist(), 0.0])], ["a", "b", "similarity"])
+        x, home, own = _rows(batch["v"], pivots.shape[1]), batch["pivot"].to_numpy(), batch["x"].to_numpy()
+        open_ = _open(x, pivots, radius, reach)
+        if later:
+            open_ &= np.arange(len(pivots))[None] >= home[:, None]
+        to = open_.astype(np.float32) @ member.T.astype(np.float32) > 0
+        if later:
+            to &= np.arange(len(member))[None] > own[:, None]
+        i, y = np.nonzero(to)
+        at = pa.array(i)
+        yield pa.RecordBatch.from_arrays([batch["x"].take(at), pa.array(y.astype(np.int32)), pa.array(np.zeros(len(i), np.int32)), *[batch[c].take(at) for c in ("pivot", "id", "v")]], ["x", "y", "side", "pivot", "id", "v"])
+
+
+def _pairs(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, own: bool, threshold: float) -> pa.RecordBatch:
+    """Pairs (a, b, similarity) over the threshold, and with a null a how many were compared; of a list with itself those in the order of ids."""
+    s = a @ b.T
+    i, j = np.nonzero(s >= threshold)
+    compared = s.size
+    if own:
+        i, j = i[ia[i] < ib[j]], j[ia[i] < ib[j]]
+        compared = int((ia[:, None] < ib[None]).sum())
+    last = np.zeros(len(i) + 1, bool)
+    last[-1] = True
+    return pa.RecordBatch.from_arrays([pa.array(np.append(ia[i], 0), pa.int64(), mask=last), pa.array(np.append(ib[j], compared), pa.int64()), pa.array(np.append(s[i, j], 0.0))], ["a", "b", "similarity"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, radius: np.ndarray, reach: float, threshold: float, same: bool) -> Iterator[pa.RecordBatch]:
+    """Visitors (side 0) against the lists of one group (side 1), block by block; of one table with itself each pair once."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    if not rows.num_rows:
+        return
+    within = same and rows["x"][0].as_py() == rows["y"][0].as_py()
+    side, pivot, ids = (rows[c].combine_chunks().to_numpy() for c in ("side", "pivot", "id"))
+    v = _rows(rows["v"].combine_chunks(), pivots.shape[1])
+    ours, theirs = (np.arange(len(ids)), np.arange(len(ids))) if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    ours, theirs = ours[np.lexsort((ids[ours], pivot[ours]))], theirs[np.lexsort((ids[theirs], pivot[theirs]))]
+    lists = np.unique(pivot[theirs])
+    begin, end = np.searchsorted(pivot[theirs], lists), np.searchsorted(pivot[theirs], lists, "right")
+    for start in range(0, len(ours), BLOCK):
+        block = ours[start : start + BLOCK]
+        open_ = _open(v[block], pivots[lists], radius[lists], reach)
+        if same:
+            open_ &= pivot[block][:, None] < lists[None]
+            open_ |= pivot[block][:, None] == lists[None]
+        if open_.mean() > 0.5:  # bounds rule out little: whole blocks are one product each, of a group with itself those from this block on
+            for low in range(start if within else 0, len(theirs), BLOCK):
+                there = theirs[low : low + BLOCK]
+                yield _pairs(ids[block], v[block], ids[there], v[there], within and low == start, threshold)
+            continue
+        for k in np.flatnonzero(open_.any(0)):
+            come = block[open_[:, k]]
+            home = pivot[come] == lists[k]
+            for low in range(begin[k], end[k], BLOCK):
+                there = theirs[low : min(end[k], low + BLOCK)]
+                # within a group a list meets itself in the order of ids; else its parts lie in two groups
+                for some, own in ((come[~home], False), (come[home], within)) if same else ((come, False),):
+                    if len(some):
+                        yield _pairs(ids[some], v[some], ids[there], v[there], own, threshold)
 
 
 @dataclass
@@ -115,30 +158,52 @@ class Pivots:
 
         A visitor goes to the lists whose radius, stretched by the distance that the
         threshold allows, reaches it: d(x, y) >= d(x, pivot) - d(y, pivot) proves that the
-        others hold nothing. Lists and visitors meet in blocks of bounded size.
+        others hold nothing. Neighbouring lists lie in groups, and a vector is sent once to a
+        group, however many of its lists are open: GROUPS times at most, until a group's
+        vectors would fill GROUP_BYTES. From there groups keep that size and grow in number.
         """
+        dims, count = self.pivots.shape[1], len(self.pivots)
         sizes = {r["pivot"]: r for r in listed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("distance").alias("r")).collect()}  # a row a pivot
-        count = len(self.pivots)
         radius = np.array([sizes[k]["r"] if k in sizes else -np.inf for k in range(count)])
-        blocks = F.array(*[F.lit(-(-sizes[k]["n"] // BLOCK) if k in sizes else 0) for k in range(count)])
-        chunk = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), F.greatest(n, F.lit(1))).cast("int")  # noqa: E731  also asked of rows that a join drops later
-        packed = F.collect_list(F.struct("id", "v"))
-        lists = listed.withColumn("block", chunk(blocks[F.col("pivot")])).groupBy(F.col("pivot").alias("to"), "block").agg(packed.alias("rows"))
-        reach = math.sqrt(max(0.0, 2 - 2 * self.threshold)) + 1e-9
-        per = visitors.count() // BLOCK + 1  # no more chunks than blocks of visitors, so no pack is larger than a block, about
-        visits = visitors.withColumn("chunk", chunk(F.lit(per)) if not same else chunk(blocks[F.col("pivot")]))
-        visits = visits.mapInArrow(partial(_visit, pivots=self.pivots, radius=radius, reach=reach, later=same), "to int, pivot int, chunk int, id long, v binary")
-        keys = ["to", "pivot", "chunk"] if same else ["to", "chunk"]
-        packs = visits.groupBy(*keys).agg(packed.alias("visitors"))
-        each = packs.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("to")] - 1))).select("to", "block", "visitors")
-        tiles = each.hint("merge").join(lists, ["to", "block"]).select(F.lit(False).alias("same"), "visitors", "rows")
+        held = [sizes[k]["n"] if k in sizes else 0 for k in range(count)]
+        size = lambda n: max(1, min(max(BLOCK // 8, -(-n // GROUPS)), max(BLOCK, GROUP_BYTES // (8 * dims))))  # noqa: E731  rows of a group
+        most = size(sum(held))
+        chunks = [max(1, -(-n // most)) for n in held]
+        starts, groups, filled = [], 0, 0
+        for n, parts in zip(held, chunks):  # lists in turn fill groups; one that is too long for a group has groups of its own
+            if filled and filled + n > most:
+                groups, filled = groups + 1, 0
+            starts.append(groups)
+            groups, filled = (groups + parts, 0) if parts > 1 else (groups, filled + n)
+        groups += 1
+        member = np.zeros((groups, count), bool)
+        for k, (at, parts) in enumerate(zip(starts, chunks)):
+            member[at : at + parts, k] = held[k] > 0
+        number = lambda values: F.array(*[F.lit(x) for x in values])[F.col("pivot")]
+        chunk = lambda n: F.pmod(F.xxhash64(F.lit(3), "id"), n).cast("int")
+        grouped = listed.withColumn("y", number(starts) + chunk(number(chunks)))
         if same:
-            inner = lists.select("to", F.col("block").alias("chunk"), F.col("rows").alias("visitors")).withColumn("block", F.explode(F.sequence(F.col("chunk"), blocks[F.col("to")] - 1)))
-            none = F.array().cast(lists.schema["rows"].dataType)
-            tiles = tiles.union(inner.where("block = chunk").select(F.lit(True), "visitors", none)).union(
-                inner.where("block > chunk").hint("merge").join(lists, ["to", "block"]).select(F.lit(False), "visitors", "rows")
-            )
-        return tiles.mapInArrow(partial(_products, dims=self.pivots.shape[1], threshold=self.threshold), "a long, b long, similarity double")
+            ours = grouped.withColumnRenamed("y", "x")
+            across = F.sequence(F.lit(0), F.col("y"))
+        else:
+            n = visitors.count()
+            parts = -(-n // size(n)) if n else 1
+            ours = visitors.withColumn("x", chunk(F.lit(parts)))
+            across = F.sequence(F.lit(0), F.lit(parts - 1))
+        columns = ["x", "y", "side", "pivot", "id", "v"]
+        sent = ours.select("x", "pivot", "id", "v").mapInArrow(partial(_visit, pivots=self.pivots, radius=radius, reach=_reach(self.threshold), member=member, later=same), "x int, y int, side int, pivot int, id long, v binary")
+        stay = grouped.withColumn("x", F.explode(across)).withColumn("side", F.lit(1)).select(*columns)
+        pivots, reach, threshold = self.pivots, _reach(self.threshold), self.threshold
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return _meet(batches, pivots, radius, reach, threshold, same)
+
+        return sent.union(stay).groupBy("x", "y").applyInArrow(meet, "a long, b long, similarity double")
+
+
+def _reach(threshold: float) -> float:
+    """The distance of unit vectors whose cosine is the threshold."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
 
 @dataclass
@@ -208,3 +273,25 @@ class SimilarityGraph:
         """Links of a few entries; only their part of the files is read."""
         return self.edges().where(F.col("source_id").isin(ids))
 
+
+
+def links_of(seeds: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """(source_id, target_id, similarity) of the links of a few seeds(entry_id): their vectors meet all others in one pass, no graph is built."""
+    rows = usable_vectors(entries)
+    asked = rows.join(F.broadcast(seeds.select(F.col("entry_id").alias("id")).distinct()), "id", "left_semi").collect()  # a row a seed
+    ids = np.array([r["id"] for r in asked], np.int64)
+    units = [np.array(r["embedding"], np.float64) for r in asked]
+    units = [x / np.linalg.norm(x) for x in units]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not units:
+                continue
+            lists, targets = batch["embedding"], batch["id"].to_numpy()
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            s = np.stack(units) @ x.T
+            i, j = np.nonzero((s >= threshold) & (ids[:, None] != targets[None]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(targets[j]), pa.array(s[i, j])], ["source_id", "target_id", "similarity"])
+
+    return rows.select("id", "embedding").mapInArrow(meet, "source_id long, target_id long, similarity double")
