@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from attestry.functions import vectors as vx
 from attestry.operators.governance import governed_entries
 
+#: Ids that are sent whole to each task (some 50 bytes each) rather than edges to ids.
+FEW_IDS = 2_000_000
+
 
 def nodes(entries: DataFrame) -> DataFrame:
     """Governed entries as graph nodes; of several with one profile and memory the last id stands for all."""
@@ -86,6 +89,10 @@ def serve(edges: DataFrame, entries: DataFrame, profile: str | None = None, edge
     ids = kept.select("id")
     order = [F.desc("similarity"), F.asc("source_id"), F.asc("target_id")]
     rows = edges.where("source_id < target_id")
+    if profile is None and edge_limit is not None and not cut_first:
+        best = _best_kept(rows, ids, order, edge_limit)
+        if best is not None:
+            return best
     if cut_first and edge_limit is not None:
         rows = rows.orderBy(*order).limit(edge_limit)
     rows = rows.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
@@ -94,6 +101,21 @@ def serve(edges: DataFrame, entries: DataFrame, profile: str | None = None, edge
     return rows.select("source_id", "target_id", "similarity")
 
 
+def _best_kept(edges: DataFrame, ids: DataFrame, order: list, limit: int, most: int = 10_000) -> DataFrame | None:
+    """The first limit edges by order between ids, looked for among the first few; None where more than most of them would be needed."""
+    taken = max(4 * limit, 1)
+    while taken <= most:
+        rows = edges.select("source_id", "target_id", "similarity").orderBy(*order).limit(taken)
+        top = edges.sparkSession.createDataFrame(rows.collect(), rows.schema)  # at most most rows
+        ends = top.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+        known = F.broadcast(ids.join(F.broadcast(ends), "id", "left_semi"))
+        kept = top.join(known.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(known.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+        if top.count() < taken or kept.count() >= limit:
+            return kept.select("source_id", "target_id", "similarity").orderBy(*order).limit(limit)
+        taken *= 10
+    return None
+
+
 def diagnostics(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return nodes(entries).agg(F.count("*").alias("nodes")).crossJoin(edges.where("source_id < target_id").agg(F.count("*").alias("edges")))
 
@@ -107,6 +129,8 @@ def temporal_edges(pairs: DataFrame, left_profile: str = "left_profile", right_p
 def filter_by_events(edges: DataFrame, events: DataFrame) -> DataFrame:
     """Edges whose two ends are both among the events(id) that a view shows."""
     ids = events.select("id").distinct()
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
     return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*edges.columns)
 
 
