@@ -39,6 +39,7 @@ CUES = (
     "probably", "possibly", "perhaps", "likely", "may", "might", "could",
 )
 _CUES = re.compile(rf"\b(?:{'|'.join(CUES)})\b", re.I)
+_PATTERNS = tuple((p, re.compile(x, re.I), c) for p, x, c in PREDICATES)
 _MENTION = "array<struct<mention_text:string,entity_type:string,confidence:double>>"
 _RELATION = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
 
@@ -74,7 +75,6 @@ def find_relationships(text: str | None, names: list[str] | None) -> list[tuple[
         return []
     names = sorted({" ".join(n.strip(" .,;:!?").split()) for n in names} - {""})
     spans = {n: [m.span() for m in re.finditer(rf"(?<!\w){re.escape(n)}(?!\w)", text, re.I)] for n in names}
-    patterns = [(p, re.compile(x, re.I), c) for p, x, c in PREDICATES]
     out = set()
     for subject in names:
         for a, end in spans[subject]:
@@ -88,50 +88,110 @@ def find_relationships(text: str | None, names: list[str] | None) -> list[tuple[
                     between = text[end:b] if b > end else ""
                     if not between or re.search(r"[.!?;]", between):
                         continue
-                    for predicate, pattern, confidence in patterns:
+                    for predicate, pattern, confidence in _PATTERNS:
                         m = pattern.search(between)
                         if m and len(between[: m.start()].split()) <= 4 and len(between[m.end() :].split()) <= 4:
                             out.add((subject, predicate, other, confidence))
     return sorted(out, key=lambda x: (x[0].casefold(), x[1], x[2].casefold()))
 
 
+_MENTION_ARROW = pa.list_(pa.struct([("mention_text", pa.string()), ("entity_type", pa.string()), ("confidence", pa.float64())]))
+_RELATION_ARROW = pa.list_(pa.struct([("subject", pa.string()), ("predicate", pa.string()), ("object", pa.string()), ("confidence", pa.float64())]))
+
+
+# these functions are marked as not deterministic only so that no filter inferred from explode() runs them once more below a join
+
+
+def _mentioned(found: list[tuple]) -> list[dict]:
+    return [dict(zip(("mention_text", "entity_type", "confidence"), m)) for m in found]
+
+
+def _related(found: list[tuple]) -> list[dict]:
+    return [dict(zip(("subject", "predicate", "object", "confidence"), r)) for r in found]
+
+
 def mention_column(text: Column, technologies: tuple[str, ...] = TECHNOLOGIES) -> Column:
-    kind = pa.list_(pa.struct([("mention_text", pa.string()), ("entity_type", pa.string()), ("confidence", pa.float64())]))
+    """find_mentions() of a column; a text that comes again in a batch is read once."""
 
     @F.arrow_udf(_MENTION)
     def mentions(values: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("mention_text", "entity_type", "confidence"), m)) for m in find_mentions(t, technologies)] for t in values.to_pylist()], kind)
+        each = values.dictionary_encode("encode")
+        return pa.array([_mentioned(find_mentions(t, technologies)) for t in each.dictionary.to_pylist()], _MENTION_ARROW).take(each.indices)
 
-    return mentions(text)
+    return mentions.asNondeterministic()(text)
 
 
 def relationship_column(text: Column, names: Column) -> Column:
-    kind = pa.list_(pa.struct([("subject", pa.string()), ("predicate", pa.string()), ("object", pa.string()), ("confidence", pa.float64())]))
-
     @F.arrow_udf(_RELATION)
     def relations(values: pa.Array, lists: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("subject", "predicate", "object", "confidence"), r)) for r in find_relationships(t, n)] for t, n in zip(values.to_pylist(), lists.to_pylist())], kind)
+        return pa.array([_related(find_relationships(t, n)) for t, n in zip(values.to_pylist(), lists.to_pylist())], _RELATION_ARROW)
+
+    return relations.asNondeterministic()(text, names)
+
+
+def reading_column(text: Column, technologies: tuple[str, ...] = TECHNOLOGIES) -> Column:
+    """(mentions, relations) of a text, the relations those between its own mentions; a text that comes again in a batch is read once."""
+
+    @F.arrow_udf(f"struct<mentions:{_MENTION},relations:{_RELATION}>")
+    def read(values: pa.Array) -> pa.Array:
+        each = values.dictionary_encode("encode")
+        texts = each.dictionary.to_pylist()
+        found = [find_mentions(t, technologies) for t in texts]
+        said = [find_relationships(t, [m[0] for m in f]) for t, f in zip(texts, found)]
+        columns = [pa.array(map(_mentioned, found), _MENTION_ARROW), pa.array(map(_related, said), _RELATION_ARROW)]
+        return pa.StructArray.from_arrays(columns, ["mentions", "relations"]).take(each.indices)
 
-    return relations(text, names)
+    return read.asNondeterministic()(text)
 
 
-def extract_mentions(entries: DataFrame, memories: DataFrame, technologies: tuple[str, ...] = TECHNOLOGIES) -> DataFrame:
-    """Mentions of governed entries with name-based ids."""
+def few(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """rows for a join: broadcast where they were counted to be few, else shuffled."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def read_texts(entries: DataFrame, memories: DataFrame, technologies: tuple[str, ...] = TECHNOLOGIES) -> DataFrame:
+    """One row a governed entry and text of its memory, with the mentions and the relations of that text."""
     rows = governed_entries(entries).join(memories.select("source_profile", "origin_memory_id", "content"), ["source_profile", "origin_memory_id"])
-    each = rows.select(F.col("id").alias("collective_entry_id"), "source_profile", F.col("origin_memory_id").alias("source_memory_id"), F.explode(mention_column(F.col("content"), technologies)).alias("m"))
+    read = reading_column(F.col("content"), technologies).alias("read")
+    return rows.select(F.col("id").alias("collective_entry_id"), "source_profile", F.col("origin_memory_id").alias("source_memory_id"), read).select("collective_entry_id", "source_profile", "source_memory_id", "read.*")
+
+
+def _with_ids(each: DataFrame) -> DataFrame:
+    """Mentions with name-based ids."""
     out = each.select("collective_entry_id", "source_profile", "source_memory_id", "m.*", F.lit(METHOD).alias("extraction_method"))
     key = F.concat_ws("|", F.col("collective_entry_id").cast("string"), "source_memory_id", "source_profile", "mention_text", "entity_type", "extraction_method")
     return out.withColumn("mention_id", tx.uuid5(NAMESPACE, key))
 
 
-def resolve(mentions: DataFrame, entities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One decision a mention by (type, normalized name): one active entity same_entity 1, several ambiguous 0, none new_entity 1; decided mentions keep theirs."""
-    keys = entities.where("status = 'active'").groupBy("entity_type", tx.entity_key(F.col("canonical_name")).alias("key")).agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
+def extract_mentions(entries: DataFrame, memories: DataFrame, technologies: tuple[str, ...] = TECHNOLOGIES, read: DataFrame | None = None) -> DataFrame:
+    """Mentions of governed entries with name-based ids; from read, where read_texts() of them was kept."""
+    if read is None:
+        rows = governed_entries(entries).join(memories.select("source_profile", "origin_memory_id", "content"), ["source_profile", "origin_memory_id"])
+        read = rows.select(F.col("id").alias("collective_entry_id"), "source_profile", F.col("origin_memory_id").alias("source_memory_id"), mention_column(F.col("content"), technologies).alias("mentions"))
+    return _with_ids(read.select("collective_entry_id", "source_profile", "source_memory_id", F.explode("mentions").alias("m")))
+
+
+def entity_keys(entities: DataFrame) -> DataFrame:
+    """(entity_type, key) of active entities, how many have it and the smallest."""
+    return entities.where("status = 'active'").groupBy("entity_type", tx.entity_key(F.col("canonical_name")).alias("key")).agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
+
+
+def _decided(mentions: DataFrame, keys: DataFrame) -> DataFrame:
     rows = mentions.withColumn("key", tx.entity_key(F.col("mention_text"))).join(keys, ["entity_type", "key"], "left")
     decision = F.when(F.col("n") == 1, "same_entity").when(F.col("n") > 1, "ambiguous").otherwise("new_entity")
-    out = rows.select(
+    return rows.select(
         "mention_id", F.when(F.col("n") == 1, F.col("entity_id")).alias("proposed_entity_id"), decision.alias("decision"), F.when(F.col("n") > 1, 0.0).otherwise(1.0).alias("confidence"), F.lit("exact_normalized_name").alias("method")
     )
+
+
+def _settled(mentions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Mentions with the one entity of their name, told by the name and not by a join of ids."""
+    return mentions.withColumn("key", tx.entity_key(F.col("mention_text"))).join(keys.where("n = 1").drop("n"), ["entity_type", "key"]).drop("key")
+
+
+def resolve(mentions: DataFrame, entities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One decision a mention by (type, normalized name): one active entity same_entity 1, several ambiguous 0, none new_entity 1; decided mentions keep theirs."""
+    out = _decided(mentions, entity_keys(entities))
     if existing is None:
         return out
     return out.join(existing.select("mention_id"), "mention_id", "left_anti").union(existing.select(*out.columns))
@@ -145,11 +205,19 @@ def bootstrap(mentions: DataFrame) -> DataFrame:
     return first.select(entity_id.alias("entity_id"), F.col("f.mention_text").alias("canonical_name"), "entity_type", F.lit("active").alias("status"), F.col("f.mention_id").alias("first_mention_id"), "mention_count")
 
 
+#: What tells two rows of evidence apart.
+EVIDENCE_KEY = ["entity_id", "collective_entry_id", "source_memory_id", "source_profile", "original_mention", "method"]
+TOLD_KEY = ["relationship_id", "collective_entry_id", "source_memory_id", "source_profile", "evidence_reference", "method"]
+
+
 def entity_evidence(mentions: DataFrame, resolutions: DataFrame) -> DataFrame:
     """One row per settled (entity, entry, memory, profile, mention, method); never content."""
     settled = resolutions.where("decision = 'same_entity'").select("mention_id", F.col("proposed_entity_id").alias("entity_id"))
-    rows = mentions.join(settled, "mention_id").select("entity_id", "collective_entry_id", "source_memory_id", "source_profile", F.col("mention_text").alias("original_mention"), F.col("extraction_method").alias("method"), "confidence")
-    return rows.dropDuplicates(["entity_id", "collective_entry_id", "source_memory_id", "source_profile", "original_mention", "method"])
+    return _evidence(mentions.join(settled, "mention_id")).dropDuplicates(EVIDENCE_KEY)
+
+
+def _evidence(settled: DataFrame) -> DataFrame:
+    return settled.select("entity_id", "collective_entry_id", "source_memory_id", "source_profile", F.col("mention_text").alias("original_mention"), F.col("extraction_method").alias("method"), "confidence")
 
 
 def extract_relationships(entries: DataFrame, memories: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -160,19 +228,71 @@ def extract_relationships(entries: DataFrame, memories: DataFrame, mentions: Dat
     return each.select("collective_entry_id", "source_profile", "source_memory_id", "r.*").withColumn("relationship_kind", F.lit("explicit"))
 
 
+def several_texts(entries: DataFrame, memories: DataFrame) -> DataFrame:
+    """(collective_entry_id) of governed entries that come in several rows or whose memory does, by keys alone."""
+    own = governed_entries(entries).select(F.col("id").alias("collective_entry_id"), "source_profile", "origin_memory_id")
+    rows = own.groupBy("collective_entry_id").agg(F.count("*").alias("n")).where("n > 1").select("collective_entry_id")
+    keys = memories.groupBy("source_profile", "origin_memory_id").agg(F.count("*").alias("n")).where("n > 1").select("source_profile", "origin_memory_id")
+    return rows.union(own.join(few(keys), ["source_profile", "origin_memory_id"], "left_semi").select("collective_entry_id")).distinct()
+
+
+def _spread(read: DataFrame) -> DataFrame:
+    each = read.select("collective_entry_id", "source_profile", "source_memory_id", F.explode("relations").alias("r"))
+    return each.select("collective_entry_id", "source_profile", "source_memory_id", "r.*").withColumn("relationship_kind", F.lit("explicit"))
+
+
+def said_in_texts(entries: DataFrame, memories: DataFrame, technologies: tuple[str, ...] = TECHNOLOGIES) -> DataFrame:
+    """extract_relationships() between the mentions that extract_mentions() finds, in one pass over the texts.
+
+    An entry with one text has the names of that text, so they are found and related at once;
+    only the texts of other entries are sent to the names of all of them.
+    """
+    many = several_texts(entries, memories)
+    if many.isEmpty():
+        return _spread(read_texts(entries, memories, technologies))
+    many = few(many)
+    one, other = (entries.join(many.withColumnRenamed("collective_entry_id", "id"), "id", how) for how in ("left_anti", "left_semi"))
+    crowd = extract_relationships(other, memories, extract_mentions(other, memories, technologies))
+    return _spread(read_texts(one, memories, technologies)).unionByName(crowd)
+
+
 def record_relationships(found: DataFrame, mentions: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(relationships, relationship_evidence): both ends must be settled as one entity; ids are by name, so recording again changes nothing."""
+    rows = _between(found, mentions, resolutions)
+    return _relationships(rows), _told(rows).dropDuplicates(TOLD_KEY)
+
+
+def _between(found: DataFrame, mentions: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """found with the settled entities of both ends."""
     settled = mentions.join(resolutions.where("decision = 'same_entity'").select("mention_id", "proposed_entity_id"), "mention_id").select(
         "collective_entry_id", F.lower("mention_text").alias("k"), F.col("proposed_entity_id").alias("e")
     ).distinct()
     s = settled.select("collective_entry_id", F.col("k").alias("sk"), F.col("e").alias("subject_entity_id"))
     o = settled.select("collective_entry_id", F.col("k").alias("ok"), F.col("e").alias("object_entity_id"))
     rows = found.withColumns({"sk": F.lower("subject"), "ok": F.lower("object")}).join(s, ["collective_entry_id", "sk"]).join(o, ["collective_entry_id", "ok"])
+    return _identified(rows.drop("sk", "ok"))
+
+
+def _named(read: DataFrame, keys: DataFrame) -> DataFrame:
+    """_between() of entries with one text: both ends are mentions of their own row."""
+    rows = read.select("collective_entry_id", "source_profile", "source_memory_id", "mentions", F.explode("relations").alias("r")).select("*", "r.*").drop("r").withColumn("relationship_kind", F.lit("explicit"))
+    for end in ("subject", "object"):
+        rows = rows.withColumn("m", F.explode(F.expr(f"filter(mentions, x -> lower(x.mention_text) = lower({end}))")))
+        rows = rows.withColumns({"entity_type": F.col("m.entity_type"), "key": tx.entity_key(F.col("m.mention_text"))}).join(keys.where("n = 1").select("entity_type", "key", F.col("entity_id").alias(f"{end}_entity_id")), ["entity_type", "key"]).drop("m", "entity_type", "key")
+    return _identified(rows.drop("mentions"))
+
+
+def _identified(rows: DataFrame) -> DataFrame:
     key = F.concat_ws("|", F.lit("relationship"), "subject_entity_id", "predicate", "object_entity_id", "relationship_kind")
-    rows = rows.withColumn("relationship_id", tx.uuid5(NAMESPACE, key))
-    relationships = rows.groupBy("relationship_id", "subject_entity_id", "predicate", "object_entity_id", "relationship_kind").agg(F.max("confidence").alias("confidence")).withColumn("status", F.lit("active"))
-    evidence = rows.select("relationship_id", "collective_entry_id", "source_memory_id", "source_profile", F.concat_ws(" ", "subject", "predicate", "object").alias("evidence_reference"), F.lit(METHOD).alias("method"), "confidence")
-    return relationships, evidence.dropDuplicates(["relationship_id", "collective_entry_id", "source_memory_id", "source_profile", "evidence_reference", "method"])
+    return rows.withColumn("relationship_id", tx.uuid5(NAMESPACE, key))
+
+
+def _relationships(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("relationship_id", "subject_entity_id", "predicate", "object_entity_id", "relationship_kind").agg(F.max("confidence").alias("confidence")).withColumn("status", F.lit("active"))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("relationship_id", "collective_entry_id", "source_memory_id", "source_profile", F.concat_ws(" ", "subject", "predicate", "object").alias("evidence_reference"), F.lit(METHOD).alias("method"), "confidence")
 
 
 def rebuild(entries: DataFrame, memories: DataFrame, technologies: tuple[str, ...] = TECHNOLOGIES) -> dict[str, DataFrame]:
@@ -205,24 +325,42 @@ def rebuild_into(store: Store, entries: DataFrame, memories: DataFrame, technolo
     report is one row of counts; an entry with mixed sources fails and has no relations.
     """
     change = store.begin()
+    own, most = ["collective_entry_id", "source_profile", "source_memory_id"], 1_000_000
     with arrow_batches(store.spark):
-        mentions = change.replace("mentions", extract_mentions(entries, memories, technologies))
+        read = change.replace("read", read_texts(entries, memories, technologies))
+        mentions = change.replace("mentions", extract_mentions(entries, memories, technologies, read))
         entities = change.replace("entities", bootstrap(mentions))
-        resolutions = change.replace("resolutions", resolve(mentions, entities))
-        evidence = change.replace("entity_evidence", entity_evidence(mentions, resolutions))
-        failures = change.replace("failures", mixed_sources(mentions))
-        sound = mentions.join(failures, "collective_entry_id", "left_anti")
-        said = change.replace("said", extract_relationships(entries, memories, sound))
-        relationships, told = record_relationships(said, sound, resolutions)
-        relationships, told = change.replace("relationships", relationships), change.replace("relationship_evidence", told)
+        keys = few(entity_keys(entities))
+        resolutions = change.replace("resolutions", _decided(mentions, keys))
+        # an entry with one text has each mention and relation once: only rows of the others are marked, and sent to be told apart
+        several = change.replace("several", read.groupBy("collective_entry_id").agg(F.count("*").alias("n")).where("n > 1").select("collective_entry_id"))
+        marked = read.join(few(several.withColumn("many", F.lit(True)), most), "collective_entry_id", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+        if several.count() > most:
+            marked = change.replace("marked", marked)
+        settled = _settled(marked.select(*own, "many", F.explode("mentions").alias("m")).select(*own, "many", "m.*", F.lit(METHOD).alias("extraction_method")), keys)
+        evidence = change.replace("entity_evidence", _evidence(settled.where("not many")).unionByName(_evidence(settled.where("many")).dropDuplicates(EVIDENCE_KEY)))
+        failures = change.replace("failures", mixed_sources(marked.where("many and size(mentions) > 0")))
+        sound = marked.where("many").join(few(failures.select("collective_entry_id"), most), "collective_entry_id", "left_anti")
+        sound = change.replace("sound", _with_ids(sound.select(*own, F.explode("mentions").alias("m"))))
+        rows, said = _named(marked.where("not many"), keys).withColumn("many", F.lit(False)), read.where(F.size("relations") > 0).join(few(several, most), "collective_entry_id", "left_anti").agg(F.coalesce(F.sum(F.size("relations")), F.lit(0)))
+        others = None
+        if not sound.isEmpty():
+            ids = few(sound.select(F.col("collective_entry_id").alias("id")).distinct(), most)
+            others = change.replace("others", extract_relationships(entries.join(ids, "id", "left_semi"), memories, sound))
+            rows = rows.unionByName(_between(others, sound, _decided(sound, keys)).withColumn("many", F.lit(True)))
+        rows = change.replace("related", rows)
+        relationships = change.replace("relationships", _relationships(rows))
+        told = change.replace("relationship_evidence", _told(rows.where("not many")).unionByName(_told(rows.where("many")).dropDuplicates(TOLD_KEY)))
     counts = {
         "entries": governed_entries(entries).agg(F.count("*")), "mentions": mentions.agg(F.count("*")), "entities": entities.agg(F.count("*")), "resolutions": resolutions.agg(F.count("*")),
-        "ambiguous": resolutions.agg(F.count_if(F.col("decision") == "ambiguous")), "entity_evidence": evidence.agg(F.count("*")), "said": said.agg(F.count("*")),
+        "ambiguous": resolutions.agg(F.count_if(F.col("decision") == "ambiguous")), "entity_evidence": evidence.agg(F.count("*")), "said": said,
         "relationships": relationships.agg(F.count("*")), "relationship_evidence": told.agg(F.count("*")), "failed": failures.agg(F.count("*")),
     }
     row = {k: df.first()[0] for k, df in counts.items()}
+    row["said"] += others.count() if others is not None else 0
     change.replace("report", store.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row)))
-    change.tables.pop("said")
+    for name in ("read", "several", "marked", "sound", "others", "related"):
+        change.tables.pop(name, None)
     return change.commit(rebuilt=row["entries"])
 
 

@@ -280,8 +280,7 @@ RELATIONS = """(VALUES (0, 'Blue Harbor', 'uses', 'Python'), (0, 'Git', 'depends
 
 @query(f"SELECT o_orderkey AS collective_entry_id, t.a AS subject, t.b AS predicate, t.c AS object FROM orders, {RELATIONS} WHERE o_orderkey % 3 = t.k")
 def relationship_extract(spark, base):
-    e, m = _said(spark, base)
-    return en.extract_relationships(e, m, en.extract_mentions(e, m)).select("collective_entry_id", "subject", "predicate", "object")
+    return en.said_in_texts(*_said(spark, base)).select("collective_entry_id", "subject", "predicate", "object")
 
 
 @query(f"SELECT t.b AS predicate, count(*) AS evidence FROM orders, {RELATIONS} WHERE o_orderkey % 3 = t.k GROUP BY 1")
