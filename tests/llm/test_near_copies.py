@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from attestry.llm import near_copies, simhash
@@ -125,3 +126,42 @@ def test_sample_passes_over_what_does_not_fit(spark):
     docs = spark.createDataFrame([(i, "x" * (50_000 if i == 3 else 10)) for i in range(20)], SCHEMA)
     got = sample_rows(docs, docs.select(docs["doc_id"].alias("__id")), "doc_id", "text", most_bytes=1000)
     assert sorted(got["__id"]) == [i for i in range(20) if i != 3]
+
+
+def connected(n, links):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_family_gives_links_not_pairs():
+    """Texts 0.6 to 1 alike: fewer links than texts, connecting what all pairs connect, also from chunk to chunk."""
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[: 100 - k] + [f"x{i}_{k}" for k in range(k)]) for i, k in enumerate((0, 1, 1, 2, 3, 8, 8, 15, 15, 25, 25, 40))]
+    sets = [np.unique(near_copies.runs(near_copies.word_hashes(t.encode()), 5)).view(np.int64) for t in texts]
+    rows = pd.DataFrame({"fam": 1, "low": 0, "high": 0, "chunk": 0, "c": range(len(texts)), "marks": sets})
+    links = near_copies.family_links(rows, 80)
+    want = slow_near_groups(texts)
+    assert connected(len(texts), links.to_numpy().tolist()) == want and len(links) == len(texts) - len(set(want))
+    rows["chunk"] = rows["c"] % 3
+    cells = [rows[rows["chunk"].isin((x, y))].assign(low=x, high=y) for x in range(3) for y in range(x, 3)]
+    assert connected(len(texts), near_copies.family_links(pd.concat(cells), 80).to_numpy().tolist()) == want
+
+
+def test_bucket_of_many_near_codes_gives_few_links():
+    rng, n = np.random.default_rng(3), 300
+    first = np.uint64(0xABCD) ^ (np.uint64(1) << rng.integers(16, 64, n, dtype=np.uint64))
+    bucket = pd.DataFrame({"tab": 0, "block": 0, "part": 0xABCD, "first": first.view(np.int64), "second": 0, "c": np.arange(n), "cell": 0})
+    got = pd.concat(near_copies.search_pairs(iter([bucket]), [0xFFFF, 0, 0, 0], 1))[["a", "b"]]
+    assert len(got) <= 2 * n and connected(n, got.to_numpy().tolist()) == [0] * n
+
+
+def test_large_families_and_buckets_are_cut_into_chunks(spark):
+    rows = edited(seed=5, n=90)
+    keyed = materialize(spark.createDataFrame(rows, SCHEMA).selectExpr("text as t", "doc_id as __r1", "doc_id as __r2"))
+    code = near_copies.code_column(keyed["t"], 8, None).alias("p")
+    classes = materialize(keyed.select("__r1", code).selectExpr("__r1 as c", "__r1 as r1", "__r1 as r2", "p.code"))
+    found = {r["c"]: r["grp"] for r in near_copies.link_texts(keyed, classes, "t", crowded=3, most_texts=3).collect()}
+    assert [found.get(i, i) for i in range(len(rows))] == slow_near_groups([t for _, t in rows])
