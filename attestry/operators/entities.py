@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
 from attestry.operators.governance import governed_entries
-from attestry.sources.store import Store, arrow_batches
+from attestry.sources.store import Store, arrow_batches, few
 
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 METHOD = "deterministic-v1"
@@ -144,11 +144,6 @@ def reading_column(text: Column, technologies: tuple[str, ...] = TECHNOLOGIES) -
     return read.asNondeterministic()(text)
 
 
-def few(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """rows for a join: broadcast where they were counted to be few, else shuffled."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def read_texts(entries: DataFrame, memories: DataFrame, technologies: tuple[str, ...] = TECHNOLOGIES) -> DataFrame:
     """One row a governed entry and text of its memory, with the mentions and the relations of that text."""
     rows = governed_entries(entries).join(memories.select("source_profile", "origin_memory_id", "content"), ["source_profile", "origin_memory_id"])
