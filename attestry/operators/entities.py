@@ -151,10 +151,19 @@ def read_texts(entries: DataFrame, memories: DataFrame, technologies: tuple[str,
     return rows.select(F.col("id").alias("collective_entry_id"), "source_profile", F.col("origin_memory_id").alias("source_memory_id"), read).select("collective_entry_id", "source_profile", "source_memory_id", "read.*")
 
 
+#: What a mention's id is made of, and the same id as SQL.
+MENTION_KEY = ("collective_entry_id", "source_memory_id", "source_profile", "mention_text", "entity_type", "extraction_method")
+_HASHED = f"sha1(concat(unhex('{NAMESPACE}'), cast(concat_ws('|', cast(collective_entry_id as string), {', '.join(MENTION_KEY[1:])}) as binary)))"
+MENTION_ID = (
+    f"transform(array({_HASHED}), h -> concat_ws('-', substring(h, 1, 8), substring(h, 9, 4), concat('5', substring(h, 14, 3)), "
+    "concat(substring('89ab', cast(conv(substring(h, 17, 1), 16, 10) as int) % 4 + 1, 1), substring(h, 18, 3)), substring(h, 21, 12)))[0] as mention_id"
+)
+
+
 def _with_ids(each: DataFrame) -> DataFrame:
     """Mentions with name-based ids."""
     out = each.select("collective_entry_id", "source_profile", "source_memory_id", "m.*", F.lit(METHOD).alias("extraction_method"))
-    key = F.concat_ws("|", F.col("collective_entry_id").cast("string"), "source_memory_id", "source_profile", "mention_text", "entity_type", "extraction_method")
+    key = F.concat_ws("|", F.col("collective_entry_id").cast("string"), *MENTION_KEY[1:])
     return out.withColumn("mention_id", tx.uuid5(NAMESPACE, key))
 
 
@@ -171,11 +180,11 @@ def entity_keys(entities: DataFrame) -> DataFrame:
     return entities.where("status = 'active'").groupBy("entity_type", tx.entity_key(F.col("canonical_name")).alias("key")).agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
 
 
-def _decided(mentions: DataFrame, keys: DataFrame) -> DataFrame:
+def _decided(mentions: DataFrame, keys: DataFrame, ids: tuple[str, ...] = ("mention_id",)) -> DataFrame:
     rows = mentions.withColumn("key", tx.entity_key(F.col("mention_text"))).join(keys, ["entity_type", "key"], "left")
     decision = F.when(F.col("n") == 1, "same_entity").when(F.col("n") > 1, "ambiguous").otherwise("new_entity")
     return rows.select(
-        "mention_id", F.when(F.col("n") == 1, F.col("entity_id")).alias("proposed_entity_id"), decision.alias("decision"), F.when(F.col("n") > 1, 0.0).otherwise(1.0).alias("confidence"), F.lit("exact_normalized_name").alias("method")
+        *ids, F.when(F.col("n") == 1, F.col("entity_id")).alias("proposed_entity_id"), decision.alias("decision"), F.when(F.col("n") > 1, 0.0).otherwise(1.0).alias("confidence"), F.lit("exact_normalized_name").alias("method")
     )
 
 
@@ -323,10 +332,14 @@ def rebuild_into(store: Store, entries: DataFrame, memories: DataFrame, technolo
     own, most = ["collective_entry_id", "source_profile", "source_memory_id"], 1_000_000
     with arrow_batches(store.spark):
         read = change.replace("read", read_texts(entries, memories, technologies))
-        mentions = change.replace("mentions", extract_mentions(entries, memories, technologies, read))
+        found = extract_mentions(entries, memories, technologies, read)
+        # ids are hashes that don't compress, nine tenths of both tables if they were written: readers make them of the columns they are made of
+        change.shown["mentions"] = [MENTION_ID if c == "mention_id" else c for c in found.columns]
+        mentions = change.replace("mentions", found.drop("mention_id"))
         entities = change.replace("entities", bootstrap(mentions))
         keys = few(entity_keys(entities))
-        resolutions = change.replace("resolutions", _decided(mentions, keys))
+        change.shown["resolutions"] = [MENTION_ID, "proposed_entity_id", "decision", "confidence", "method"]
+        resolutions = change.replace("resolutions", _decided(mentions, keys, MENTION_KEY))
         # an entry with one text has each mention and relation once: only rows of the others are marked, and sent to be told apart
         several = change.replace("several", read.groupBy("collective_entry_id").agg(F.count("*").alias("n")).where("n > 1").select("collective_entry_id"))
         marked = read.join(few(several.withColumn("many", F.lit(True)), most), "collective_entry_id", "left").withColumn("many", F.coalesce("many", F.lit(False)))

@@ -52,3 +52,24 @@ def test_texts_are_extracted_once(spark, tmp_path, monkeypatch):
     assert len(asked) == 1
     plan = store.read("relationships")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_mention_ids_are_made_on_reading(spark, tmp_path):
+    """Neither mentions nor resolutions write an id a row, and both show the ids of a plain rebuild."""
+    import uuid
+
+    store = Store(spark, f"file://{tmp_path}/k")
+    entries, memories = tables(spark)
+    en.rebuild_into(store, entries, memories)
+    manifest, plain = store.manifest(), en.rebuild(entries, memories)
+    for name in ("mentions", "resolutions"):
+        written = spark.read.parquet(*[f"{store.root}/{f}" for f in manifest["tables"][name]])
+        assert "mention_id" not in written.columns
+        assert store.read(name).columns == plain[name].columns and store.read(name).dtypes == plain[name].dtypes
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, plain[name].collect()))
+    for r in store.read("mentions").collect():
+        assert r["mention_id"] == str(uuid.uuid5(uuid.UUID(en.NAMESPACE), "|".join(str(r[c]) for c in en.MENTION_KEY)))
+    entries = spark.createDataFrame([(None, "p", None, True, False), (7, None, "a", True, False)], ENTRY)
+    each = entries.selectExpr("id as collective_entry_id", "source_profile", "origin_memory_id as source_memory_id", "named_struct('mention_text', 'Git', 'entity_type', 'technology', 'confidence', 0.95D) as m")
+    made = en._with_ids(each)
+    assert made.selectExpr(en.MENTION_ID, "mention_id as m").where("mention_id <> m").count() == 0
